@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,12 +122,16 @@ FROM rec r JOIN grp g ON r.recipient_name = g.recipient_name
 GROUP BY g.income_group_name ORDER BY 2 DESC, 1""")
 def by_income_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged re-aggregation: recipient totals, then income group taken from
-    fact A itself (distinct recipient → group pairs, inner join)."""
+    fact A itself (distinct recipient → group pairs, inner join).
+
+    One scan: partial sums per (recipient, group) pair; the recipient's full
+    total is put on each of its pairs with a window (so a recipient listed
+    under two groups counts in both, as an inner join to the distinct pairs
+    would), then summed per group."""
     fa = fact_a_clean(tables(spark, sf_dir))
-    rec = rollups.sum_by(fa, ["recipient_name"], {"v": MEASURE})
-    grp = fa.select("recipient_name", "income_group_name").distinct()
-    j = rec.join(grp, "recipient_name")
-    out = rollups.sum_by(j, ["income_group_name"], {MEASURE: "v"})
+    pairs = rollups.sum_by(fa, ["recipient_name", "income_group_name"], {"v": MEASURE})
+    pairs = pairs.withColumn("v", F.sum("v").over(Window.partitionBy("recipient_name")))
+    out = rollups.sum_by(pairs, ["income_group_name"], {MEASURE: "v"})
     return rollups.order_desc(out.select("income_group_name", r4(MEASURE).alias(MEASURE)),
                               MEASURE, ["income_group_name"])
 
