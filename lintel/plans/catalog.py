@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintel.plans import q_joins, q_models, q_rollups, q_rules  # noqa: F401
+from lintel.plans import q_joins, q_models, q_rollups, q_rules, q_text  # noqa: F401
 from lintel.plans.registry import OPERATORS, ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "OPERATORS"]
