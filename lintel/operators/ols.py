@@ -81,12 +81,14 @@ def inverse_steps(k: int) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]
     return det, inv
 
 
-def fit_steps(k: int, n_absorbed: str = "0") -> list[list[tuple[str, str]]]:
+def fit_steps(k: int, n_absorbed: str = "0", tss: str = "s_yy") -> list[list[tuple[str, str]]]:
     """Successive column steps turning moments into a fitted model.
 
     Input columns: ``n``, ``m_y``, ``m_i`` (means), ``s_ij`` (centred
     cross-products of the regressors), ``s_iy``, ``s_yy``.  ``n_absorbed`` is
-    the number of extra parameters absorbed before the fit (fixed effects).
+    the number of extra parameters absorbed before the fit (fixed effects);
+    ``tss`` the total sum of squares for R² (the raw, not the demeaned, one
+    when effects were absorbed).
     """
     det, inv = inverse_steps(k)
     steps: list[list[tuple[str, str]]] = [det, inv]
@@ -100,7 +102,7 @@ def fit_steps(k: int, n_absorbed: str = "0") -> list[list[tuple[str, str]]]:
     steps.append([("b_c", intercept), ("rss", rss),
                   ("df_resid", f"(n - {k} - 1 - ({n_absorbed}))")])
     steps.append([("s2", div("rss", "df_resid")),
-                  ("r2", f"1 - {div('rss', 's_yy')}")])
+                  ("r2", f"1 - {div('rss', tss)}")])
     quad = " + ".join(f"m_{i} * inv_{min(i, j)}{max(i, j)} * m_{j}" for i in range(k) for j in range(k))
     se = [(f"se_{i}", nonneg_sqrt(f"s2 * inv_{i}{i}")) for i in range(k)]
     se.append(("se_c", nonneg_sqrt(f"s2 * ({div('1', 'n')} + {quad})")))
@@ -130,7 +132,7 @@ def apply_steps(df: DataFrame, steps: list[list[tuple[str, str]]]) -> DataFrame:
     return df
 
 
-def fit(df: DataFrame, y: str, xs: Sequence[str], n_absorbed: str = "0") -> DataFrame:
+def fit(df: DataFrame, y: str, xs: Sequence[str], n_absorbed: str = "0") -> DataFrame:  # noqa: D401
     """M2: one-row model frame (coefficients, errors, fit statistics)."""
     complete = df
     for c in [y, *xs]:
@@ -161,9 +163,10 @@ def predict(df: DataFrame, model: DataFrame, xs: Sequence[str]) -> DataFrame:
     return out.select(*keep, "fit", "lwr", "upr")
 
 
-def summary(model: DataFrame, names: Sequence[str]) -> DataFrame:
+def summary(model: DataFrame, names: Sequence[str], intercept: bool = True) -> DataFrame:
     """M6: one row per term (estimate, std error, t) with nobs and adj R²."""
-    terms = [("(Intercept)", "b_c", "se_c")] + [(nm, f"b_{i}", f"se_{i}") for i, nm in enumerate(names)]
+    terms = ([("(Intercept)", "b_c", "se_c")] if intercept else []) + \
+        [(nm, f"b_{i}", f"se_{i}") for i, nm in enumerate(names)]
     rows = F.array(*[F.struct(F.lit(t).alias("term"), F.col(b).alias("estimate"), F.col(s).alias("std_error"))
                      for t, b, s in terms])
     out = model.select(F.explode(rows).alias("r"), "n", "adj_r2", "df_resid")
@@ -200,3 +203,53 @@ def groups_without_pairs(df: DataFrame, group: str, y: str, x: str) -> DataFrame
     """Q4: groups that have rows but no complete ``(x, y)`` pair."""
     has = (F.col(x).isNotNull() & F.col(y).isNotNull()).cast("int")
     return df.groupBy(group).agg(F.max(has).alias("_has")).filter(F.col("_has") == 0).select(group)
+
+
+# ------------------------------------------------------ two-way fixed effects
+
+def fe_demean(train: DataFrame, rows: DataFrame, g1: str, g2: str, cols: Sequence[str]) -> DataFrame:
+    """M3 helper: ``x − x̄_g1 − x̄_g2 + x̄`` for ``cols`` on ``rows``, with the
+    means taken over ``train`` (exact two-way demeaning on a balanced panel).
+
+    The per-group means are dimension-sized (one row per group) and are
+    joined back by key; the overall means are one row."""
+    from lintel.operators.joins import small
+    m1 = small(train.groupBy(g1).agg(*[F.avg(c).alias(f"_a_{c}") for c in cols]))
+    m2 = small(train.groupBy(g2).agg(*[F.avg(c).alias(f"_b_{c}") for c in cols]))
+    m0 = train.agg(*[F.avg(c).alias(f"_o_{c}") for c in cols])
+    out = attach_scalars(rows.join(m1, g1, "left").join(m2, g2, "left"), m0)
+    for c in cols:
+        out = out.withColumn(f"{c}_dm", F.col(c) - F.col(f"_a_{c}") - F.col(f"_b_{c}") + F.col(f"_o_{c}"))
+        out = out.withColumn(f"{c}_off", F.col(f"_a_{c}") + F.col(f"_b_{c}") - F.col(f"_o_{c}"))
+    drop = [f"_{p}_{c}" for p in "abo" for c in cols]
+    return out.drop(*drop)
+
+
+def fe_fit(train_dm: DataFrame, y: str, xs: Sequence[str], g1: str, g2: str, t: str) -> DataFrame:
+    """M3: OLS of demeaned ``y`` on demeaned ``xs`` with the two absorbed
+    effects counted in the degrees of freedom; R² against the raw ``y``.
+    Adds ``n_g1``, ``n_g2``, ``n_t`` and ``balanced`` to the model row."""
+    k = len(xs)
+    ydm, xdm = f"{y}_dm", [f"{x}_dm" for x in xs]
+    mom = moments(train_dm, ydm, xdm)
+    extra = train_dm.agg(F.countDistinct(g1).alias("n_g1"), F.countDistinct(g2).alias("n_g2"),
+                         F.countDistinct(t).alias("n_t"),
+                         (F.var_pop(y) * F.count(F.lit(1))).alias("s_yy_raw"))
+    mom = attach_scalars(mom, extra).withColumn(
+        "balanced", F.col("n") == F.col("n_g1") * F.col("n_g2") * F.col("n_t"))
+    return apply_steps(mom, fit_steps(k, n_absorbed="n_g1 + n_g2 - 2", tss="s_yy_raw"))
+
+
+FE_LEVERAGE = "1 / (n_g2 * n_t) + 1 / (n_g1 * n_t) - 1 / (n_g1 * n_g2 * n_t)"
+
+
+def fe_predict(rows_dm: DataFrame, model: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
+    """M4 under fixed effects: ``fit = ȳ_g1 + ȳ_g2 − ȳ + b'x̃`` with the
+    balanced-panel leverage of the absorbed effects added to ``h``."""
+    keep = rows_dm.columns
+    xdm = [f"{x}_dm" for x in xs]
+    steps = predict_exprs(xdm, extra_h=FE_LEVERAGE)
+    out = apply_steps(attach_scalars(rows_dm, model), steps)
+    off = F.col(f"{y}_off")
+    return out.select(*keep, (F.col("fit") + off).alias("fit"), (F.col("lwr") + off).alias("lwr"),
+                      (F.col("upr") + off).alias("upr"))

@@ -39,6 +39,28 @@ def densify(df: DataFrame, keys: Sequence[str], time_col: str,
     return out.fillna(fill, subset=list(measures))
 
 
+def expand_grid(df: DataFrame, keys: Sequence[str], time_col: str,
+                measures: Sequence[str], fill: float = 0.0) -> DataFrame:
+    """J8 + P24, full product: every value of each key × every period (like
+    ``expand.grid`` of the distinct values), measures filled where absent.
+
+    The first key's distinct values are the rows; the distinct values of the
+    other keys and of the period are bounded sets (dimension-sized, checked
+    against ``MAX_PERIODS``) collected into one broadcast row and exploded."""
+    keys = list(keys)
+    sets = [F.array_sort(F.collect_set(c)).alias(f"_set_{c}") for c in [*keys[1:], time_col]]
+    bounded = df.agg(*sets)
+    bounded = bounded.select(*[
+        F.when(F.size(f"_set_{c}") <= MAX_PERIODS, F.col(f"_set_{c}"))
+         .otherwise(F.raise_error(F.lit(f"too many values of {c} to densify"))).alias(f"_set_{c}")
+        for c in [*keys[1:], time_col]])
+    grid = attach_scalars(df.select(keys[0]).distinct(), bounded)
+    for c in [*keys[1:], time_col]:
+        grid = grid.withColumn(c, F.explode(f"_set_{c}")).drop(f"_set_{c}")
+    out = grid.join(df, on=[*keys, time_col], how="left")
+    return out.fillna(fill, subset=list(measures))
+
+
 def with_lags(df: DataFrame, keys: Sequence[str], time_col: str,
               cols: Sequence[str], suffix: str = "_t1") -> DataFrame:
     """Previous row's value per series ordered by time (NULL first)."""

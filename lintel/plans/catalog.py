@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lintel.plans import q_joins, q_models, q_rollups, q_rules, q_text  # noqa: F401
+from lintel.plans import q_rollups  # noqa: F401  (first: the bundle reuses its oracle SQL)
+from lintel.plans import q_rules, q_joins, q_models, q_text  # noqa: F401
+from lintel.plans import q_reports  # noqa: F401
 from lintel.plans.registry import OPERATORS, ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "OPERATORS"]

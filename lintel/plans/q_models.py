@@ -37,13 +37,19 @@ def _r6(c: str) -> F.Column:
 
 # ----------------------------------------------------------------- the panel
 
-def keyword_panel(t: Tables) -> DataFrame:
-    """Recipient × year panel of A and B, densified, with lags and ΔB."""
+def keyword_panel(t: Tables, materialize: bool = False) -> DataFrame:
+    """Recipient × year panel of A and B, densified, with lags and ΔB.
+
+    The panel is dimension-sized (recipients × years).  A model reads it
+    several times (moments, then the rows to predict), so ``materialize``
+    checkpoints it to the shared folder once instead of recomputing the fact
+    joins for every read."""
     m = merged_panel(t)
     p0 = rollups.sum_by(m, ["year", "recipient_iso3_code"], {CRS: CRS, IATI: IATI})
     d = panel.densify(p0, ["recipient_iso3_code"], "year", [CRS, IATI])
     d = panel.with_lags(d, ["recipient_iso3_code"], "year", [CRS, IATI])
-    return panel.with_difference(d, IATI, f"{IATI}_t1", "delta_iati")
+    d = panel.with_difference(d, IATI, f"{IATI}_t1", "delta_iati")
+    return d.checkpoint(eager=True) if materialize else d
 
 
 SQL_PANEL = f"""p0 AS (
@@ -153,7 +159,7 @@ LATERAL (VALUES ('{_TERMS[0]}', b_c, se_c), ('{_TERMS[1]}', b_0, se_0),
                 ('{_TERMS[2]}', b_1, se_1), ('{_TERMS[3]}', b_2, se_2)) u(term, estimate, std_error)""")
 def panel_ols_coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ~ 1 + B + A_lag + ΔB on the dense panel, trained before the nowcast year."""
-    model = keyword_model(keyword_panel(tables(spark, sf_dir)), NOWCAST_YEAR)
+    model = keyword_model(keyword_panel(tables(spark, sf_dir), materialize=True), NOWCAST_YEAR)
     s = ols.summary(model, _TERMS[1:])
     return s.select("term", *[_r6(c).alias(c) for c in ["estimate", "std_error", "t_value"]],
                     "nobs", _r6("adj_r2").alias("adj_r2"), "df_resid")
@@ -170,7 +176,7 @@ _NOW_SQL, _NOW_LAST = _predict_sql("kpanel", _M2_LAST, "kp")
 
 def nowcast(t: Tables) -> DataFrame:
     """Panel rows with fit/lwr/upr; A replaced by the fit in the nowcast year."""
-    p = keyword_panel(t)
+    p = keyword_panel(t, materialize=True)
     model = keyword_model(p, NOWCAST_YEAR)
     pred = ols.predict(p, model, XS)
     return pred.withColumn(CRS, F.when(F.col("year") == NOWCAST_YEAR, F.col("fit")).otherwise(F.col(CRS)))
@@ -204,7 +210,7 @@ FROM test""")
 def holdout_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train before the last actual year, test on it: RMSE of B alone and of
     the model against A, per row and for the year total."""
-    p = keyword_panel(tables(spark, sf_dir))
+    p = keyword_panel(tables(spark, sf_dir), materialize=True)
     model = keyword_model(p, LAST_ACTUAL_YEAR)
     test = ols.predict(p, model, XS).filter(F.col("year") == LAST_ACTUAL_YEAR)
     rows = test.agg(rollups.rmse(CRS, IATI).alias("rmse_raw"), rollups.rmse(CRS, "fit").alias("rmse_fit"))
@@ -213,3 +219,122 @@ def holdout_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.sqrt((F.col("a") - F.col("f")) * (F.col("a") - F.col("f"))).alias("rmse_fit_total"))
     out = attach_scalars(rows, tot)
     return out.select(*[_r6(c).alias(c) for c in ["rmse_raw", "rmse_fit", "rmse_raw_total", "rmse_fit_total"]])
+
+
+# -------------------------------------------------- fixed-effects panel (M3)
+
+FE_XS = [IATI, f"{CRS}_t1", "delta_iati", "year_x"]
+FE_NAMES = [IATI, f"{CRS}_t1", "delta_iati", "year"]
+
+
+def sector_panel(t: Tables, materialize: bool = True) -> DataFrame:
+    """Recipient × sector × year panel (full product), with lags and ΔB;
+    checkpointed once (it is read by five aggregates and the prediction)."""
+    m = merged_panel(t)
+    p0 = rollups.sum_by(m, ["year", "sector_code", "recipient_iso3_code"], {CRS: CRS, IATI: IATI})
+    d = panel.expand_grid(p0, ["recipient_iso3_code", "sector_code"], "year", [CRS, IATI])
+    d = panel.with_lags(d, ["recipient_iso3_code", "sector_code"], "year", [CRS, IATI])
+    d = panel.with_difference(d, IATI, f"{IATI}_t1", "delta_iati")
+    d = d.withColumn("year_x", F.col("year").cast("double"))
+    return d.checkpoint(eager=True) if materialize else d
+
+
+def fe_model(p: DataFrame, train_max_year: int) -> tuple[DataFrame, DataFrame]:
+    cols = [CRS, *FE_XS]
+    complete = p
+    for c in cols:
+        complete = complete.filter(F.col(c).isNotNull())
+    train = complete.filter(F.col("year") < train_max_year)
+    train_dm = ols.fe_demean(train, train, "recipient_iso3_code", "sector_code", cols)
+    model = ols.fe_fit(train_dm, CRS, FE_XS, "recipient_iso3_code", "sector_code", "year")
+    return complete, model.withColumn("_train_max", F.lit(train_max_year))
+
+
+SQL_SPANEL = f"""sp0 AS (
+  SELECT year, sector_code, recipient_iso3_code,
+         coalesce(sum({CRS}), 0) AS {CRS}, coalesce(sum({IATI}), 0) AS {IATI}
+  FROM merged GROUP BY ALL
+),
+sgrid AS (SELECT r.recipient_iso3_code, s.sector_code, y.year
+          FROM (SELECT DISTINCT recipient_iso3_code FROM sp0) r, (SELECT DISTINCT sector_code FROM sp0) s,
+               (SELECT DISTINCT year FROM sp0) y),
+sdense AS (
+  SELECT g.recipient_iso3_code, g.sector_code, g.year,
+         coalesce(p.{CRS}, 0) AS {CRS}, coalesce(p.{IATI}, 0) AS {IATI}
+  FROM sgrid g LEFT JOIN sp0 p ON g.recipient_iso3_code = p.recipient_iso3_code
+   AND g.sector_code = p.sector_code AND g.year = p.year
+),
+spanel AS (
+  SELECT *, lag({CRS}) OVER w AS {CRS}_t1, lag({IATI}) OVER w AS {IATI}_t1,
+         {IATI} - lag({IATI}) OVER w AS delta_iati, CAST(year AS DOUBLE) AS year_x
+  FROM sdense WINDOW w AS (PARTITION BY recipient_iso3_code, sector_code ORDER BY year)
+),
+scomplete AS (SELECT * FROM spanel WHERE {_complete([CRS] + FE_XS)})"""
+
+
+def _fe_sql(train_max: int, name: str) -> tuple[str, str]:
+    cols = [CRS, *FE_XS]
+    a = ", ".join(f"avg({c}) AS a_{c}" for c in cols)
+    b = ", ".join(f"avg({c}) AS b_{c}" for c in cols)
+    o = ", ".join(f"avg({c}) AS o_{c}" for c in cols)
+    dm = ", ".join(f"{c} - a_{c} - b_{c} + o_{c} AS {c}_dm, a_{c} + b_{c} - o_{c} AS {c}_off" for c in cols)
+    ctes = [
+        f"{name}_tr AS (SELECT * FROM scomplete WHERE year < {train_max})",
+        f"{name}_a AS (SELECT recipient_iso3_code, {a} FROM {name}_tr GROUP BY 1)",
+        f"{name}_b AS (SELECT sector_code, {b} FROM {name}_tr GROUP BY 1)",
+        f"{name}_o AS (SELECT {o} FROM {name}_tr)",
+        f"""{name}_dm AS (SELECT x.*, {dm} FROM scomplete x
+             LEFT JOIN {name}_a USING (recipient_iso3_code) LEFT JOIN {name}_b USING (sector_code), {name}_o)""",
+    ]
+    xdm = [f"{x}_dm" for x in FE_XS]
+    mom = _moments_sql(f"{name}_dm", f"{CRS}_dm", xdm, f"year < {train_max}")
+    ctes.append(f"""{name}_m AS (SELECT * FROM ({mom}) mm,
+        (SELECT count(DISTINCT recipient_iso3_code) AS n_g1, count(DISTINCT sector_code) AS n_g2,
+                count(DISTINCT year) AS n_t, var_pop({CRS}) * count(*) AS s_yy_raw
+         FROM {name}_tr) ee)""")
+    chain, last = _cte_chain(f"{name}_m", ols.fit_steps(len(FE_XS), "n_g1 + n_g2 - 2", "s_yy_raw"), f"{name}_f")
+    return ",\n".join(ctes + chain), last
+
+
+W_SPANEL = _MERGED.rstrip() + ",\n" + SQL_SPANEL
+_FE_SQL, _FE_LAST = _fe_sql(NOWCAST_YEAR, "fe")
+
+
+@register("fixed_effect_ols", ("M3", "M6", "J8"), W_SPANEL + ",\n" + _FE_SQL + f"""
+SELECT u.term, round(u.estimate, 6) AS estimate, round(u.std_error, 6) AS std_error,
+       round(u.estimate / nullif(u.std_error, 0), 6) AS t_value,
+       CAST(n AS BIGINT) AS nobs, round(adj_r2, 6) AS adj_r2, CAST(df_resid AS BIGINT) AS df_resid,
+       n = n_g1 * n_g2 * n_t AS balanced
+FROM {_FE_LAST},
+LATERAL (VALUES ('{FE_NAMES[0]}', b_0, se_0), ('{FE_NAMES[1]}', b_1, se_1),
+                ('{FE_NAMES[2]}', b_2, se_2), ('{FE_NAMES[3]}', b_3, se_3)) u(term, estimate, std_error)""")
+def fixed_effect_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ~ B + A_lag + ΔB + year + recipient FE + sector FE, by exact
+    two-way demeaning of the balanced panel (4×4 normal equations)."""
+    _, model = fe_model(sector_panel(tables(spark, sf_dir)), NOWCAST_YEAR)
+    s = ols.summary(model.withColumn("balanced", F.col("balanced")), FE_NAMES, intercept=False)
+    bal = model.select("balanced")
+    s = attach_scalars(s, bal)
+    return s.select("term", *[_r6(c).alias(c) for c in ["estimate", "std_error", "t_value"]],
+                    "nobs", _r6("adj_r2").alias("adj_r2"), "df_resid", "balanced")
+
+
+_FEP_CHAIN, _FEP_LAST = _cte_chain("fep_in", ols.predict_exprs([f"{x}_dm" for x in FE_XS], ols.FE_LEVERAGE), "fep")
+
+
+@register("fixed_effect_nowcast", ("M3", "M4", "P23"), W_SPANEL + ",\n" + _FE_SQL + ",\n" +
+          f"fep_in AS (SELECT p.*, m.* FROM fe_dm p, {_FE_LAST} m WHERE p.year = {NOWCAST_YEAR})" + ",\n" +
+          ",\n".join(_FEP_CHAIN) + f"""
+SELECT recipient_iso3_code, sector_code, year,
+       round(fit + {CRS}_off, 6) AS fit, round(lwr + {CRS}_off, 6) AS lwr, round(upr + {CRS}_off, 6) AS upr
+FROM {_FEP_LAST}""")
+def fixed_effect_nowcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nowcast-year fit and 95 % band per (recipient, sector) cell."""
+    p = sector_panel(tables(spark, sf_dir))
+    complete, model = fe_model(p, NOWCAST_YEAR)
+    train = complete.filter(F.col("year") < NOWCAST_YEAR)
+    rows = ols.fe_demean(train, complete.filter(F.col("year") == NOWCAST_YEAR),
+                         "recipient_iso3_code", "sector_code", [CRS, *FE_XS])
+    pred = ols.fe_predict(rows, model, CRS, FE_XS)
+    return pred.select("recipient_iso3_code", "sector_code", "year",
+                       *[_r6(c).alias(c) for c in ["fit", "lwr", "upr"]])
