@@ -54,25 +54,41 @@ def _gram_structs(t: Column, n: int) -> Column:
     return F.arrays_zip(*shifted)
 
 
-def _grams_of(z: Column, n: int) -> list[Column]:
-    """The 1..n-grams starting at one zipped element (NULL if past the end)."""
+def _grams_of(z: Column, n: int, kws: list[str]) -> list[Column]:
+    """The 1..n-grams starting at one zipped element.  A k-gram is only built
+    when the token starts some k-word keyword (a hash-set test), so most
+    positions cost one lookup and no string building; NULL otherwise."""
     out = [z["g1"]]
     for k in range(2, n + 1):
+        firsts = sorted({w.split(" ")[0] for w in kws if len(w.split(" ")) == k})
+        if not firsts:
+            continue
         parts = []
         for j in range(1, k + 1):
             parts += [z[f"g{j}"], F.lit(" ")]
-        out.append(F.concat(*parts[:-1]))
+        out.append(F.when(z["g1"].isin(firsts), F.concat(*parts[:-1])))
     return out
 
 
+def _match_tokens(t: Column, kws: list[str], n: int) -> Column:
+    z = _gram_structs(t, n)
+    return F.coalesce(F.exists(z, lambda x: _any_in(_grams_of(x, n, kws), kws)), F.lit(False))
+
+
+def _hits_tokens(t: Column, kws: list[str], n: int) -> Column:
+    z = _gram_structs(t, n)
+    grams = F.flatten(F.transform(z, lambda x: F.array(*_grams_of(x, n, kws))))
+    return F.array_sort(F.array_distinct(F.filter(grams, lambda g: F.coalesce(g.isin(kws), F.lit(False)))))
+
+
 def keyword_match(cols: Sequence[str | Column], words: Sequence[str]) -> Column:
-    """T1 predicate: any keyword occurs as whole words in any of ``cols``."""
+    """T1 predicate as a single column expression (for ad-hoc use; the
+    DataFrame form :func:`screen` tokenises each text only once)."""
     kws = clean_keywords(words)
     n = max_words(kws)
     cond: Column | None = None
     for c in cols:
-        z = _gram_structs(tokens(c), n)
-        e = F.coalesce(F.exists(z, lambda x: _any_in(_grams_of(x, n), kws)), F.lit(False))
+        e = _match_tokens(tokens(c), kws, n)
         cond = e if cond is None else cond | e
     return cond
 
@@ -88,23 +104,39 @@ def keyword_hits(c: str | Column, words: Sequence[str]) -> Column:
     """T2 column: distinct keywords found in ``c`` (overlapping keywords all
     count; a keyword found twice counts once)."""
     kws = clean_keywords(words)
-    n = max_words(kws)
-    z = _gram_structs(tokens(c), n)
-    grams = F.flatten(F.transform(z, lambda x: F.array(*_grams_of(x, n))))
-    return F.array_sort(F.array_distinct(F.filter(grams, lambda g: F.coalesce(g.isin(kws), F.lit(False)))))
+    return _hits_tokens(tokens(c), kws, max_words(kws))
+
+
+def _with_tokens(df: DataFrame, texts: Sequence[Column], names: Sequence[str]) -> DataFrame:
+    """Tokenise each text once.  The tokens are produced by a generator (one
+    output row per input row), so the optimiser cannot inline the regex back
+    into every use, nor push the keyword test below a repartition that
+    spreads the text work over the cluster."""
+    toks = F.struct(*[tokens(t).alias(nm) for t, nm in zip(texts, names)])
+    return df.select("*", F.inline(F.array(toks)))
 
 
 def screen(df: DataFrame, cols: Sequence[str], words: Sequence[str]) -> DataFrame:
     """Rows whose text columns contain any keyword."""
-    return df.filter(keyword_match(cols, words))
+    kws = clean_keywords(words)
+    n = max_words(kws)
+    names = [f"_tok{i}" for i in range(len(cols))]
+    staged = _with_tokens(df, [F.col(c) for c in cols], names)
+    cond = None
+    for nm in names:
+        e = _match_tokens(F.col(nm), kws, n)
+        cond = e if cond is None else cond | e
+    return staged.filter(cond).drop(*names)
 
 
 def hit_table(df: DataFrame, id_col: str, text_cols: Sequence[str], words: Sequence[str],
               keep: Sequence[str] = ()) -> DataFrame:
     """Long ``(id, word, *keep)`` table, one row per row and keyword found
     in the space-joined text columns."""
+    kws = clean_keywords(words)
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
-    return df.select(id_col, *keep, F.explode(keyword_hits(text, words)).alias("word"))
+    staged = _with_tokens(df.select(id_col, *keep, *text_cols), [text], ["_tok"])
+    return staged.select(id_col, *keep, F.explode(_hits_tokens(F.col("_tok"), kws, max_words(kws))).alias("word"))
 
 
 def evaluate(df: DataFrame, id_col: str, text_cols: Sequence[str], words: Sequence[str],
@@ -165,13 +197,20 @@ def tfidf_terms(docs: DataFrame, text: str, positive: str, n: int = 1, k: int =
         nxt = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(1)))
         grams = F.filter(F.zip_with(toks, nxt, lambda a, b: F.concat(a, F.lit(" "), b)),
                          lambda x: x.isNotNull())
-    g = docs.select(F.col(positive).alias("_pos"), grams.alias("_g"))
+    # One pass: sort each text's terms, flag the first of each run (that text
+    # counts once towards df) and count every occurrence of a positive text
+    # towards tf; then a single aggregate by term (partial per task first).
+    srt = F.array_sort(grams)
+    prev = F.concat(F.array(F.lit(None).cast("string")),
+                    F.slice(srt, 1, F.greatest(F.size(srt) - 1, F.lit(0))))
+    runs = F.zip_with(srt, prev, lambda x, p: F.struct(x.alias("term"), (p.isNull() | (x != p)).alias("first")))
+    g = docs.select(F.col(positive).alias("_pos"), F.explode(runs).alias("_r"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("_n"))
-    df_ = (g.select(F.explode(F.array_distinct("_g")).alias("term"))
-           .groupBy("term").agg(F.count(F.lit(1)).alias("_df")))
-    tf = (g.filter("_pos").select(F.explode("_g").alias("term"))
-          .groupBy("term").agg(F.count(F.lit(1)).alias("_tf")))
-    sc = attach_scalars(tf.join(df_, "term"), n_docs)
+    counts = (g.select(F.col("_r.term").alias("term"), F.col("_r.first").cast("long").alias("_d"),
+                       F.col("_pos").cast("long").alias("_p"))
+              .groupBy("term").agg(F.sum("_d").alias("_df"), F.sum("_p").alias("_tf"))
+              .filter(F.col("_tf") > 0))
+    sc = attach_scalars(counts, n_docs)
     sc = sc.select("term", (F.col("_tf") * (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1)).alias("_s"))
     norm = sc.agg(F.sqrt(F.sum(F.col("_s") * F.col("_s"))).alias("_z"))
     top = attach_scalars(sc, norm).select("term", (F.col("_s") / F.col("_z")).alias("score"))

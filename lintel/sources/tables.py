@@ -17,6 +17,25 @@ TABLE_NAMES = (
 )
 
 
+# Tables whose rows are long texts: per-row work on them is CPU-heavy, so a
+# scan with fewer partitions than the cluster has cores is spread out first.
+TEXT_TABLES = frozenset({"documents", "pages", "benchmark", "conversations"})
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` (default: the
+    session's parallelism) when its scan yields fewer.
+
+    A large input already has one partition per file split, so this is a
+    no-op at scale; it matters when a few big row groups would otherwise put
+    all the text work on a few tasks."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 class Tables:
     """Lazy, per-session handle on ``<sf_dir>/<name>.parquet``."""
 
@@ -32,5 +51,6 @@ class Tables:
         if name.startswith("_") or name not in TABLE_NAMES:
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(self.path(name))
+            df = self.spark.read.parquet(self.path(name))
+            self._cache[name] = spread(df) if name in TEXT_TABLES else df
         return self._cache[name]
