@@ -38,7 +38,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 def fact_a_clean(t: Tables) -> DataFrame:
     """Fact A after the exclusion predicate (P3), blanks kept."""
-    return views.fact_a(t).filter(oda_exclusion("sector_code", "aid_type",
+    return views.fact_a_table(t).filter(oda_exclusion("sector_code", "aid_type",
                                                 EXCLUDED_SECTORS, EXCLUDED_AID_TYPES))
 
 
@@ -65,7 +65,7 @@ def r6(c):
 def b_repaired(t: Tables) -> DataFrame:
     """P13 + P14 on fact B's publisher key."""
     from lintel.functions.columns import repair_from_prefix, unicode_trim
-    fb = views.fact_b(t)
+    fb = views.fact_b_table(t)
     return fb.withColumn("reporting_org_ref",
                          unicode_trim(repair_from_prefix("reporting_org_ref", "iati_identifier", REPAIR_RULES)))
 

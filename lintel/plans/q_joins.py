@@ -78,7 +78,7 @@ def unresolved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     overrides = spark.createDataFrame(list(ISO_OVERRIDES), "code string, iso3 string")
     layers = [(views.region_mapping(t), "recipient_code", "recipient_iso3_code"),
               (overrides, "code", "iso3"), (views.iso_table(t), "iso2", "iso3")]
-    res = recode_via_lookups(views.fact_b(t), "x_recipient_code", "_iso3", layers, drop_unresolved=False)
+    res = recode_via_lookups(views.fact_b_table(t), "x_recipient_code", "_iso3", layers, drop_unresolved=False)
     return rollups.frequency(res.filter(F.col("_iso3").isNull()), ["x_recipient_code"])
 
 

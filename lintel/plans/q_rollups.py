@@ -36,7 +36,7 @@ SELECT row_id, year, CAST(donor_code AS VARCHAR) AS donor_code, recipient_iso3_c
 FROM fact_a
 WHERE year BETWEEN 1996 AND 1999 AND purpose_code IN ('LARGE', 'MEDIUM')""")
 def warehouse_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fa = views.fact_a(tables(spark, sf_dir))
+    fa = views.fact_a_table(tables(spark, sf_dir))
     return (fa.filter(F.col("year").between(1996, 1999) & F.col("purpose_code").isin(*SECTOR_DEFINITION))
             .select("row_id", "year", F.col("donor_code").cast("string").alias("donor_code"),
                     "recipient_iso3_code", F.col("purpose_code").alias("sector_code"),

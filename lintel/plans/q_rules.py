@@ -35,7 +35,7 @@ WHERE reporting_org_ref IS NOT NULL
   AND contains(funding_orgs, '(1-URGENT)')
 GROUP BY x_transaction_year""")
 def key_and_text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fb = views.fact_b(tables(spark, sf_dir))
+    fb = views.fact_b_table(tables(spark, sf_dir))
     f = (fb.filter(F.col("reporting_org_ref").isNotNull())
          .filter(C.starts_with("x_sector_code", "PRO", negate=True))
          .filter(C.starts_with("iati_identifier", "P1"))
@@ -52,7 +52,7 @@ WHERE reporting_org_ref IS NOT NULL
   AND (reporting_org_ref <> 'P1' OR coalesce(contains(funding_orgs, '(2-HIGH)'), false))
 GROUP BY reporting_org_ref""")
 def conditional_publisher_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fb = views.fact_b(tables(spark, sf_dir))
+    fb = views.fact_b_table(tables(spark, sf_dir))
     return rollups.frequency(fb.filter(C.conditional_keep("reporting_org_ref", "funding_orgs", PUBLISHER_RULES)),
                              ["reporting_org_ref"])
 
@@ -66,7 +66,7 @@ SELECT regexp_replace(CASE {_REPAIR_SQL} ELSE reporting_org_ref END,
        count(*) AS n
 FROM fact_b GROUP BY 1""")
 def repair_and_trim_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fb = views.fact_b(tables(spark, sf_dir))
+    fb = views.fact_b_table(tables(spark, sf_dir))
     key = C.unicode_trim(C.repair_from_prefix("reporting_org_ref", "iati_identifier", REPAIR_RULES))
     return rollups.frequency(fb.withColumn("reporting_org_ref", key), ["reporting_org_ref"])
 
@@ -83,7 +83,7 @@ def normalized_donor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     donor names that fact A uses."""
     t = tables(spark, sf_dir)
     m = views.publisher_map(t).withColumn("donor_name", C.hspace_to_space("donor_name"))
-    a_names = views.fact_a(t).select("donor_name").distinct().withColumn("_hit", F.lit(True))
+    a_names = views.fact_a_table(t).select("donor_name").distinct().withColumn("_hit", F.lit(True))
     j = m.join(a_names, "donor_name", "left")
     return j.select("reporting_org_ref", "donor_code", "donor_name",
                     F.coalesce("_hit", F.lit(False)).alias("in_fact_a"))

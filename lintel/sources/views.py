@@ -164,3 +164,15 @@ def texts(t: Tables) -> DataFrame:
     (``toxic = 1``); unlabeled documents have a NULL flag."""
     lab = t.labels.select("doc_id", (F.col("toxic") == 1).alias("false_positive"))
     return t.documents.join(lab, "doc_id", "left")
+
+
+def fact_a_table(t: Tables) -> DataFrame:
+    """Fact A as a warehouse table (written once, partitioned by year)."""
+    from lintel.sources.warehouse import materialized
+    return materialized(t, "fact_a", fact_a, partition_by=["year"])
+
+
+def fact_b_table(t: Tables) -> DataFrame:
+    """Fact B as a warehouse table (written once, partitioned by year)."""
+    from lintel.sources.warehouse import materialized
+    return materialized(t, "fact_b", fact_b, partition_by=["x_transaction_year"])
