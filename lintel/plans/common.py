@@ -89,7 +89,13 @@ def b_split(t: Tables) -> DataFrame:
 def b_agg(t: Tables) -> DataFrame:
     """Fact B summed per (donor, year, recipient, sector) in US$ millions,
     recipient codes resolved to ISO-3 (region mapping, override, ISO table);
-    unresolved codes dropped."""
+    unresolved codes dropped.  Written once as an intermediate table (the
+    aggregate is dimension-sized and read by several reports)."""
+    from lintel.sources.warehouse import materialized
+    return materialized(t, "b_agg", _b_agg)
+
+
+def _b_agg(t: Tables) -> DataFrame:
     from lintel.operators.joins import recode_via_lookups
     from lintel.operators.rollups import sum_by
     s = b_split(t).withColumn("v", F.col("x_transaction_value_usd") / 1e6)
@@ -120,7 +126,15 @@ RECONCILE_KEYS = ["donor_code", "donor_name", "year", "recipient_iso3_code", "se
 
 
 def merged_panel(t: Tables) -> DataFrame:
-    """A and B aggregates reconciled on all five keys (NULL-safe)."""
+    """A and B aggregates reconciled on all five keys (NULL-safe).
+
+    Written once as an intermediate table: every model and panel starts
+    from it, and it is small (one row per donor, year, recipient, sector)."""
+    from lintel.sources.warehouse import materialized
+    return materialized(t, "merged", _merged)
+
+
+def _merged(t: Tables) -> DataFrame:
     from lintel.operators.joins import full_reconcile
     return full_reconcile(a_agg(t), b_agg(t), RECONCILE_KEYS)
 

@@ -35,8 +35,10 @@ def _exists(spark, path: str) -> bool:
 
 
 def table_path(t: Tables, name: str, build: Callable) -> str:
-    # The whole defining module: a change to any view it uses gives a new key.
-    src = inspect.getsource(inspect.getmodule(build))
+    # The defining module and the stand-in views it builds on: a change to
+    # either gives a new key, so a stale table is never read.
+    from lintel.sources import views
+    src = inspect.getsource(inspect.getmodule(build)) + inspect.getsource(views)
     key = hashlib.sha1(f"{os.path.abspath(t.sf_dir)}|{src}".encode()).hexdigest()[:16]
     return os.path.join(ensure_checkpoint_dir(t.spark), "lintel", "warehouse", f"{name}-{key}")
 
