@@ -34,6 +34,19 @@ def small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     return df
 
 
+def small_rows(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave it to
+    the planner.
+
+    For derived dimensions (a distinct over a large table, a filtered slice)
+    Catalyst's estimate is the size of the source, so :func:`small` would
+    refuse; this counts at most ``max_rows + 1`` rows instead (a bounded
+    job), which proves the bound exactly."""
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
 def lookup_left(df: DataFrame, dim: DataFrame, on: str | Sequence[str],
                 max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Left lookup join against a dimension (broadcast when small)."""
@@ -59,18 +72,20 @@ def dedupe_lookup(dim: DataFrame, key: str | Sequence[str]) -> DataFrame:
 
 
 def split_values(fact: DataFrame, mapping: DataFrame, key: str,
-                 value_cols: Sequence[str],
-                 max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                 value_cols: Sequence[str], max_rows: int = 1_000_000) -> DataFrame:
     """J4 + W3: many-to-many left join that splits each value evenly.
 
     A key mapped to k targets yields k rows with value × 1/k; an unmapped key
     keeps one row with value × 1.  The multiplier is computed on the small
     mapping (``1/count(*) OVER (PARTITION BY key)``), so the fact side needs
     no row index and no extra shuffle; totals are conserved.
+
+    The mapping is broadcast when it has at most ``max_rows`` rows (checked),
+    so the fact side is never shuffled by its few, possibly skewed, keys.
     """
     weighted = mapping.withColumn(
         "_weight", F.lit(1.0) / F.count(F.lit(1)).over(_w(key)))
-    out = fact.join(small(weighted, max_bytes), on=key, how="left")
+    out = fact.join(small_rows(weighted, max_rows), on=key, how="left")
     w = F.coalesce(F.col("_weight"), F.lit(1.0))
     for c in value_cols:
         out = out.withColumn(c, F.col(c) * w)

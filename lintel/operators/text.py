@@ -265,9 +265,19 @@ def join_back(df: DataFrame, text: str, scores: DataFrame) -> DataFrame:
     return keyed.join(scores, "text_key", "left").drop("text_key")
 
 
+def best_in_array(scores: str | Column) -> Column:
+    """T9, row-local: ``struct(best_label, best_score)`` of an array of
+    candidate scores (label = position; ties go to the lowest position).
+    When a row carries all its candidates, no shuffle is needed."""
+    s = F.array_max(F.transform(col_(scores),
+                                lambda x, i: F.struct(x.cast("double").alias("s"), (-i).alias("neg"))))
+    return F.struct((-s["neg"]).cast("bigint").alias("best_label"), s["s"].alias("best_score"))
+
+
 def best_label(long_scores: DataFrame, key: str, label: str, score: str) -> DataFrame:
-    """Per key, the highest-scoring label and its score (ties: smallest
-    label)."""
+    """T9 on a long ``(key, label, score)`` table: per key, the highest-scoring
+    label and its score (ties: smallest numeric label).  One aggregate by key
+    with a map-side partial step."""
     best = F.max(F.struct(F.col(score).alias("s"), (-F.col(label)).alias("l"))
                  if isinstance(long_scores.schema[label].dataType, T.NumericType)
                  else F.struct(F.col(score).alias("s"), F.col(label).alias("l")))

@@ -221,11 +221,11 @@ SELECT vec_id, first(idx ORDER BY CAST(s AS DOUBLE) DESC, idx) AS best_label,
        max(CAST(s AS DOUBLE)) AS best_score
 FROM e GROUP BY vec_id""")
 def best_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per vector, the component (candidate label) with the highest score."""
+    """Per vector, the component (candidate label) with the highest score;
+    all candidates of a vector are in its row, so this is row-local."""
     e = tables(spark, sf_dir).embeddings
-    long = e.select("vec_id", F.posexplode("embedding").alias("idx", "s"))
-    long = long.select("vec_id", F.col("idx").cast("bigint").alias("idx"), F.col("s").cast("double").alias("s"))
-    return text.best_label(long, "vec_id", "idx", "s")
+    b = text.best_in_array("embedding")
+    return e.select("vec_id", b["best_label"].alias("best_label"), b["best_score"].alias("best_score"))
 
 
 # ----------------------------------------------------------------- vectors

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.operators.joins import small
+from lintel.operators.joins import small, small_rows
 from lintel.sources.tables import Tables
 
 NBSP = "\u00a0"  # no-break space
@@ -94,7 +94,8 @@ def fact_b(t: Tables) -> DataFrame:
     region_code = (F.lit(900) + F.col("n_regionkey")).cast("string")
     j = (o.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
          .join(nc, F.col("c_nationkey") == F.col("_rk"))
-         .join(t.part.select("p_partkey", "p_type"), F.col("p_partkey") == F.col("o_custkey") % 200))
+         .join(small_rows(t.part.filter(F.col("p_partkey") < 200).select("p_partkey", "p_type"), 200),
+               F.col("p_partkey") == F.col("o_custkey") % 200))
     ok = F.col("o_orderkey")
     return j.select(
         F.concat(pub, F.lit("-"), ok.cast("string")).alias("iati_identifier"),
