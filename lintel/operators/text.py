@@ -204,13 +204,19 @@ def tfidf_terms(docs: DataFrame, text: str, positive: str, n: int = 1, k: int =
     prev = F.concat(F.array(F.lit(None).cast("string")),
                     F.slice(srt, 1, F.greatest(F.size(srt) - 1, F.lit(0))))
     runs = F.zip_with(srt, prev, lambda x, p: F.struct(x.alias("term"), (p.isNull() | (x != p)).alias("first")))
+    runs = F.filter(runs, lambda r: r["term"].isNotNull())  # zip_with pads an empty text
+    # Each text also emits one row with a NULL term: its df is the number of
+    # texts N, so N comes out of the same pass.
+    runs = F.concat(runs, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(True).alias("first"))))
     g = docs.select(F.col(positive).alias("_pos"), F.explode(runs).alias("_r"))
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_n"))
     counts = (g.select(F.col("_r.term").alias("term"), F.col("_r.first").cast("long").alias("_d"),
                        F.col("_pos").cast("long").alias("_p"))
-              .groupBy("term").agg(F.sum("_d").alias("_df"), F.sum("_p").alias("_tf"))
-              .filter(F.col("_tf") > 0))
-    sc = attach_scalars(counts, n_docs)
+              .groupBy("term").agg(F.sum("_d").alias("_df"), F.sum("_p").alias("_tf")))
+    # Vocabulary-sized; written once so the norm and the ranking below do not
+    # both recompute the corpus pass.
+    counts = counts.checkpoint(eager=True)
+    n_docs = counts.filter(F.col("term").isNull()).select(F.col("_df").alias("_n"))
+    sc = attach_scalars(counts.filter(F.col("term").isNotNull() & (F.col("_tf") > 0)), n_docs)
     sc = sc.select("term", (F.col("_tf") * (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1)).alias("_s"))
     norm = sc.agg(F.sqrt(F.sum(F.col("_s") * F.col("_s"))).alias("_z"))
     top = attach_scalars(sc, norm).select("term", (F.col("_s") / F.col("_z")).alias("score"))
