@@ -9,9 +9,10 @@ by year, and every report reads it with column pruning, pushed filters and
 partition pruning — exactly how a report reads a warehouse table.
 
 The table path is keyed by the input folder and a hash of the view source,
-so a changed definition never reads a stale table; a table is only used
-once its ``_SUCCESS`` marker exists, so a failed or lost writer leaves
-nothing half-read.
+so a changed definition never reads a stale table.  A table is written to
+a private temporary path and published with one directory rename, and is
+only read once its ``_SUCCESS`` marker exists, so a failed or lost writer
+(or two concurrent ones) never leaves a half table to read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import os
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -27,11 +29,26 @@ from lintel.session import ensure_checkpoint_dir
 from lintel.sources.tables import Tables
 
 
-def _exists(spark, path: str) -> bool:
+def _fs_path(spark, path: str):
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return p.getFileSystem(conf).exists(p)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf), p
+
+
+def _exists(spark, path: str) -> bool:
+    fs, p = _fs_path(spark, path + "/_SUCCESS")
+    return fs.exists(p)
+
+
+def _publish(spark, tmp: str, path: str) -> None:
+    """Move a finished table into place with one directory rename; if another
+    writer got there first, its (identical) table is kept."""
+    fs, src = _fs_path(spark, tmp)
+    _, dst = _fs_path(spark, path)
+    fs.mkdirs(dst.getParent())
+    if not fs.rename(src, dst) and not _exists(spark, path):
+        raise RuntimeError(f"could not publish {path}")
 
 
 def table_path(t: Tables, name: str, build: Callable) -> str:
@@ -51,10 +68,12 @@ def materialized(t: Tables, name: str, build: Callable[[Tables], DataFrame],
         return cache[name]
     path = table_path(t, name, build)
     if not _exists(t.spark, path):
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         w = build(t).write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        w.parquet(tmp)
+        _publish(t.spark, tmp, path)
     df = t.spark.read.parquet(path)
     cache[name] = df
     return df
