@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.functions import columns as C
 from lintel.functions.columns import KW_WORD, PY_SPACE, PY_WORD
 from lintel.operators import checks, rollups, text, vectors
 from lintel.plans.common import SQL_FACT_A_CLEAN, fact_a_clean, r4, tables
@@ -199,6 +200,32 @@ def tfidf_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tfidf(spark, sf_dir, 2)
 
 
+# The scorer's label that marks a text as "about something else" (P9).
+FALSE_POSITIVE_LABEL = "short"
+
+
+@register("scored_keyword_eval", ("T1", "T8", "J10", "P9", "T3", "A8"), "WITH " + sql_kw_values(DOC_KW) + f""",
+scored AS (
+  SELECT doc_id, text,
+         starts_with(CASE WHEN length(text) > 2000 THEN 'long' ELSE 'short' END, '{FALSE_POSITIVE_LABEL}')
+           AS false_positive
+  FROM documents WHERE text IS NOT NULL
+)
+SELECT kw.word, count(*) AS n, round(avg(CAST(s.false_positive AS DOUBLE)), 6) AS false_positive_rate
+FROM scored s, kw WHERE {SQL_KW_MATCH.replace('@col', 's.text')}
+GROUP BY kw.word""")
+def scored_keyword_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword-definition chain: score each distinct text once, flag
+    rows whose label marks them as off-topic, then evaluate every keyword
+    (rows matched and their false-positive rate)."""
+    d = tables(spark, sf_dir).documents.select("doc_id", "text").filter(F.col("text").isNotNull())
+    scores = text.score_distinct(d, "text", text.length_scorer)
+    scored = text.join_back(d, "text", scores)
+    flagged = scored.withColumn("false_positive", C.flag_from_label("zs_label", FALSE_POSITIVE_LABEL))
+    ev = text.evaluate(flagged, "doc_id", ["text"], DOC_KW, "false_positive")
+    return ev.select("word", "n", F.round("false_positive_rate", 6).alias("false_positive_rate"))
+
+
 # ------------------------------------------------------- scoring and labels
 
 @register("score_distinct_join_back", ("T8", "J10"), """

@@ -56,3 +56,12 @@ def test_stopwords_from_spark_lists():
 def test_frequency(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
     assert {r.k: r.n for r in rollups.frequency(df, ["k"]).collect()} == {"a": 2, None: 1}
+
+
+def test_all_string_reader(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "s2")
+    with open(path + ".csv", "w") as f:
+        f.write('a,b\n1,"x, ""y"""\n,NA\n')
+    df = files.read_all_string(spark, path + ".csv", ["a", "b"])
+    rows = [tuple(r) for r in df.collect()]
+    assert rows == [("1", 'x, "y"'), (None, "NA")]
