@@ -43,6 +43,7 @@ def get_session(master: str | None = None, app: str = "lintel",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -65,3 +66,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "lintel", f"{name}-{uuid.uuid4().hex}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lintel`` importable in the executors' Python workers.
+
+    The pandas scorer/encoder functions run in executor Python processes,
+    which import this package; it is zipped next to the package (named by a
+    hash of its sources) and added with ``addPyFile`` once per application,
+    the same way ``--py-files`` ships code to a cluster."""
+    import hashlib
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    sources = []
+    for dirpath, _dirs, names in os.walk(pkg_dir):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                sources.append(os.path.join(dirpath, n))
+    sources.sort()
+    digest = hashlib.sha1()
+    for p in sources:
+        with open(p, "rb") as f:
+            digest.update(p[len(root):].encode() + f.read())
+    build = os.path.join(root, "build")
+    try:
+        os.makedirs(build, exist_ok=True)
+    except OSError:  # read-only checkout: build the archive on the driver only
+        build = tempfile.mkdtemp(prefix="lintel-pyfiles-")
+    target = os.path.join(build, f"lintel-{digest.hexdigest()[:12]}.zip")
+    if not os.path.exists(target):
+        part = f"{target}.{uuid.uuid4().hex}.part"
+        with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sources:
+                z.write(p, os.path.relpath(p, root))
+        os.replace(part, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

@@ -24,6 +24,8 @@ def spark():
     if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lintel-test-ckpt-"))
     ensure_checkpoint_dir(s)
+    from lintel.session import ship_package
+    ship_package(s)
     yield s
 
 
