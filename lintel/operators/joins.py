@@ -155,7 +155,10 @@ def recode_via_lookups(df: DataFrame, code_col: str, out_col: str,
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the columns of a one-row frame on every row.
 
-    The one-row side is an aggregate without grouping keys (or a single
-    constant row), so its size is fixed at one row and it is broadcast.
+    ``one_row`` is an aggregate without grouping keys (or one constant row),
+    so it holds exactly one row: it is broadcast and looked up through a
+    constant key (a hash join), each row of ``df`` meeting that single row.
     """
-    return df.join(F.broadcast(one_row), how="cross")
+    right = one_row.withColumn("_scalar_key", F.lit(0))
+    return (df.withColumn("_scalar_key", F.lit(0))
+            .join(F.broadcast(right), "_scalar_key").drop("_scalar_key"))
