@@ -22,15 +22,19 @@ TABLE_NAMES = (
 TEXT_TABLES = frozenset({"documents", "pages", "benchmark", "conversations"})
 
 
+# Spread a text scan over at most this many partitions.
+MAX_SPREAD = 256
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` (default: the
-    session's parallelism) when its scan yields fewer.
+    """Round-robin ``df`` when its scan yields fewer partitions than
+    ``min(parallelism, MAX_SPREAD)``.
 
-    A large input already has one partition per file split, so this is a
-    no-op at scale; it matters when a few big row groups would otherwise put
-    all the text work on a few tasks."""
+    A large input already has one partition per file split (far more than
+    ``MAX_SPREAD``), so this never shuffles a big table; it matters when a
+    few big row groups would otherwise put all the text work on a few tasks."""
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
+    want = min_partitions or min(spark.sparkContext.defaultParallelism, MAX_SPREAD)
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
