@@ -330,11 +330,25 @@ SELECT recipient_iso3_code, sector_code, year,
 FROM {_FEP_LAST}""")
 def fixed_effect_nowcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nowcast-year fit and 95 % band per (recipient, sector) cell."""
-    p = sector_panel(tables(spark, sf_dir))
+    pred = fe_nowcast(tables(spark, sf_dir))
+    return pred.select("recipient_iso3_code", "sector_code", "year",
+                       *[_r6(c).alias(c) for c in ["fit", "lwr", "upr"]])
+
+
+def fe_nowcast(t: Tables) -> DataFrame:
+    """(recipient, sector, year, fit, lwr, upr) for the nowcast year."""
+    p = sector_panel(t)
     complete, model = fe_model(p, NOWCAST_YEAR)
     train = complete.filter(F.col("year") < NOWCAST_YEAR)
     rows = ols.fe_demean(train, complete.filter(F.col("year") == NOWCAST_YEAR),
                          "recipient_iso3_code", "sector_code", [CRS, *FE_XS])
     pred = ols.fe_predict(rows, model, CRS, FE_XS)
-    return pred.select("recipient_iso3_code", "sector_code", "year",
-                       *[_r6(c).alias(c) for c in ["fit", "lwr", "upr"]])
+    return pred.select("recipient_iso3_code", "sector_code", "year", "fit", "lwr", "upr")
+
+
+# SQL of the nowcast rows, for reports built on them (CTE ``fe_now``).
+SQL_FE_NOW = (W_SPANEL + ",\n" + _FE_SQL + ",\n" +
+              f"fep_in AS (SELECT p.*, m.* FROM fe_dm p, {_FE_LAST} m WHERE p.year = {NOWCAST_YEAR})" + ",\n" +
+              ",\n".join(_FEP_CHAIN) + f""",
+fe_now AS (SELECT recipient_iso3_code, sector_code, year, fit + {CRS}_off AS fit,
+                  lwr + {CRS}_off AS lwr, upr + {CRS}_off AS upr FROM {_FEP_LAST})""")

@@ -12,7 +12,7 @@ from lintel.operators.joins import attach_scalars, dedupe_lookup, lookup_left
 from lintel.plans.common import (DEFLATORS, NOWCAST_YEAR, SECTOR_DEFINITION, SQL_FACT_A_CLEAN, fact_a_clean, r4,
                                  tables)
 from lintel.plans.oracle_views import VIEWS
-from lintel.plans.q_models import _M2_SQL, _NOW_LAST, _NOW_SQL, CRS, W_PANEL, nowcast
+from lintel.plans.q_models import _M2_SQL, _NOW_LAST, _NOW_SQL, CRS, SQL_FE_NOW, W_PANEL, fe_nowcast, nowcast
 from lintel.plans.registry import ORACLE, QUERIES, register
 from lintel.session import scratch_path
 from lintel.sources import files, views
@@ -117,6 +117,45 @@ def recipient_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(*[r4(c).alias(c) for c in q.columns])
 
 
+@register("sector_nowcast_by_purpose", ("M3", "M4", "P11", "P10", "A3", "J11"), SQL_FE_NOW + ",\n" + SQL_DEFL + f""",
+cl AS (SELECT sector_code, year,
+              CASE WHEN fit * f < 0 THEN 0 ELSE fit * f END AS v,
+              CASE WHEN lwr * f < 0 THEN 0 ELSE lwr * f END AS lo,
+              CASE WHEN upr * f < 0 THEN 0 ELSE upr * f END AS hi
+       FROM fe_now, defl)
+SELECT 'Purpose ' || sector_code AS purpose_name, year,
+       round(coalesce(sum(v), 0), 6) AS {MEASURE}, round(coalesce(sum(lo), 0), 6) AS {LWR},
+       round(coalesce(sum(hi), 0), 6) AS {UPR}
+FROM cl GROUP BY ALL""")
+def sector_nowcast_by_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sector definition: the fixed-effects nowcast per cell, deflated and
+    clamped, summed per purpose (value and band)."""
+    t = tables(spark, sf_dir)
+    n = attach_scalars(fe_nowcast(t), deflator_factor(t))
+    n = n.select(F.concat(F.lit("Purpose "), F.col("sector_code")).alias("purpose_name"), "year",
+                 C.clamp_nonneg(C.scale("fit", "f")).alias("v"),
+                 C.clamp_nonneg(C.scale("lwr", "f")).alias("lo"),
+                 C.clamp_nonneg(C.scale("upr", "f")).alias("hi"))
+    out = rollups.sum_by(n, ["purpose_name", "year"], {MEASURE: "v", LWR: "lo", UPR: "hi"})
+    return out.select("purpose_name", "year", *[F.round(c, 6).alias(c) for c in (MEASURE, LWR, UPR)])
+
+
+@register("recipient_totals_ranked", ("G2", "J1", "A5", "O1"), _W_MOD + f""",
+rows_ AS (
+  SELECT recipient_name, {MEASURE} AS v FROM fact_a_clean
+  UNION ALL
+  SELECT l.recipient_name, m.v FROM modelled m LEFT JOIN names_lu l ON m.recipient_iso3_code = l.recipient_iso3_code
+)
+SELECT recipient_name, round(coalesce(sum(v), 0), 4) AS {MEASURE} FROM rows_ GROUP BY recipient_name""")
+def recipient_totals_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual years plus the modelled year, per recipient name, largest first."""
+    t = tables(spark, sf_dir)
+    act = fact_a_clean(t).select("recipient_name", F.col(MEASURE).alias("v"))
+    mod = lookup_left(modelled_rows(t), recipient_name_lookup(t), "recipient_iso3_code").select("recipient_name", "v")
+    out = rollups.sum_by(act.unionByName(mod), ["recipient_name"], {MEASURE: "v"})
+    return rollups.order_desc(out.select("recipient_name", r4(MEASURE).alias(MEASURE)), MEASURE, ["recipient_name"])
+
+
 # ------------------------------------------------------ definition comparison
 
 def _by_country(df: DataFrame) -> DataFrame:
