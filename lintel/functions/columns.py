@@ -138,8 +138,10 @@ def concat_text(*cols: str | Column) -> Column:
 def normalize_text(c: str | Column) -> Column:
     """Non-word characters to space, collapse whitespace, strip, lower;
     a blank result is NULL."""
-    s = F.regexp_replace(col_(c), f"[^{PY_WORD}{PY_SPACE}]", " ")
-    s = F.regexp_replace(s, f"[{PY_SPACE}]+", " ")
+    # "non-word, non-space → space" followed by "whitespace runs → one space"
+    # is the same as one pass turning every run of non-word characters into a
+    # single space.
+    s = F.regexp_replace(col_(c), f"[^{PY_WORD}]+", " ")
     s = F.lower(F.trim(s))
     return F.when(s == "", F.lit(None)).otherwise(s)
 
