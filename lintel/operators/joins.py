@@ -133,18 +133,22 @@ def full_with_suffixes(left: DataFrame, right: DataFrame, key: str,
 def recode_via_lookups(df: DataFrame, code_col: str, out_col: str,
                        layers: Sequence[tuple[DataFrame, str, str]],
                        drop_unresolved: bool = True,
-                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                       max_rows: int = 1_000_000) -> DataFrame:
     """Resolve a code through several lookup tables; the first layer with
     a match wins (e.g. region mapping, then overrides, then the ISO table).
 
     ``layers`` are ``(table, key_col, value_col)``; each is deduplicated on its
     key and joined left; rows left unresolved are dropped when asked (P4).
+    Code lists are small but often of unknown size to the planner (local
+    rows, derived tables), so each layer's row count is checked against
+    ``max_rows`` before it is broadcast: the fact is never shuffled by its
+    few, skewed codes.
     """
     out = df
     vals = []
     for i, (tab, k, v) in enumerate(layers):
         t = dedupe_lookup(tab.select(F.col(k).alias(f"_k{i}"), F.col(v).alias(f"_v{i}")), f"_k{i}")
-        out = out.join(small(t, max_bytes), F.col(code_col) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        out = out.join(small_rows(t, max_rows), F.col(code_col) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         vals.append(F.col(f"_v{i}"))
     out = out.withColumn(out_col, F.coalesce(*vals)).drop(*[f"_v{i}" for i in range(len(layers))])
     if drop_unresolved:
@@ -156,8 +160,9 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the columns of a one-row frame on every row.
 
     ``one_row`` is an aggregate without grouping keys (or one constant row),
-    so it holds exactly one row: it is broadcast and looked up through a
-    constant key (a hash join), each row of ``df`` meeting that single row.
+    so it holds exactly one row: it is broadcast, and each row of ``df``
+    meets that single row (the planner runs it as a nested-loop join whose
+    build side is the one row; no pairs beyond one per row are formed).
     """
     right = one_row.withColumn("_scalar_key", F.lit(0))
     return (df.withColumn("_scalar_key", F.lit(0))
