@@ -97,6 +97,26 @@ def _w(key: str):
     return Window.partitionBy(key)
 
 
+def join_split_hot(big: DataFrame, other: DataFrame, key: str, how: str = "left",
+                   hot_rows: int = 1_000_000, max_hot_keys: int = 100_000) -> DataFrame:
+    """Equi-join that splits hot keys off before shuffling.
+
+    Keys carrying more than ``hot_rows`` rows of ``big`` (found with one
+    partially pre-aggregated count) are joined against a broadcast of their
+    few matching rows of ``other``; only the remaining keys go through the
+    shuffled join.  A key holding a third of all rows therefore never lands
+    on one reducer.  The hot-key list is at most ``len(big) / hot_rows``
+    long and its size is checked before it is broadcast; ``other`` must hold
+    few rows per key (a lookup such as scores by text key)."""
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > hot_rows).select(key)
+    hot_b = small_rows(hot, max_hot_keys)
+    big_hot = big.join(hot_b, key, "left_semi")
+    big_cold = big.join(hot_b, key, "left_anti")
+    other_hot = small_rows(other.join(hot_b, key, "left_semi"), max_hot_keys)
+    return big_hot.join(other_hot, key, how).unionByName(big_cold.join(other, key, how))
+
+
 def full_reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join on all shared keys, NULL keys matching NULL keys.
 

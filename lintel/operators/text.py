@@ -264,11 +264,13 @@ def score_distinct(df: DataFrame, text: str, scorer: Scorer = length_scorer,
     return scores.checkpoint(eager=True) if persist else scores
 
 
-def join_back(df: DataFrame, text: str, scores: DataFrame) -> DataFrame:
+def join_back(df: DataFrame, text: str, scores: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """Scores back onto every row.  The text itself is not shuffled: the
-    rows carry only its key into the join."""
+    rows carry only its key into the join; a text copied onto very many rows
+    (more than ``hot_rows``) is joined by broadcast instead of by shuffle."""
+    from lintel.operators.joins import join_split_hot
     keyed = df.withColumn("text_key", text_key(text))
-    return keyed.join(scores, "text_key", "left").drop("text_key")
+    return join_split_hot(keyed, scores, "text_key", "left", hot_rows=hot_rows).drop("text_key")
 
 
 def best_in_array(scores: str | Column) -> Column:

@@ -67,3 +67,12 @@ def test_full_with_suffixes(spark):
     b = spark.createDataFrame([("Y", 3.0), ("Z", 4.0)], "iso string, v double")
     out = {r.iso: (r.v_p, r.v_k) for r in joins.full_with_suffixes(a, b, "iso", ("_p", "_k")).collect()}
     assert out == {"X": (1.0, 0.0), "Y": (2.0, 3.0), "Z": (0.0, 4.0)}
+
+
+def test_join_split_hot_matches_plain_join(spark):
+    rows = [("hot", i) for i in range(50)] + [("a", 1), ("b", 2), (None, 3)]
+    big = spark.createDataFrame(rows, "k string, i int")
+    other = spark.createDataFrame([("hot", 1.0), ("a", 2.0)], "k string, s double")
+    got = sorted((r.k or "", r.i, r.s) for r in joins.join_split_hot(big, other, "k", "left", hot_rows=10).collect())
+    want = sorted((r.k or "", r.i, r.s) for r in big.join(other, "k", "left").collect())
+    assert got == want and len(got) == 53
