@@ -24,6 +24,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lintel.session import ensure_checkpoint_dir
 from lintel.sources.tables import Tables
@@ -61,7 +62,7 @@ def table_path(t: Tables, name: str, build: Callable) -> str:
 
 
 def materialized(t: Tables, name: str, build: Callable[[Tables], DataFrame],
-                 partition_by: Sequence[str] = ()) -> DataFrame:
+                 partition_by: Sequence[str] = (), partition_type: str = "bigint") -> DataFrame:
     """Read the warehouse table ``name``; write it first if it is missing."""
     cache = t.__dict__.setdefault("_warehouse", {})
     if name in cache:
@@ -75,5 +76,9 @@ def materialized(t: Tables, name: str, build: Callable[[Tables], DataFrame],
         w.parquet(tmp)
         _publish(t.spark, tmp, path)
     df = t.spark.read.parquet(path)
+    # Partition discovery infers the narrowest type for the directory values;
+    # restore the declared type of the partition columns (years are BIGINT).
+    for c in partition_by:
+        df = df.withColumn(c, F.col(c).cast(partition_type))
     cache[name] = df
     return df

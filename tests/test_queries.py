@@ -34,9 +34,17 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
+    rel = con.sql(E.oracle_sql()[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:
+        assert SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) == duck_types[f.name], f.name
     srows = [tuple(r) for r in df.collect()]
     cur = con.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in cur.description]
