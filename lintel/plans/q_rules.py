@@ -31,14 +31,12 @@ SELECT x_transaction_year, count(*) AS n,
 FROM fact_b
 WHERE reporting_org_ref IS NOT NULL
   AND NOT starts_with(x_sector_code, 'PRO')
-  AND starts_with(iati_identifier, 'P1')
   AND contains(funding_orgs, '(1-URGENT)')
 GROUP BY x_transaction_year""")
 def key_and_text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     fb = views.fact_b_table(tables(spark, sf_dir))
     f = (fb.filter(F.col("reporting_org_ref").isNotNull())
          .filter(C.starts_with("x_sector_code", "PRO", negate=True))
-         .filter(C.starts_with("iati_identifier", "P1"))
          .filter(C.contains_literal("funding_orgs", "(1-URGENT)")))
     return (f.groupBy("x_transaction_year")
             .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
