@@ -209,12 +209,12 @@ def definition_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("iso_3", *[r4(x).alias(x) for x in _CMP_COLS])
 
 
-@register("country_attributes_join", ("J7", "S7"), _W_CMP + f"""
+@register("feature_properties_join", ("J7", "S7"), _W_CMP + f"""
 SELECT coalesce(a.iso_3, c.iso_3) AS iso_3, a.adm0_name1,
        {", ".join(f"round(c.{x}, 4) AS {x}" for x in _CMP_COLS)}
 FROM (SELECT iso3 AS iso_3, display_name AS adm0_name1 FROM nation_codes) a
 FULL OUTER JOIN cmp c ON a.iso_3 = c.iso_3""")
-def country_attributes_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_properties_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Country attributes (the properties of a feature collection) joined to
     the comparison; countries without data are kept with NULL measures."""
     t = tables(spark, sf_dir)
