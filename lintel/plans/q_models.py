@@ -42,14 +42,16 @@ def keyword_panel(t: Tables, materialize: bool = False) -> DataFrame:
 
     The panel is dimension-sized (recipients × years).  A model reads it
     several times (moments, then the rows to predict), so ``materialize``
-    checkpoints it to the shared folder once instead of recomputing the fact
-    joins for every read."""
+    writes it once as an intermediate table in the shared folder instead of
+    recomputing it for every read."""
+    if materialize:
+        from lintel.sources.warehouse import materialized
+        return materialized(t, "keyword_panel", lambda tt: keyword_panel(tt, materialize=False))
     m = merged_panel(t)
     p0 = rollups.sum_by(m, ["year", "recipient_iso3_code"], {CRS: CRS, IATI: IATI})
     d = panel.densify(p0, ["recipient_iso3_code"], "year", [CRS, IATI])
     d = panel.with_lags(d, ["recipient_iso3_code"], "year", [CRS, IATI])
-    d = panel.with_difference(d, IATI, f"{IATI}_t1", "delta_iati")
-    return d.checkpoint(eager=True) if materialize else d
+    return panel.with_difference(d, IATI, f"{IATI}_t1", "delta_iati")
 
 
 SQL_PANEL = f"""p0 AS (
@@ -229,14 +231,17 @@ FE_NAMES = [IATI, f"{CRS}_t1", "delta_iati", "year"]
 
 def sector_panel(t: Tables, materialize: bool = True) -> DataFrame:
     """Recipient × sector × year panel (full product), with lags and ΔB;
-    checkpointed once (it is read by five aggregates and the prediction)."""
+    written once as an intermediate table (five aggregates and the
+    prediction read it)."""
+    if materialize:
+        from lintel.sources.warehouse import materialized
+        return materialized(t, "sector_panel", lambda tt: sector_panel(tt, materialize=False))
     m = merged_panel(t)
     p0 = rollups.sum_by(m, ["year", "sector_code", "recipient_iso3_code"], {CRS: CRS, IATI: IATI})
     d = panel.expand_grid(p0, ["recipient_iso3_code", "sector_code"], "year", [CRS, IATI])
     d = panel.with_lags(d, ["recipient_iso3_code", "sector_code"], "year", [CRS, IATI])
     d = panel.with_difference(d, IATI, f"{IATI}_t1", "delta_iati")
-    d = d.withColumn("year_x", F.col("year").cast("double"))
-    return d.checkpoint(eager=True) if materialize else d
+    return d.withColumn("year_x", F.col("year").cast("double"))
 
 
 def fe_model(p: DataFrame, train_max_year: int) -> tuple[DataFrame, DataFrame]:

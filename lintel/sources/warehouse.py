@@ -8,7 +8,7 @@ as a parquet table under the session's shared checkpoint folder, partitioned
 by year, and every report reads it with column pruning, pushed filters and
 partition pruning — exactly how a report reads a warehouse table.
 
-The table path is keyed by the input folder and a hash of the view source,
+The table path is keyed by the input folder and a hash of the package source,
 so a changed definition never reads a stale table.  A table is written to
 a private temporary path and published with one directory rename, and is
 only read once its ``_SUCCESS`` marker exists, so a failed or lost writer
@@ -18,9 +18,9 @@ only read once its ``_SUCCESS`` marker exists, so a failed or lost writer
 from __future__ import annotations
 
 import hashlib
-import inspect
 import os
 import uuid
+from functools import lru_cache
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -52,12 +52,22 @@ def _publish(spark, tmp: str, path: str) -> None:
         raise RuntimeError(f"could not publish {path}")
 
 
-def table_path(t: Tables, name: str, build: Callable) -> str:
-    # The defining module and the stand-in views it builds on: a change to
-    # either gives a new key, so a stale table is never read.
-    from lintel.sources import views
-    src = inspect.getsource(inspect.getmodule(build)) + inspect.getsource(views)
-    key = hashlib.sha1(f"{os.path.abspath(t.sf_dir)}|{src}".encode()).hexdigest()[:16]
+@lru_cache(maxsize=1)
+def _package_digest() -> str:
+    """Hash of every source file of the package: any change to a definition
+    that a table depends on gives the table a new path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for dirpath, _dirs, names in sorted(os.walk(root)):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                with open(os.path.join(dirpath, n), "rb") as f:
+                    h.update(n.encode() + f.read())
+    return h.hexdigest()
+
+
+def table_path(t: Tables, name: str) -> str:
+    key = hashlib.sha1(f"{os.path.abspath(t.sf_dir)}|{_package_digest()}".encode()).hexdigest()[:16]
     return os.path.join(ensure_checkpoint_dir(t.spark), "lintel", "warehouse", f"{name}-{key}")
 
 
@@ -67,7 +77,7 @@ def materialized(t: Tables, name: str, build: Callable[[Tables], DataFrame],
     cache = t.__dict__.setdefault("_warehouse", {})
     if name in cache:
         return cache[name]
-    path = table_path(t, name, build)
+    path = table_path(t, name)
     if not _exists(t.spark, path):
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         w = build(t).write.mode("overwrite")
