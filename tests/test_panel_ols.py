@@ -133,3 +133,10 @@ def test_fixed_effects_match_dummy_regression(spark):
     h = np.einsum("ij,jk,ik->i", B, inv, B)
     assert np.allclose(pred["fit"].values, B @ beta, rtol=1e-7)
     assert np.allclose((pred["upr"] - pred["fit"]).values, t975(dof) * np.sqrt(s2 * h), rtol=1e-6)
+
+
+def test_densify_refuses_unbounded_period_sets(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 2020, 1.0), ("a", 2021, 2.0), ("b", 2022, 3.0)], "k string, year int, v double")
+    monkeypatch.setattr(panel, "MAX_PERIODS", 2)
+    with pytest.raises(Exception, match="too many periods"):
+        panel.densify(df, ["k"], "year", ["v"]).collect()
