@@ -138,3 +138,14 @@ def test_vector_cache_only_encodes_new(spark, tmpdir_path):
     rows = out.groupBy("batch").count().collect()
     assert sorted((r.batch, r["count"]) for r in rows) == [(0, 2), (1, 1)]
     assert out.filter(F.col("n_words") == 2.0).count() == 2
+
+
+def test_tfidf_ranking_stable_under_repartition(spark):
+    docs = pd.DataFrame({"t": ["aa bb cc", "bb cc dd", "cc dd ee", "ee ff aa", "gg hh", "aa gg"],
+                         "positive": [True, True, False, True, False, True]})
+    df = spark.createDataFrame(docs)
+    first = [tuple(r) for r in text.tfidf_terms(df, "t", "positive", n=1, k=5).collect()]
+    for n in (1, 3, 7):
+        again = [tuple(r) for r in text.tfidf_terms(df.repartition(n), "t", "positive", n=1, k=5).collect()]
+        assert [(a, b) for a, b, _ in again] == [(a, b) for a, b, _ in first]
+        assert [c for _, _, c in again] == pytest.approx([c for _, _, c in first])
