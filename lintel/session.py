@@ -55,7 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Local runs and tests only: a cluster always names a shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="lintel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -96,11 +97,7 @@ def ship_package(spark: SparkSession) -> None:
     for p in sources:
         with open(p, "rb") as f:
             digest.update(p[len(root):].encode() + f.read())
-    build = os.path.join(root, "build")
-    try:
-        os.makedirs(build, exist_ok=True)
-    except OSError:  # read-only checkout: build the archive on the driver only
-        build = tempfile.mkdtemp(prefix="lintel-pyfiles-")
+    build = tempfile.mkdtemp(prefix="lintel-pyfiles-")  # the driver's own; addPyFile sends it on
     target = os.path.join(build, f"lintel-{digest.hexdigest()[:12]}.zip")
     if not os.path.exists(target):
         part = f"{target}.{uuid.uuid4().hex}.part"

@@ -7,15 +7,13 @@ are the fixed stand-ins that hit the driver's invented prose and part names.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lintel.sources.files import read_table
+from lintel.sources.stopwords import LISTS
 
 KEYWORD_SCHEMA = T.StructType([
     T.StructField("word", T.StringType()),
@@ -68,16 +66,5 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
 
 @lru_cache(maxsize=None)
 def stopwords(languages: tuple[str, ...] = STOPWORD_LANGUAGES) -> tuple[str, ...]:
-    """Union of Spark's bundled stop-word lists (the lists behind
-    ``StopWordsRemover.loadDefaultStopWords``), read from the installed
-    Spark ML jar so that no JVM is needed to build a plan or an oracle."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("Spark ML jar not found")
-    words: set[str] = set()
-    with zipfile.ZipFile(jars[0]) as z:
-        for lang in languages:
-            data = z.read(f"org/apache/spark/ml/feature/stopwords/{lang}.txt").decode("utf-8")
-            words.update(w.strip() for w in data.split() if w.strip())
-    return tuple(sorted(words))
+    """Union of the stop-word lists of ``languages``, sorted."""
+    return tuple(sorted({w for lang in languages for w in LISTS[lang]}))
