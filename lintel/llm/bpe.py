@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import PieceIds, file_bytes
+from lintel.llm.common import PieceIds, file_bytes, slices
 
 LEAF = 24        # bytes that are merged directly
 ROWS = 256       # rows handled at a time inside a task
@@ -123,11 +123,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         ids = _coder(data.value, pattern)[1]
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                out = ids.batch(part.column(1).to_pylist())
-                yield pa.record_batch([part.column(0), pa.array([len(x) // 4 for x in out], pa.int64()),
-                                       pa.array(out, pa.binary())], ["id", "n_tokens", "ids"])
+            for part in slices(batch, 1):
+                flat, n = ids.batch(part.column(1))
+                offs = np.concatenate([[0], 4 * np.cumsum(n)])
+                out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [
+                    None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), out.cast(pa.binary())],
+                                      ["id", "n_tokens", "ids"])
 
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary")

@@ -12,6 +12,8 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,35 +94,107 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 PIECES = re.compile(r"(?<=\S)(?=[ \n]\S)").split
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 2048, size: int = 8 << 20):
+    """Slices of a batch of about ``size`` bytes of one column, at most ``rows`` rows."""
+    lens = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        before = lens[a - 1] if a else 0
+        b = min(a + rows, max(a + 1, int(np.searchsorted(lens, before + size))))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+# A key that is no word, or whose word begins or ends with white space.
+_WS = r"\x09\x0b-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD = rf"^[\x00\n]?$|^[\x00\n][{_WS}\n]|^[{_WS}]|[{_WS}\n]$"
+
+
 class PieceIds:
     """Ids of texts through a bounded memo of their pieces.
 
-    ``encode`` maps a list of distinct pieces to a list of ``uint32`` arrays'
-    bytes.  The memo is emptied when it holds ``limit`` pieces, so its memory
-    does not grow with the input.
+    ``encode`` maps a list of distinct pieces to their ids as bytes.  Texts
+    without odd white space are cut by string splitting alone: a key is then a
+    word (the blank before it is understood), a line feed with the word after
+    it, or NUL and the text's first word; other texts are cut by ``PIECES``
+    and their keys start with SOH.  The memo has two generations of at most
+    ``limit`` pieces; the older one is forgotten when the younger is full, so
+    memory does not grow with the input and frequent pieces stay.
     """
 
-    def __init__(self, encode, limit: int = 800_000):
-        self.encode, self.limit, self.memo = encode, limit, {}
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text (None: empty)."""
-        cut = [PIECES(t) if t else [] for t in texts]
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        new = list({p for c in cut for p in c if p not in memo})
-        if new:
-            memo.update(zip(new, self.encode(new)))
-        get = memo.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
+    def __init__(self, encode, limit: int = 450_000):
+        self.encode, self.limit, self.memo, self.old = encode, limit, {}, {}
+
+    @staticmethod
+    def _piece(key: str) -> str:
+        return key[1:] if key[0] in "\0\1" else key if key[0] == "\n" else " " + key
+
+    def _of(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct keys."""
+        if len(self.memo) > self.limit:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        out = list(map(memo.get, keys))
+        new = [i for i, v in enumerate(out) if v is None]
+        todo = []
+        for i in new:
+            got = out[i] = old.get(keys[i])
+            if got is None:
+                todo.append(i)
+            else:
+                memo[keys[i]] = got
+        for i, v in zip(todo, self.encode([self._piece(keys[i]) for i in todo]) if todo else ()):
+            out[i] = memo[keys[i]] = v
+        return out
 
-MARK, GROUP = " \0", 256
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and how many are each text's (null: none)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        plain = pc.binary_join_element_wise(pa.scalar("\0"),
+                                            pc.replace_substring(texts, "\n", " \n"), "")
+        words = pc.split_pattern(plain, " ")
+        offs = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        codes, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        odd = pc.match_substring_regex(coded.dictionary, ODD).to_numpy(zero_copy_only=False)
+        counts = np.add.reduceat(np.append(odd[codes], False), offs[:-1], dtype=np.int64) if len(texts) else offs[:0]
+        bad = (counts > 0) | pc.or_(pc.match_substring(texts, "\0"), pc.match_substring(texts, "\1")).to_numpy(
+            zero_copy_only=False)
+        # ids of what is left of the keys, then of each odd text as one piece of its own
+        if bad.any():
+            sure = np.zeros(len(keys), bool)
+            sure[codes[~np.repeat(bad, np.diff(offs))]] = True
+        else:
+            sure = np.ones(len(keys), bool)
+        got = [b""] * len(keys)
+        use = np.flatnonzero(sure).tolist()
+        for i, v in zip(use, self._of([keys[i] for i in use])):
+            got[i] = v
+        if bad.any():
+            parts, last = [], 0
+            for i in np.flatnonzero(bad).tolist():
+                mine = ["\1" + p for p in PIECES(texts[i].as_py())] if len(texts[i].as_py()) else []
+                known = dict(zip(dict.fromkeys(mine), self._of(list(dict.fromkeys(mine)))))
+                got.append(b"".join([known[k] for k in mine]))
+                parts += [codes[last:offs[i]], np.array([len(got) - 1], codes.dtype)]
+                last = offs[i + 1]
+            codes = np.concatenate([*parts, codes[last:]])
+            offs = np.concatenate([[0], np.cumsum(np.where(bad, 1, np.diff(offs)))])
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), "<u4")
+        begin = np.cumsum(size) - size
+        each = size[codes]
+        stop = np.cumsum(each)
+        at = np.repeat(begin[codes] - (stop - each), each) + np.arange(int(stop[-1]) if len(stop) else 0)
+        ends = np.concatenate([[0], stop])[offs]
+        return flat[at], np.diff(ends)
+
+
+GROUP = 256
 
 
 def library_encoder(data: bytes):
-    """Piece encoder over the JSON file of a ``tokenizers`` tokenizer."""
+    """Piece encoder over the JSON file of a byte-level ``tokenizers`` tokenizer."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -128,29 +202,52 @@ def library_encoder(data: bytes):
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
     tok.no_truncation()
     tok.no_padding()
-
-    end = tok.encode(MARK, add_special_tokens=False).ids
+    end = getattr(tok.model, "end_of_word_suffix", None) or ""
+    vocab = tok.get_vocab()
+    width = np.zeros(max(vocab.values()) + 1, np.int64)     # bytes of each token: one character a byte
+    for token, i in vocab.items():
+        width[i] = len(token) - (len(end) if end and token.endswith(end) else 0)
+    blanks = not end     # with word ends, white space is dropped
+    normal = tok.normalizer.normalize_str if tok.normalizer is not None else None
+
+    def sizes(parts: list[str], text: str) -> np.ndarray:
+        """Bytes that the ids of each part stand for."""
+        if text.isascii():
+            n = list(map(len, parts))
+        else:
+            n = [len((normal(p) if normal is not None and not p.isascii() else p).encode("utf-8")) for p in parts]
+        return np.array(n) if blanks else np.array(n) - 1
+
+    def alone(p: str) -> bytes:
+        return np.array(tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(pieces: list[str]) -> list[bytes]:
-        # many pieces a call, each followed by a mark that is a token match of
-        # its own; pieces that hold the mark's character go alone
+        # a call takes many pieces in a row (each starts where no match can
+        # reach across); the ids' byte counts tell where a piece ends
         out: list[bytes] = [b""] * len(pieces)
         plain = []
         for i, p in enumerate(pieces):
-            if p[0] in " \n" and "\0" not in p and not p[-1].isspace() and end:
+            if p[0] in " \n" and p[1:] and not p[1].isspace() and not p[-1].isspace():
                 plain.append(i)
             else:
-                out[i] = np.array(tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                out[i] = alone(p)
         for k in range(0, len(plain), GROUP):
             part = plain[k:k + GROUP]
-            text = MARK.join([pieces[i] for i in part]) + MARK
+            own = [pieces[i] for i in part]
+            text = "".join(own)
             ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            stop = np.flatnonzero(ids == end[-1])
-            assert len(stop) == len(part)
-            start, raw, back = 0, ids.tobytes(), 4 * (len(end) - 1)
-            for i, e in zip(part, (stop * 4).tolist()):
-                out[i] = raw[start:e - back]
-                start = e + 4
+            done = np.cumsum(width[ids])
+            want = np.cumsum(sizes(own, text))
+            stop = np.searchsorted(done, want)
+            if (len(text.split()) != len(own) or not len(done) or done[-1] != want[-1]
+                    or (done[stop] != want).any()):
+                for i in part:                  # lengths that say nothing: one by one
+                    out[i] = alone(pieces[i])
+                continue
+            start, raw = 0, ids.tobytes()
+            for i, e in zip(part, (4 * stop + 4).tolist()):
+                out[i] = raw[start:e]
+                start = e
         return out
     return encode
 

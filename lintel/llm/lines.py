@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from lintel.llm.common import stored
 
 MIN_CHARS = 24
-HALVES, BLOCKS = 2, 16
+BLOCKS = 16
+BROADCAST_BYTES = 32 << 20
 
 
 def _variants(blocks: int) -> Column:
@@ -54,30 +55,60 @@ def _variants(blocks: int) -> Column:
     return F.concat(F.transform(places, one(0)), F.transform(places, one(1)))
 
 
+def _halves() -> list[Column]:
+    """Keys of the line with one half deleted, for both lengths that a partner may make the shorter."""
+    out = []
+    for back in (0, 1):
+        m = F.char_length("line") - back
+        h = F.shiftright(m, 1)
+        out += [F.xxhash64(m, F.lit(0), F.substr("line", F.lit(1), h)),
+                F.xxhash64(m, F.lit(1), F.substr("line", h + back + 1))]
+    return out
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(at (doc, th, pos), line, h1, h2) of every line that counts."""
+    """(at (doc, th, pos), h1, h2, halves) of every line that counts; the text stays behind."""
     text = F.col(text_col)
     return (docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"),
                         F.posexplode(F.split(text, "\n")).alias("pos", "line"))
             .where(F.char_length("line") >= min_chars)
-            .select(F.struct("doc", "th", "pos").alias("at"), "line",
-                    F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")))
+            .select(F.struct("doc", "th", "pos").alias("at"), F.xxhash64("line").alias("h1"),
+                    F.hash("line").alias("h2"), F.array(*_halves()).alias("halves")))
+
+
+def _shared(emitted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` another line has too."""
+    met = emitted.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    return emitted.join(met, "key", "left_semi")
 
 
-def _with_partner(lines: DataFrame, blocks: int) -> DataFrame:
-    """The rows of ``lines`` with each block variant that another line shares."""
-    emitted = lines.select("*", F.explode(_variants(blocks)).alias("v"))
-    met = (emitted.groupBy(F.col("v.key").alias("key")).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
-           .where("lo <> hi").select("key"))
-    return emitted.join(met, emitted["v.key"] == met["key"], "left_semi")
+def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """A stored frame, to be broadcast if it is small, and else to be joined by a shuffle."""
+    size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of the lines that have an earlier line within one edit."""
-    half = _with_partner(lines, HALVES)
-    # one row a distinct line, with its first place
-    some = stored(half.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("line").alias("line")), "lines")
-    tight = stored(_with_partner(some, BLOCKS).select("h1", "h2", "at", "line", "v"), "variants")
+def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``places`` (h1, h2, at) with their line; only the documents named there are split."""
+    by_doc = stored(places.groupBy(F.col("at.doc").alias("w_doc"), F.col("at.th").alias("w_th")).agg(
+        F.collect_list(F.struct("h1", "h2", "at")).alias("wanted")), "wanted")   # of one text, so bounded by it
+    d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    met = d.join(_small(by_doc, 32 + 64 * F.size("wanted")), d["doc"].eqNullSafe(by_doc["w_doc"]) & (d["th"] == by_doc["w_th"]))
+    return (met.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+            .select("w.*", F.element_at("lines", F.col("w.at.pos") + 1).alias("line"))
+            .dropDuplicates(["h1", "h2"]))      # rows may repeat
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h1, h2) of the lines that have an earlier line within one edit.
+
+    ``lines`` is the stored result of :func:`_lines`.
+    """
+    half = _shared(lines.select("h1", "h2", "at", F.explode("halves").alias("key")))
+    places = half.groupBy("h1", "h2").agg(F.min("at").alias("at"))
+    some = stored(_texts(docs, places, id_col, text_col), "lines")
+    tight = some.select("*", F.explode(_variants(BLOCKS)).alias("v")).withColumn("key", F.col("v.key"))
+    tight = stored(_shared(tight).select("h1", "h2", "at", "line", "v"), "variants")
     n, block = F.char_length("line"), F.substr("line", F.col("v.a") + 1, F.col("v.b") - F.col("v.a"))
     size = F.col("v.b") - F.col("v.a")
     cut = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.struct(
@@ -112,8 +143,8 @@ def near_lines(lines: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS
                   ) -> DataFrame:
     """(doc, th, dropped): the places of the lines to drop, a row per document that has any."""
-    lines = _lines(docs, id_col, text_col, min_chars)
-    near = near_lines(lines).withColumn("near", F.lit(True))
+    lines = stored(_lines(docs, id_col, text_col, min_chars), "lines")
+    near = near_lines(docs, lines, id_col, text_col).withColumn("near", F.lit(True))
     seen = (lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
             .join(near, ["h1", "h2"], "left").where("near or first <> last"))
     gone = stored(lines.select("at", "h1", "h2").join(seen, ["h1", "h2"])
@@ -127,11 +158,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With ``counts``, columns ``n_lines`` and ``n_dropped`` follow.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_chars)
+    gone = stored(dropped_lines(docs, id_col, text_col, min_chars), "dropped")
     names = docs.columns
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("doc"),
                     F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("th"))
-    g = gone.select(F.col("doc").alias("g_doc"), F.col("th").alias("g_th"), "dropped")
+    g = _small(gone.select(F.col("doc").alias("g_doc"), F.col("th").alias("g_th"), "dropped"),
+               40 + 4 * F.size("dropped"))
     j = d.join(g, d["doc"].eqNullSafe(g["g_doc"]) & (d["th"] == g["g_th"]), "left")
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains("dropped", i))

@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import file_bytes, library_ids, stored
+from lintel.llm.common import file_bytes, library_ids, slices, stored
 
 ISLAND = 4096      # pieces in one deal
 ISLANDS = 2        # populations that evolve each deal before they meet
 SETTLED = 0.995    # a bin filled to this share is not dealt again
 POPULATION, GENERATIONS = 6, 24
-ROWS = 256
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,15 +44,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        encode, end, step = library_ids(tokenizer_path, data.value), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encode = library_ids(tokenizer_path, data.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                rows, out = batch.slice(k, ROWS), []
-                for d, ids in zip(rows.column(0).to_pylist(), encode.batch(rows.column(1).to_pylist())):
-                    ids += end
-                    for i, a in enumerate(range(0, len(ids), step)):
-                        cut = ids[a:a + step]
-                        out.append((d, i, a // 4, len(cut) // 4, zlib.crc32(cut)))
+            for rows in slices(batch, 1):
+                ids, lens = encode.batch(rows.column(1))
+                stops = np.cumsum(lens)
+                raw = np.insert(ids, stops, end_id).astype("<u4").tobytes()     # the end id after each text
+                stops, a, out = 4 * (stops + np.arange(1, len(lens) + 1)), 0, []
+                for d, b in zip(rows.column(0).to_pylist(), stops.tolist()):
+                    for i, at in enumerate(range(a, b, 4 * capacity)):
+                        to = min(b, at + 4 * capacity)
+                        out.append((d, i, (at - a) // 4, (to - at) // 4, zlib.crc32(raw[at:to])))
+                    a = b
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (
                     pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])

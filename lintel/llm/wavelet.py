@@ -27,11 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import file_bytes, library_ids, scratch
+from lintel.llm.common import file_bytes, library_ids, scratch, slices
 
 MAGIC = b"WVM1"
-SHARD_TOKENS = 1 << 21   # a shard closes with the document that reaches this
-ROWS = 256
+SHARD_TOKENS = 1 << 18   # a shard closes with the document that reaches this
 SHARD_SCHEMA = "part int, shard int, part_start long, n_docs long, n_tokens long, payload binary"
 
 
@@ -151,22 +150,25 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id
     width = max(1, src.rdd.getNumPartitions())
 
     def run(batches):
-        encode, end = library_ids(tokenizer_path, data.value), np.array([end_id], "<u4").tobytes()
+        encode = library_ids(tokenizer_path, data.value)
         part, shard, start, n, held, names, sizes = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            row = [part, shard, start, len(names), len(ids), build(ids, names, sizes, bits)]
+            row = [part, shard, start, len(names), n, build(np.concatenate(held), names, sizes, bits)]
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, KINDS)], NAMES)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(k, ROWS)
-                for d, x in zip(rows.column(0).to_pylist(), encode.batch(rows.column(1).to_pylist())):
-                    held.append(x + end)
+            for rows in slices(batch, 1):
+                ids, lens = encode.batch(rows.column(1))
+                stops = np.cumsum(lens)
+                ids = np.insert(ids, stops, end_id)                     # one after each document
+                stops = stops + np.arange(1, len(lens) + 1)
+                a = 0
+                for d, b in zip(rows.column(0).to_pylist(), stops.tolist()):
+                    held.append(ids[a:b])
                     names.append(d)
-                    sizes.append(len(x) // 4 + 1)
-                    n += sizes[-1]
+                    sizes.append(b - a)
+                    n, a = n + b - a, b
                     if n >= SHARD_TOKENS:
                         yield close()
                         shard, start, n, held, names, sizes = shard + 1, start + n, 0, [], [], []
