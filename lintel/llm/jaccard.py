@@ -30,7 +30,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +37,8 @@ from pyspark.sql import functions as F
 from lintel.llm.common import components, stored
 from lintel.llm.shingles import shingle_hashes
 
-SMALL = 32          # classes of a region that is compared in full
+SMALL = 64          # classes of a region that is compared in full
+BROADCAST_ROWS = 1 << 21     # ids (8 bytes each) that may go to every task
 STARS = 2           # star rounds before and after regions are divided again
 ROWS = 256
 SIGNED = np.int64
@@ -49,7 +49,7 @@ def window_size(n: int, num: int, den: int) -> int:
 
 
 def signatures(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, n, key, window, th): ``key`` names the set, ``window`` its regions."""
+    """(uid, doc_id, n, key, window, th, heads): ``key`` names the set, ``window`` its regions, ``heads`` their top bits."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                       F.xxhash64(F.col(text_col)).alias("th"))
 
@@ -69,64 +69,65 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, id_col: str, tex
                 ids = pa.array(range(uid, uid + len(n)), pa.int64())
                 uid += len(n)
                 yield pa.record_batch([ids, part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                                       pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat)), part.column(2)],
-                                      ["uid", "doc_id", "n", "key", "window", "th"])
+                                       pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat)), part.column(2),
+                                       pa.array([(w.view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes()
+                                                 for w in wins], pa.binary())],
+                                      ["uid", "doc_id", "n", "key", "window", "th", "heads"])
 
-    return src.mapInArrow(run, "uid long, doc_id long, n long, key binary, window array<long>, th long")
+    return src.mapInArrow(run, "uid long, doc_id long, n long, key binary, window array<long>, th long, heads binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(uid, n, set): whole sets, as bytes, of the classes in ``wanted`` (uid, doc_id, key)."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _fetch(rows: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """The ``rows`` named in the stored ``ids``, which go along if they are few and else meet by a shuffle."""
+    few = ids.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
-    def pack(batches):
-        press = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(
-                [press((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())],
-                ["doc_id", "packed"])
+
+def _sets(docs: DataFrame, sig: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(uid, n, set): whole sets, as bytes, of the classes in the stored ``ids`` (uid)."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"),
+                      F.col(text_col).alias("text"))
+    wanted = stored(_fetch(sig.select("uid", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")), ids, ["uid"]),
+                    "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def run(batches):
-        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                sets = [shingle_hashes(open_(p).decode("utf-8", "surrogatepass"), words)
-                        for p in part.column(1).to_pylist()]
-                mask = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key
-                        for s, key in zip(sets, part.column(2).to_pylist())]   # ids may repeat
+                sets = [shingle_hashes(t, words) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                       pa.array([s.tobytes() for s in sets], pa.binary())],
-                                      ["uid", "n", "set"]).filter(pa.array(mask, pa.bool_()))
+                                       pa.array([s.tobytes() for s in sets], pa.binary())], ["uid", "n", "set"])
 
-    packed = src.mapInArrow(pack, "doc_id long, packed binary")
-    w = wanted.select("uid", F.col("doc_id").alias("w_id"), "key")
-    return (packed.join(w, packed["doc_id"].eqNullSafe(w["w_id"])).select("uid", "packed", "key")
-            .mapInArrow(run, "uid long, n long, set binary").dropDuplicates(["uid"]))
+    met = src.join(few, src["doc_id"].eqNullSafe(few["w_id"]) & (src["th"] == few["w_th"]))
+    return stored(met.select("uid", "text").mapInArrow(run, "uid long, n long, set binary").dropDuplicates(["uid"]),
+                  "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are within the radius."""
+def _pairwise(pairs: DataFrame, values: DataFrame, keeps) -> DataFrame:
+    """The pairs (a, b) whose values (uid, n, v: bytes) pass ``keeps(n, v, n, v)``."""
     def run(batches):
         for batch in batches:
-            hit = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                hit.append(den * both >= num * (len(x) + len(y) - both))
+            hit = [keeps(*r) for r in zip(*[batch.column(c).to_pylist() for c in ("na", "va", "nb", "vb")])]
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    one = sets.select(F.col("uid").alias("a"), F.col("set").alias("sa"))
-    two = sets.select(F.col("uid").alias("b"), F.col("set").alias("sb"))
-    return (pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+    one = values.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
+    two = values.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
+    return (pairs.join(one, "a").join(two, "b").select("a", "b", "na", "va", "nb", "vb")
+            .mapInArrow(run, "a long, b long"))
+
+
+def least_common(na: int, nb: int, num: int, den: int) -> int:
+    """The least common shingles of linked sets of these sizes."""
+    return -(-num * (na + nb) // (num + den))
 
 
 class _Join:
     """The rounds over the regions' members (s, uid, n)."""
 
-    def __init__(self, spark, sets: DataFrame, num: int, den: int):
-        self.spark, self.sets, self.num, self.den = spark, sets, num, den
-        self.edges = self.comp = None
+    def __init__(self, sig: DataFrame, sets_of, num: int, den: int):
+        self.sig, self.sets_of, self.num, self.den = sig, sets_of, num, den
+        self.comp = None
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """Members of regions that hold more than one component, with their label."""
@@ -142,19 +143,43 @@ class _Join:
     def near(self, a, b):
         return (self.den * F.least(a, b) >= self.num * F.greatest(a, b))
 
-    def add(self, pairs: DataFrame) -> bool:
-        """Verify pairs (a, b) and take the links in; whether there were any."""
-        found = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-                          self.sets, self.num, self.den)
-        if self.comp is not None:   # kept links: one per member of a component
-            old = self.comp.where("node <> component_id").select(
-                F.col("node").alias("a"), F.col("component_id").alias("b"))
-            found = found.unionByName(old)
-        self.edges = stored(found, "links")
-        if self.edges.isEmpty():
-            return False
-        self.comp = stored(components(self.edges), "components")
-        return True
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the stored pairs whose sets are within the radius."""
+        num, den = self.num, self.den
+
+        def may(na, va, nb, vb):
+            # of the window that ends first, what the other lacks is lacking in its whole set
+            x, y = np.frombuffer(va, "<u4"), np.frombuffer(vb, "<u4")
+            if x[-1] > y[-1]:
+                x, y, na, nb = y, x, nb, na
+            return len(x) - int(np.isin(x, y).sum()) <= na - least_common(na, nb, num, den)
+
+        def near(na, va, nb, vb):
+            x, y = np.frombuffer(va, np.uint64), np.frombuffer(vb, np.uint64)
+            both = na + nb - len(np.union1d(x, y))
+            return den * both >= num * (na + nb - both)
+
+        def ids(p):
+            return stored(p.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids")
+
+        some = stored(_pairwise(pairs, _fetch(self.sig, ids(pairs), ["uid"]).select("uid", "n", F.col("heads").alias("v")),
+                                may), "pairs")
+        if some.isEmpty():
+            return some
+        return _pairwise(some, self.sets_of(ids(some)).select("uid", "n", F.col("set").alias("v")), near)
+
+    def add(self, pairs: DataFrame) -> None:
+        """Verify pairs (a, b) and take the links in."""
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            return
+        found = stored(self.verified(pairs), "links")
+        if found.isEmpty():
+            return
+        if self.comp is not None:   # of earlier links, one per member of a component
+            found = found.unionByName(self.comp.where("node <> component_id").select(
+                F.col("node").alias("a"), F.col("component_id").alias("b")))
+        self.comp = stored(components(found), "components")
 
     def star(self, x: DataFrame, turn: int) -> None:
         """Hold each region's pivot document against its members."""
@@ -165,12 +190,27 @@ class _Join:
                  .select(F.col("p_uid").alias("a"), F.col("uid").alias("b")))
         self.add(pairs)
 
-    def full(self, x: DataFrame) -> None:
-        """Compare the members of different components."""
-        a = x.select("s", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        b = x.select("s", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        self.add(a.join(b, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-                                      & self.near(F.col("na"), F.col("nb"))).select("a", "b"))
+    def full(self, x: DataFrame, large: DataFrame | None = None) -> None:
+        """Compare the members of different components.
+
+        Pairs that share too few of their windows' shingles, counting every
+        ``large`` region (uid, h) that could hold both, cannot be within the
+        radius.
+        """
+        if large is not None:
+            x = x.join(large, "uid", "left").fillna(0, ["h"])
+        else:
+            x = x.withColumn("h", F.lit(1 << 40))
+        num, den = F.lit(self.num), F.lit(self.den)
+        both = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den) - 1e-9)
+        need = F.least(*[both - F.ceil(num * F.col(n) / den - 1e-9) + 1 for n in ("na", "nb")]) - 1
+        a, b = (x.select("s", F.col("uid").alias(k), F.col("n").alias(f"n{k}"), F.col("label").alias(f"l{k}"),
+                         F.col("h").alias(f"h{k}")) for k in "ab")
+        met = (a.join(b, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+                                    & self.near(F.col("na"), F.col("nb")))
+               .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"),
+                                      F.first("ha").alias("ha"), F.first("hb").alias("hb")))
+        self.add(met.where(F.col("c") + F.least("ha", "hb") >= need).select("a", "b"))
 
 
 def _shared(windows: DataFrame) -> DataFrame:
@@ -179,38 +219,43 @@ def _shared(windows: DataFrame) -> DataFrame:
     return windows.join(more, "s")
 
 
-def _divided(members: DataFrame, sets: DataFrame, windows: DataFrame, large: DataFrame, every: DataFrame,
+def _divided(members: DataFrame, sets_of, windows: DataFrame, large: DataFrame, every: DataFrame,
              num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Members and windows after the shingles of ``large`` (s) joined ``every`` at the end of the order.
 
     A window changes only where it holds a shingle of ``large``.
     """
     moved = stored(members.join(large, "s", "left_semi").select("uid").distinct(), "moved")
-    own = sets.join(moved, "uid", "left_semi")
-
-    def explode(batches):
-        for batch in batches:
-            for u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = np.frombuffer(s, SIGNED)
-                yield pa.record_batch([pa.array(np.full(len(v), u), pa.int64()), pa.array(v)], ["uid", "s"])
-
-    late = (own.select("uid", "set").mapInArrow(explode, "uid long, s long").join(every, "s")
-            .groupBy("uid").agg(F.collect_set("s").alias("late")))
+    own = sets_of(moved)
+    few = every.count() <= BROADCAST_ROWS // 4
+    if few:       # the frequent shingles go along
+        known = own.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in every.collect()], SIGNED)))
+        own = own.withColumn("late", F.lit(None).cast("array<long>"))
+    else:         # else they meet the sets in a join
+        def explode(batches):
+            for batch in batches:
+                for u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    v = np.frombuffer(s, SIGNED)
+                    yield pa.record_batch([pa.array(np.full(len(v), u), pa.int64()), pa.array(v)], ["uid", "s"])
+
+        known = None
+        late = (own.select("uid", "set").mapInArrow(explode, "uid long, s long").join(every, "s")
+                .groupBy("uid").agg(F.collect_set("s").alias("late")))     # of one text, so bounded by it
+        own = own.join(late, "uid", "left")
 
     def again(batches):
         for batch in batches:
             for u, n, s, late in zip(*[batch.column(c).to_pylist() for c in range(4)]):
                 v = np.frombuffer(s, np.uint64)
-                last = np.isin(v, np.array(late or [], SIGNED).view(np.uint64))
+                last = np.isin(v.view(SIGNED), known.value if known is not None else np.array(late or [], SIGNED))
                 w = np.concatenate([v[~last], v[last]])[:window_size(n, num, den)].view(SIGNED)
                 yield pa.record_batch([pa.array(w), pa.array(np.full(len(w), u), pa.int64()),
                                        pa.array(np.full(len(w), n), pa.int64())], ["s", "uid", "n"])
 
-    new = stored(own.join(late, "uid", "left").select("uid", "n", "set", "late")
-                 .mapInArrow(again, "s long, uid long, n long"), "windows")
+    new = stored(own.select("uid", "n", "set", "late").mapInArrow(again, "s long, uid long, n long"), "windows")
     rest = windows.join(moved, "uid", "left_anti")
     # regions of the new windows gather their members among all windows
-    there = rest.join(new.select("s").distinct(), "s", "left_semi")
+    there = _fetch(rest, stored(new.select("s").distinct(), "pivots"), ["s"])
     old = members.join(moved, "uid", "left_anti")
     return _shared(there.unionByName(old).distinct().unionByName(new)), rest.unionByName(new)
 
@@ -223,38 +268,39 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     ``words``-word shingles; component_id is the smallest id reachable and ``first`` marks
     one row of each component that has it; ``th`` is the text's hash.
     """
-    spark = docs.sparkSession
     sig = stored(signatures(docs, words, num, den, id_col, text_col), "signatures")
     rep = (sig.where("n > 0").groupBy("key").agg(F.min("uid").alias("uid")))
     one = sig.join(rep.select("uid"), "uid", "left_semi")
     windows = one.select(F.explode("window").alias("s"), "uid", "n")
     members = stored(_shared(windows), "members")
-    wanted = sig.select("uid", "doc_id", "key").join(members.select("uid").distinct(), "uid", "left_semi")
-    sets = stored(_sets(docs, wanted, words, id_col, text_col), "sets")
-    run = _Join(spark, sets, num, den)
-    for turn in range(STARS):
-        run.star(run.labelled(members), turn)
-    every = None
-    for depth in range(3):
-        large = stored(run.labelled(members).where(F.col("c") > SMALL).select("s").distinct(), "large")
-        if large.isEmpty():
-            break
-        every = large if every is None else every.unionByName(large)
-        members, windows = _divided(members, sets, windows, large, every.distinct(), num, den)
-        members = stored(members, "members")
-        new = members.select("uid").distinct().join(sets.select("uid"), "uid", "left_anti")
-        wanted = sig.select("uid", "doc_id", "key").join(new, "uid", "left_semi")
-        sets = run.sets = sets.unionByName(stored(_sets(docs, wanted, words, id_col, text_col), "sets"))
-        run.star(run.labelled(members), STARS + depth)
-    run.full(stored(run.labelled(members).where(F.col("c") <= SMALL), "small"))
-    for turn in range(STARS):
-        left = run.labelled(members).where(F.col("c") > SMALL)
-        if left.isEmpty():
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return _sets(docs, sig, ids, words, id_col, text_col)
+
+    run, every = _Join(sig, sets_of, num, den), None
+    def mixed() -> tuple[DataFrame, bool]:
+        """The members of mixed regions, and whether large ones are among them."""
+        x = stored(run.labelled(members), "mixed")
+        return x, not x.where(F.col("c") > SMALL).isEmpty()
+
+    x, some = mixed()
+    for turn in range(STARS + 3):
+        if not some:
             break
-        run.star(left, 8 + turn)
-    left = stored(run.labelled(members), "left")
-    if not left.isEmpty():
-        run.full(left)
+        if turn >= STARS:
+            large = stored(x.where(F.col("c") > SMALL).select("s").distinct(), "large")
+            every = large if every is None else every.unionByName(large)
+            members, windows = _divided(members, sets_of, windows, large, every.distinct(), num, den)
+            members = stored(members, "members")
+            x, some = mixed()
+        run.star(x.where(F.col("c") > SMALL), turn)
+        x, some = mixed()
+    run.full(x.where(F.col("c") <= SMALL), x.where(F.col("c") > SMALL).groupBy("uid").agg(F.count("*").alias("h")))
+    for turn in range(STARS + 1):
+        if some:
+            x, some = mixed()
+            large = x.where(F.col("c") > SMALL)
+            run.star(large, 8 + turn) if turn < STARS else run.full(large)
     own = sig.select("uid", "doc_id", "th", F.col("n").alias("n_shingles"), "key")
     classes = own.where("n_shingles > 0").join(rep.select("key", F.col("uid").alias("label")), "key")
     if run.comp is not None:

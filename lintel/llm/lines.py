@@ -104,7 +104,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) ->
 
     ``lines`` is the stored result of :func:`_lines`.
     """
-    half = _shared(lines.select("h1", "h2", "at", F.explode("halves").alias("key")))
+    one = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves"))
+    half = _shared(one.select("h1", "h2", "at", F.explode("halves").alias("key")))
     places = half.groupBy("h1", "h2").agg(F.min("at").alias("at"))
     some = stored(_texts(docs, places, id_col, text_col), "lines")
     tight = some.select("*", F.explode(_variants(BLOCKS)).alias("v")).withColumn("key", F.col("v.key"))

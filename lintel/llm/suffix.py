@@ -16,8 +16,9 @@ the first go.
 A task tells of an anchor, and sends a segment, once however often it holds
 it: all but the first of a task's equal segments go at once, as they start
 later than the first.  So a string that a third of all documents share is one
-row a task.  Segments of one anchor meet in one task; a task's sort is cut into
-groups of whole anchors of about ``SORT`` bytes.
+row a task.  Segments of one anchor meet in one task, which again lets all but
+the first of equal ones go and sorts those of anchors that different segments
+share, in groups of whole anchors of about ``SORT`` bytes.
 
 Defined cases: null or empty texts, and those shorter than ``length``, lose
 nothing; a null id is the smallest; rows that repeat an id are ordered by where
@@ -28,6 +29,7 @@ are not looked at.
 from __future__ import annotations
 
 import struct
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import shuffle_width, stored
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 SORT = 1 << 21
 ROWS = 256
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -341,7 +343,19 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                     hh, doc, uid, a, size = struct.unpack_from(HEAD, data, at)
                     at += HEAD_SIZE + size
                     held.append((hh, (doc, uid, a), data[at - size:at]))
-        held.sort(key=lambda x: x[0])
+        held.sort()                              # by anchor, then place
+        first: dict[bytes, tuple] = {}
+        gone, alone = [], Counter()
+        for hh, place, seg in held:              # an equal segment at a later place goes at once
+            if seg in first:
+                gone.append((place[1], place[2], place[2] + len(seg)))
+            else:
+                first[seg] = place
+                alone[hh] += 1
+        if gone:
+            g = np.array(gone, np.int64)
+            yield _packed(g[:, 0], g[:, 1:].astype("<i4"), "uid")
+        held = [x for x in held if alone[x[0]] > 1 and first[x[2]] == x[1]]
         begin = 0
         while begin < len(held):                 # whole anchors, about SORT bytes at a time
             end, size = begin, 0
