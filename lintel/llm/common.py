@@ -14,7 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.session import ensure_checkpoint_dir, ship_package
@@ -39,6 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """A stored frame, to be broadcast if it is small, and else to be joined by a shuffle."""
+    size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship this package to the Python workers and settle the checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -49,6 +55,9 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BROADCAST_BYTES = 32 << 20
+
+
 # ------------------------------------------------------------- components
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lintel.llm.common import components, stored
 from lintel.llm.shingles import shingle_hashes
 
-SMALL = 64          # classes of a region that is compared in full
+SMALL = 128         # classes of a region that is compared in full
 BROADCAST_ROWS = 1 << 21     # ids (8 bytes each) that may go to every task
 STARS = 2           # star rounds before and after regions are divided again
 ROWS = 256
@@ -100,8 +100,7 @@ def _sets(docs: DataFrame, sig: DataFrame, ids: DataFrame, words: int, id_col: s
                                        pa.array([s.tobytes() for s in sets], pa.binary())], ["uid", "n", "set"])
 
     met = src.join(few, src["doc_id"].eqNullSafe(few["w_id"]) & (src["th"] == few["w_th"]))
-    return stored(met.select("uid", "text").mapInArrow(run, "uid long, n long, set binary").dropDuplicates(["uid"]),
-                  "sets")
+    return met.select("uid", "text").mapInArrow(run, "uid long, n long, set binary")
 
 
 def _pairwise(pairs: DataFrame, values: DataFrame, keeps) -> DataFrame:
@@ -166,7 +165,7 @@ class _Join:
                                 may), "pairs")
         if some.isEmpty():
             return some
-        return _pairwise(some, self.sets_of(ids(some)).select("uid", "n", F.col("set").alias("v")), near)
+        return _pairwise(some, stored(self.sets_of(ids(some)), "sets").select("uid", "n", F.col("set").alias("v")), near)
 
     def add(self, pairs: DataFrame) -> None:
         """Verify pairs (a, b) and take the links in."""
@@ -219,19 +218,23 @@ def _shared(windows: DataFrame) -> DataFrame:
     return windows.join(more, "s")
 
 
-def _divided(members: DataFrame, sets_of, windows: DataFrame, large: DataFrame, every: DataFrame,
-             num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Members and windows after the shingles of ``large`` (s) joined ``every`` at the end of the order.
+def _divided(members: DataFrame, sets_of, windows: DataFrame, large: DataFrame, before: DataFrame | None,
+             num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, windows and all late shingles after those of ``large`` (s) joined ``before`` at the order's end.
 
-    A window changes only where it holds a shingle of ``large``.
+    A window changes only where it holds a shingle of ``large``: some of its
+    shingles give way to the next ones of the document.
     """
+    late = large.select("s", F.lit(True).alias("now"))
+    late = stored(late if before is None else late.unionByName(before.join(large, "s", "left_anti")), "late")
     moved = stored(members.join(large, "s", "left_semi").select("uid").distinct(), "moved")
     own = sets_of(moved)
-    few = every.count() <= BROADCAST_ROWS // 4
-    if few:       # the frequent shingles go along
-        known = own.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in every.collect()], SIGNED)))
-        own = own.withColumn("late", F.lit(None).cast("array<long>"))
-    else:         # else they meet the sets in a join
+    if late.count() <= BROADCAST_ROWS // 4:       # the frequent shingles go along
+        rows = late.collect()
+        known = own.sparkSession.sparkContext.broadcast(tuple(
+            np.array([r["s"] for r in rows if r["now"] or not now], SIGNED) for now in (False, True)))   # (all, new)
+        own = own.withColumn("late", F.lit(None).cast("array<struct<s:bigint,now:boolean>>"))
+    else:                                         # else they meet the sets in a join
         def explode(batches):
             for batch in batches:
                 for u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -239,25 +242,39 @@ def _divided(members: DataFrame, sets_of, windows: DataFrame, large: DataFrame,
                     yield pa.record_batch([pa.array(np.full(len(v), u), pa.int64()), pa.array(v)], ["uid", "s"])
 
         known = None
-        late = (own.select("uid", "set").mapInArrow(explode, "uid long, s long").join(every, "s")
-                .groupBy("uid").agg(F.collect_set("s").alias("late")))     # of one text, so bounded by it
-        own = own.join(late, "uid", "left")
+        held = (own.select("uid", "set").mapInArrow(explode, "uid long, s long").join(late, "s")
+                .groupBy("uid").agg(F.collect_set(F.struct("s", "now")).alias("late")))   # bounded by the text
+        own = own.join(held, "uid", "left")
 
     def again(batches):
         for batch in batches:
-            for u, n, s, late in zip(*[batch.column(c).to_pylist() for c in range(4)]):
-                v = np.frombuffer(s, np.uint64)
-                last = np.isin(v.view(SIGNED), known.value if known is not None else np.array(late or [], SIGNED))
-                w = np.concatenate([v[~last], v[last]])[:window_size(n, num, den)].view(SIGNED)
+            for u, n, s, own_late in zip(*[batch.column(c).to_pylist() for c in range(4)]):
+                v, p = np.frombuffer(s, np.uint64), window_size(n, num, den)
+                if known is not None:
+                    every, now = known.value
+                else:
+                    every = np.array([x["s"] for x in own_late or ()], SIGNED)
+                    now = np.array([x["s"] for x in own_late or () if x["now"]], SIGNED)
+                last = np.isin(v.view(SIGNED), every)
+                old = last & ~np.isin(v.view(SIGNED), now)
+                was = np.concatenate([v[~old], v[old]])[:p]
+                w = np.concatenate([v[~last], v[last]])[:p]
+                w = w[~np.isin(w, was) | np.isin(w.view(SIGNED), every)].view(SIGNED)
                 yield pa.record_batch([pa.array(w), pa.array(np.full(len(w), u), pa.int64()),
                                        pa.array(np.full(len(w), n), pa.int64())], ["s", "uid", "n"])
 
-    new = stored(own.select("uid", "n", "set", "late").mapInArrow(again, "s long, uid long, n long"), "windows")
-    rest = windows.join(moved, "uid", "left_anti")
-    # regions of the new windows gather their members among all windows
-    there = _fetch(rest, stored(new.select("s").distinct(), "pivots"), ["s"])
-    old = members.join(moved, "uid", "left_anti")
-    return _shared(there.unionByName(old).distinct().unionByName(new)), rest.unionByName(new)
+    new = stored(own.select("uid", "n", "set", "late").mapInArrow(again, "s long, uid long, n long").distinct(), "new")
+
+    def without_old(rows: DataFrame) -> DataFrame:
+        """Rows but those of moved classes in late regions."""
+        old = stored(_fetch(_fetch(rows, late.select("s"), ["s"]), moved, ["uid"]).select("s", "uid"), "old")
+        return rows.join(F.broadcast(old) if old.count() <= BROADCAST_ROWS else old, ["s", "uid"], "left_anti")
+
+    # regions of the new shingles gather their members among all windows
+    windows = without_old(windows).unionByName(new)
+    there = _shared(_fetch(windows, stored(new.select("s").distinct(), "pivots"), ["s"]))
+    members = without_old(members).unionByName(there).dropDuplicates(["s", "uid"])
+    return members, windows, late.select("s", F.lit(False).alias("now"))
 
 
 def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
@@ -289,8 +306,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
             break
         if turn >= STARS:
             large = stored(x.where(F.col("c") > SMALL).select("s").distinct(), "large")
-            every = large if every is None else every.unionByName(large)
-            members, windows = _divided(members, sets_of, windows, large, every.distinct(), num, den)
+            members, windows, every = _divided(members, sets_of, windows, large, every, num, den)
             members = stored(members, "members")
             x, some = mixed()
         run.star(x.where(F.col("c") > SMALL), turn)

@@ -31,11 +31,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import stored
+from lintel.llm.common import small, stored
 
 MIN_CHARS = 24
 BLOCKS = 16
-BROADCAST_BYTES = 32 << 20
 
 
 def _variants(blocks: int) -> Column:
@@ -82,18 +81,12 @@ def _shared(emitted: DataFrame) -> DataFrame:
     return emitted.join(met, "key", "left_semi")
 
 
-def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
-    """A stored frame, to be broadcast if it is small, and else to be joined by a shuffle."""
-    size = df.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``places`` (h1, h2, at) with their line; only the documents named there are split."""
     by_doc = stored(places.groupBy(F.col("at.doc").alias("w_doc"), F.col("at.th").alias("w_th")).agg(
         F.collect_list(F.struct("h1", "h2", "at")).alias("wanted")), "wanted")   # of one text, so bounded by it
     d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    met = d.join(_small(by_doc, 32 + 64 * F.size("wanted")), d["doc"].eqNullSafe(by_doc["w_doc"]) & (d["th"] == by_doc["w_th"]))
+    met = d.join(small(by_doc, 32 + 64 * F.size("wanted")), d["doc"].eqNullSafe(by_doc["w_doc"]) & (d["th"] == by_doc["w_th"]))
     return (met.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
             .select("w.*", F.element_at("lines", F.col("w.at.pos") + 1).alias("line"))
             .dropDuplicates(["h1", "h2"]))      # rows may repeat
@@ -163,7 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("doc"),
                     F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("th"))
-    g = _small(gone.select(F.col("doc").alias("g_doc"), F.col("th").alias("g_th"), "dropped"),
+    g = small(gone.select(F.col("doc").alias("g_doc"), F.col("th").alias("g_th"), "dropped"),
                40 + 4 * F.size("dropped"))
     j = d.join(g, d["doc"].eqNullSafe(g["g_doc"]) & (d["th"] == g["g_th"]), "left")
     lines = F.split("text", "\n")

@@ -13,12 +13,12 @@ others are induced by scanning the buckets of first bytes in order; then
 adjacent common prefixes give the groups of equal strings, in which all but
 the first go.
 
-A task tells of an anchor, and sends a segment, once however often it holds
-it: all but the first of a task's equal segments go at once, as they start
-later than the first.  So a string that a third of all documents share is one
-row a task.  Segments of one anchor meet in one task, which again lets all but
-the first of equal ones go and sorts those of anchors that different segments
-share, in groups of whole anchors of about ``SORT`` bytes.
+First only hashes travel: a task tells of an anchor, its segment's hash and its
+first place, once however often it holds them.  All but the first of equal
+segments go at once, as they start later, so a string that a third of all
+documents share is one row a task; only the segments of anchors that several
+different segments share are sent and sorted, in groups of whole anchors of
+about ``SORT`` bytes.
 
 Defined cases: null or empty texts, and those shorter than ``length``, lose
 nothing; a null id is the smallest; rows that repeat an id are ordered by where
@@ -29,7 +29,6 @@ are not looked at.
 from __future__ import annotations
 
 import struct
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import shuffle_width, stored
+from lintel.llm.common import shuffle_width, small, stored
+from lintel.llm.shingles import range_hashes
 
 LENGTH, GRAM = 100, 32
 SORT = 1 << 21
+TEXT = 1 << 20        # starts of a long text that are looked at together
 ROWS = 256
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,10 +59,17 @@ def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts that share an anchor's place: (hash, first start, number of starts)."""
-    if len(b) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """Runs of string starts that share an anchor's place: (hash, segment hash, first start, number of starts).
+
+    A segment is the bytes of a run's strings.  Long texts are taken in blocks;
+    a run cut by a block's end is two.
+    """
+    out = [_anchors(b[a:a + TEXT + length - 1], a, length, gram) for a in range(0, len(b) - length + 1, TEXT)]
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in ("u8", "u8", "i8", "i8")]
+
+
+def _anchors(b: np.ndarray, base: int, length: int, gram: int):
     h = gram_hashes(b, gram)
     w, n = length - gram + 1, len(b) - length + 1
     low, pos, width = h, np.arange(len(h), dtype=np.int32), 1
@@ -75,7 +83,8 @@ def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
         width *= 2
     low, pos = left_of(low[:n], low[w - width:w - width + n], pos[:n], pos[w - width:w - width + n])
     at = np.flatnonzero(np.diff(pos, prepend=-1))
-    return low[at], at, np.diff(at, append=n)
+    size = np.diff(at, append=n)
+    return low[at], range_hashes(b, at, at + size + length - 1), at + base, size
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -206,7 +215,9 @@ def repeats(segments: list[bytes], order: list[tuple], length: int) -> list[tupl
 
 # --------------------------------------------------------------- operators
 
-PLACE = np.dtype([("h", "<u8"), ("u", "<i8"), ("a", "<i4"), ("m", "u1")])   # anchor, row, start, held twice
+# anchor (48 bits), segment hash, document id, row after the chunk's first, start (lowest bit: anchor met twice)
+PLACE = np.dtype([("h", "<u4"), ("l", "<u2"), ("s", "<u8"), ("d", "<i8"), ("u", "<u4"), ("a", "<u4")])
+LEAST = -(1 << 63)   # the place of a null id
 CHUNK = 4096         # rows whose anchors or segments a task looks at together
 HEAD, HEAD_SIZE = "<QqqqI", 36   # of a segment: anchor, document id (or least), row, start, bytes
 
@@ -254,42 +265,86 @@ def _chunks(batches):
         yield held
 
 
-def repeated_anchors(texts: DataFrame, width: int, length: int, gram: int) -> DataFrame:
-    """(uid, data): packed int32 starts of the runs whose anchor stands elsewhere too."""
+def _by_order(rows: np.ndarray, uids: np.ndarray) -> np.ndarray:
+    """Order by anchor, segment and place."""
+    return np.lexsort((rows["a"], uids, rows["d"], rows["s"], rows["l"], rows["h"]))
+
+
+def _equal(rows: np.ndarray, *names: str) -> np.ndarray:
+    """Whether each row equals the one before it."""
+    out = np.ones(len(rows), bool)
+    for n in names:
+        out[1:] &= rows[n][1:] == rows[n][:-1]
+    out[:1] = False
+    return out
+
+
+def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataFrame:
+    """(uid, gone, data): packed places of the segments that go at once, or whose anchor other segments share.
+
+    A row of ``data`` is (start, starts) as int32; equal segments but the
+    first are ``gone``.
+    """
     def tell(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         for rows in _chunks(batches):
-            found = [(r["uid"], *anchors(np.frombuffer(open_(r["data"]), np.uint8), length, gram)[:2]) for r in rows]
-            h = np.concatenate([f[1] for f in found])
-            out = np.zeros(len(h), PLACE)
-            out["h"], out["a"] = h, np.concatenate([f[2] for f in found])
-            out["u"] = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
-            out = out[np.argsort(h, kind="stable")]
-            same = np.append(False, out["h"][1:] == out["h"][:-1])[:len(out)]
-            out["m"] = np.append(same[1:], False)[:len(out)]
-            ask, known = out[~same], out[same]
-            yield _packed((ask["h"] >> np.uint64(13)) % np.uint64(width), ask, "to")
-            if len(known):                       # no answer needed: a negative key names the row
-                yield _packed(-1 - known["u"], known, "to")
+            found = [anchors(np.frombuffer(open_(r["data"]), np.uint8), length, gram) for r in rows]
+            first = min(r["uid"] for r in rows)
+            h = np.concatenate([f[0] for f in found])
+            out, each = np.zeros(len(h), PLACE), [len(f[0]) for f in found]
+            out["h"], out["l"] = h >> np.uint64(32), h >> np.uint64(16) & np.uint64(0xFFFF)
+            out["s"], out["a"] = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]) << 1
+            out["d"] = np.repeat([LEAST if r["doc_id"] is None else r["doc_id"] for r in rows], each)
+            out["u"] = np.repeat([r["uid"] - first for r in rows], each)
+            p = _by_order(out, out["u"])
+            out = out[p]
+            same = _equal(out, "h", "l", "s")
+            if same.any():                       # later ones of equal segments: a negative key names the row
+                late = np.concatenate([f[3] for f in found])[p][same]
+                gone = np.stack([out["a"][same] >> 1, late], 1).astype("<i4")
+                yield _packed(-1 - (out["u"][same].astype(np.int64) + first), gone, "to")
+            out = out[~same]
+            met = _equal(out, "h", "l")
+            out["a"] |= met | np.append(met[1:], False)[:len(out)]
+            for to, data in zip(*_packed(out["h"].astype(np.int64) % width, out, "to").columns):
+                yield pa.record_batch([pa.array([to.as_py()]), pa.array([struct.pack("<q", first) + data.as_py()])],
+                                      ["to", "data"])
 
     def answer(batches):
-        held: list[bytes] = []
+        parts, firsts = [], []
         for batch in batches:
             for to, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if to >= 0:
-                    held.append(data)
-                    continue
-                rows = np.frombuffer(data, PLACE)
-                yield _packed(rows["u"], rows["a"], "uid")
-        rows = np.frombuffer(b"".join(held), PLACE)
-        rows = rows[np.argsort(rows["h"], kind="stable")]
-        same = np.append(False, rows["h"][1:] == rows["h"][:-1])[:len(rows)]
-        hit = rows[same | np.append(same[1:], False)[:len(rows)] | (rows["m"] > 0)]
-        if len(hit):
-            yield _packed(hit["u"], hit["a"], "uid")
-
-    return (texts.select("uid", "data").mapInArrow(tell, "to long, data binary").repartition(width, "to")
-            .mapInArrow(answer, "uid long, data binary"))
+                if to < 0:
+                    yield _told(_packed(np.array([-1 - to]), np.frombuffer(data, "<i4").reshape(1, -1), "uid"), True)
+                else:
+                    parts.append(np.frombuffer(data, PLACE, offset=8))
+                    firsts.append(np.full(len(parts[-1]), struct.unpack_from("<q", data)[0]))
+        if not parts:
+            return
+        rows = np.concatenate(parts)
+        uids = np.concatenate(firsts) + rows["u"]
+        p = _by_order(rows, uids)
+        rows, uids = rows[p], uids[p]
+        same = _equal(rows, "h", "l", "s")
+        for mark in (True, False):
+            if mark:
+                hit = same
+            else:                               # the first of each segment whose anchor has several
+                one, at = rows[~same], np.flatnonzero(~same)
+                met = _equal(one, "h", "l")
+                hit = np.zeros(len(rows), bool)
+                hit[at[met | np.append(met[1:], False)[:len(one)] | (one["a"] & 1 > 0)]] = True
+            if hit.any():
+                places = np.stack([rows["a"][hit] >> 1, np.zeros(int(hit.sum()), "u4")], 1).astype("<i4")
+                yield _told(_packed(uids[hit], places, "uid"), mark)
+
+    return (texts.select("uid", "doc_id", "data").mapInArrow(tell, "to long, data binary").repartition(width, "to")
+            .mapInArrow(answer, "uid long, gone boolean, data binary"))
+
+
+def _told(batch: pa.RecordBatch, gone: bool) -> pa.RecordBatch:
+    return pa.record_batch([batch.column(0), pa.array([gone] * batch.num_rows), batch.column(1)],
+                           ["uid", "gone", "data"])
 
 
 def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -298,36 +353,33 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     ``texts`` is the stored result of :func:`numbered`.
     """
     width = max(shuffle_width(texts.sparkSession), texts.rdd.getNumPartitions())
-    starts = (repeated_anchors(texts, width, length, gram).groupBy("uid")
-              .agg(F.collect_list("data").alias("starts")))    # of one text, so bounded by it
+    told = stored(anchor_places(texts, width, length, gram).groupBy("uid")
+                  .agg(*[F.collect_list(F.when(F.col("gone") == g, F.col("data"))).alias(n)
+                         for n, g in (("gone", True), ("starts", False))]), "told")   # of one text, so bounded by it
 
     def cut(batches):
-        """Segments by anchor; what an equal segment of this chunk comes before goes at once."""
+        """Segments by anchor, and the runs that go at once."""
         open_ = zstandard.ZstdDecompressor().decompress
         for rows in _chunks(batches):
-            first: dict[bytes, tuple] = {}
-            gone: list[tuple[int, int, int]] = []
+            out: dict[int, list[bytes]] = {}
+            gone: list[np.ndarray] = []
             for r in rows:
                 data = open_(r["data"])
-                h, a, n = anchors(np.frombuffer(data, np.uint8), length, gram)
-                wanted = np.isin(a, np.frombuffer(b"".join(r["starts"]), "<i4"))
-                doc = -(1 << 63) if r["doc_id"] is None else r["doc_id"]
+                h, _, a, n = anchors(np.frombuffer(data, np.uint8), length, gram)
+                doc = LEAST if r["doc_id"] is None else r["doc_id"]
+                wanted = np.isin(a, np.frombuffer(b"".join(r["starts"]), "<i4")[::2])
                 for hh, aa, nn in zip(h[wanted].tolist(), a[wanted].tolist(), n[wanted].tolist()):
                     seg = data[aa:aa + nn - 1 + length]
-                    place, old = (doc, r["uid"], aa), first.get(seg)
-                    if old is None or place < old[1]:
-                        first[seg], late = (hh, place), old and old[1]
-                    else:
-                        late = place
-                    if late:
-                        gone.append((late[1], late[2], late[2] + len(seg)))
-            out: dict[int, list[bytes]] = {}
-            for seg, (hh, place) in first.items():
-                out.setdefault((hh >> 13) % width, []).append(struct.pack(HEAD, hh, *place, len(seg)) + seg)
+                    out.setdefault((hh >> 32) % width, []).append(
+                        struct.pack(HEAD, hh >> 16, doc, r["uid"], aa, len(seg)) + seg)
+                late = np.isin(a, np.frombuffer(b"".join(r["gone"]), "<i4")[::2])
+                if late.any():
+                    gone.append(np.stack([np.full(int(late.sum()), r["uid"]), a[late],
+                                          a[late] + n[late] - 1 + length], 1))
             yield pa.record_batch([pa.array(list(out), pa.int64()),
                                    pa.array([b"".join(x) for x in out.values()], pa.binary())], ["to", "data"])
             if gone:
-                g = np.array(gone, np.int64)
+                g = np.concatenate(gone)
                 yield _packed(-1 - g[:, 0], g[:, 1:].astype("<i4"), "to")
 
     def induce(batches):
@@ -344,18 +396,6 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                     at += HEAD_SIZE + size
                     held.append((hh, (doc, uid, a), data[at - size:at]))
         held.sort()                              # by anchor, then place
-        first: dict[bytes, tuple] = {}
-        gone, alone = [], Counter()
-        for hh, place, seg in held:              # an equal segment at a later place goes at once
-            if seg in first:
-                gone.append((place[1], place[2], place[2] + len(seg)))
-            else:
-                first[seg] = place
-                alone[hh] += 1
-        if gone:
-            g = np.array(gone, np.int64)
-            yield _packed(g[:, 0], g[:, 1:].astype("<i4"), "uid")
-        held = [x for x in held if alone[x[0]] > 1 and first[x[2]] == x[1]]
         begin = 0
         while begin < len(held):                 # whole anchors, about SORT bytes at a time
             end, size = begin, 0
@@ -369,11 +409,27 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                               for s, x, y in runs], np.int64)
                 yield _packed(g[:, 0], g[:, 1:].astype("<i4"), "uid")
 
-    segments = (texts.join(starts, "uid").select("uid", "doc_id", "data", "starts")
+    bytes_ = 48 + sum(F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
+                      for c in ("gone", "starts"))
+    segments = (texts.join(small(told, bytes_), "uid").select("uid", "doc_id", "data", "gone", "starts")
                 .mapInArrow(cut, "to long, data binary").repartition(width, "to"))
     return segments.mapInArrow(induce, "uid long, data binary")
 
 
+def _union(batches):
+    """The merged runs of each row's lists (uid, runs)."""
+    for batch in batches:
+        out = []
+        for runs in batch.column(1).to_pylist():
+            g = np.frombuffer(b"".join(runs), "<i4").reshape(-1, 2)
+            g = g[np.argsort(g[:, 0], kind="stable")]
+            reach = np.maximum.accumulate(g[:, 1])
+            new = np.append(True, g[1:, 0] > reach[:-1])
+            ends = np.append(np.flatnonzero(new)[1:] - 1, len(g) - 1)
+            out.append(np.stack([g[new, 0], reach[ends]], 1).astype("<i4").tobytes())
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["uid", "runs"])
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                      gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, row) of every row of ``docs``.
@@ -382,8 +438,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     texts = stored(numbered(docs, id_col, text_col, carry), "texts")
     kind = texts.schema["row"].dataType.simpleString()
-    runs = (stored(removed_runs(texts, length, gram), "runs").groupBy("uid")
-            .agg(F.collect_list("data").alias("runs")))         # of one text, so bounded by it
+    runs = stored(removed_runs(texts, length, gram).groupBy("uid").agg(F.collect_list("data").alias("runs"))
+                  .mapInArrow(_union, "uid long, runs binary"), "runs")      # of one text, so bounded by it
 
     def apply(batches):
         open_ = zstandard.ZstdDecompressor().decompress
@@ -392,15 +448,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 part = batch.slice(k, ROWS)
                 cols: list[list] = [[], [], [], []]
                 for data, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    data, n, spans = open_(data), 0, []
-                    if runs:
-                        g = np.frombuffer(b"".join(runs), "<i4").reshape(-1, 2)
-                        for a, b in g[np.argsort(g[:, 0], kind="stable")].tolist():
-                            if spans and a <= spans[-1][1]:
-                                spans[-1][1] = max(b, spans[-1][1])
-                            else:
-                                spans.append([a, b])
-                        n = sum(b - a for a, b in spans)
+                    data = open_(data)
+                    spans = np.frombuffer(runs or b"", "<i4").reshape(-1, 2).tolist()
+                    n = sum(b - a for a, b in spans)
                     at, left = 0, []
                     for a, b in spans:
                         left.append(data[at:a])
@@ -412,7 +462,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     pa.int64(), pa.int64(), pa.int64(), pa.binary()))], part.column(3)],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "row"])
 
-    return (texts.join(runs, "uid", "left").select("doc_id", "data", "runs", "row").mapInArrow(
+    return (texts.join(small(runs, 32 + F.length("runs")), "uid", "left").select("doc_id", "data", "runs", "row").mapInArrow(
         apply, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, row {kind}"))
 
 
