@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import shuffle_width, small, stored
+from lintel.llm.common import shuffle_width, stored
 from lintel.llm.shingles import range_hashes
 
 LENGTH, GRAM = 100, 32
@@ -280,11 +280,8 @@ def _equal(rows: np.ndarray, *names: str) -> np.ndarray:
 
 
 def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataFrame:
-    """(uid, gone, data): packed places of the segments that go at once, or whose anchor other segments share.
-
-    A row of ``data`` is (start, starts) as int32; equal segments but the
-    first are ``gone``.
-    """
+    """(uid, gone, starts): packed int32 starts of a text's segments that go at once, as equal ones come
+    earlier, and of those whose anchor different segments share."""
     def tell(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         for rows in _chunks(batches):
@@ -300,9 +297,7 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
             out = out[p]
             same = _equal(out, "h", "l", "s")
             if same.any():                       # later ones of equal segments: a negative key names the row
-                late = np.concatenate([f[3] for f in found])[p][same]
-                gone = np.stack([out["a"][same] >> 1, late], 1).astype("<i4")
-                yield _packed(-1 - (out["u"][same].astype(np.int64) + first), gone, "to")
+                yield _packed(-1 - (out["u"][same].astype(np.int64) + first), (out["a"][same] >> 1).astype("<i4"), "to")
             out = out[~same]
             met = _equal(out, "h", "l")
             out["a"] |= met | np.append(met[1:], False)[:len(out)]
@@ -315,7 +310,8 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
         for batch in batches:
             for to, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if to < 0:
-                    yield _told(_packed(np.array([-1 - to]), np.frombuffer(data, "<i4").reshape(1, -1), "uid"), True)
+                    starts = np.frombuffer(data, "<i4")
+                    yield _told(np.full(len(starts), -1 - to), starts, True)
                 else:
                     parts.append(np.frombuffer(data, PLACE, offset=8))
                     firsts.append(np.full(len(parts[-1]), struct.unpack_from("<q", data)[0]))
@@ -335,16 +331,35 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
                 hit = np.zeros(len(rows), bool)
                 hit[at[met | np.append(met[1:], False)[:len(one)] | (one["a"] & 1 > 0)]] = True
             if hit.any():
-                places = np.stack([rows["a"][hit] >> 1, np.zeros(int(hit.sum()), "u4")], 1).astype("<i4")
-                yield _told(_packed(uids[hit], places, "uid"), mark)
+                yield _told(uids[hit], (rows["a"][hit] >> 1).astype("<i4"), mark)
 
+    def by_row(batches):
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for parts in batch.column(1).to_pylist():
+                rows = np.frombuffer(b"".join(parts), TOLD)
+                for uid in np.unique(rows["u"]).tolist():
+                    own = rows[rows["u"] == uid]
+                    for c, v in zip(cols, (uid, own["a"][own["g"] > 0].tobytes(), own["a"][own["g"] == 0].tobytes())):
+                        c.append(v)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))],
+                                  ["uid", "gone", "starts"])
+
+    # answers travel in groups of rows, so that their number follows the texts and not the buckets
     return (texts.select("uid", "doc_id", "data").mapInArrow(tell, "to long, data binary").repartition(width, "to")
-            .mapInArrow(answer, "uid long, gone boolean, data binary"))
+            .mapInArrow(answer, "rows long, data binary")
+            .groupBy("rows").agg(F.collect_list("data").alias("data"))      # of GROUP texts, so bounded by them
+            .mapInArrow(by_row, "uid long, gone binary, starts binary"))
+
+
+GROUP = 32           # rows whose answers travel together
+TOLD = np.dtype([("u", "<i8"), ("a", "<i4"), ("g", "u1")])
 
 
-def _told(batch: pa.RecordBatch, gone: bool) -> pa.RecordBatch:
-    return pa.record_batch([batch.column(0), pa.array([gone] * batch.num_rows), batch.column(1)],
-                           ["uid", "gone", "data"])
+def _told(uids: np.ndarray, starts: np.ndarray, gone: bool) -> pa.RecordBatch:
+    out = np.zeros(len(uids), TOLD)
+    out["u"], out["a"], out["g"] = uids, starts, gone
+    return _packed(uids // GROUP, out, "rows")
 
 
 def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -353,9 +368,7 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     ``texts`` is the stored result of :func:`numbered`.
     """
     width = max(shuffle_width(texts.sparkSession), texts.rdd.getNumPartitions())
-    told = stored(anchor_places(texts, width, length, gram).groupBy("uid")
-                  .agg(*[F.collect_list(F.when(F.col("gone") == g, F.col("data"))).alias(n)
-                         for n, g in (("gone", True), ("starts", False))]), "told")   # of one text, so bounded by it
+    told = stored(anchor_places(texts, width, length, gram), "told")
 
     def cut(batches):
         """Segments by anchor, and the runs that go at once."""
@@ -367,12 +380,12 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 data = open_(r["data"])
                 h, _, a, n = anchors(np.frombuffer(data, np.uint8), length, gram)
                 doc = LEAST if r["doc_id"] is None else r["doc_id"]
-                wanted = np.isin(a, np.frombuffer(b"".join(r["starts"]), "<i4")[::2])
+                wanted = np.isin(a, np.frombuffer(r["starts"], "<i4"))
                 for hh, aa, nn in zip(h[wanted].tolist(), a[wanted].tolist(), n[wanted].tolist()):
                     seg = data[aa:aa + nn - 1 + length]
                     out.setdefault((hh >> 32) % width, []).append(
                         struct.pack(HEAD, hh >> 16, doc, r["uid"], aa, len(seg)) + seg)
-                late = np.isin(a, np.frombuffer(b"".join(r["gone"]), "<i4")[::2])
+                late = np.isin(a, np.frombuffer(r["gone"], "<i4"))
                 if late.any():
                     gone.append(np.stack([np.full(int(late.sum()), r["uid"]), a[late],
                                           a[late] + n[late] - 1 + length], 1))
@@ -409,9 +422,7 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                               for s, x, y in runs], np.int64)
                 yield _packed(g[:, 0], g[:, 1:].astype("<i4"), "uid")
 
-    bytes_ = 48 + sum(F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
-                      for c in ("gone", "starts"))
-    segments = (texts.join(small(told, bytes_), "uid").select("uid", "doc_id", "data", "gone", "starts")
+    segments = (texts.join(told, "uid").select("uid", "doc_id", "data", "gone", "starts")
                 .mapInArrow(cut, "to long, data binary").repartition(width, "to"))
     return segments.mapInArrow(induce, "uid long, data binary")
 
@@ -462,7 +473,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     pa.int64(), pa.int64(), pa.int64(), pa.binary()))], part.column(3)],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "row"])
 
-    return (texts.join(small(runs, 32 + F.length("runs")), "uid", "left").select("doc_id", "data", "runs", "row").mapInArrow(
+    return (texts.join(runs, "uid", "left").select("doc_id", "data", "runs", "row").mapInArrow(
         apply, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, row {kind}"))
 
 
