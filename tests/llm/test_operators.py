@@ -102,7 +102,9 @@ def test_jaccard_large_mixed_regions(spark, monkeypatch):
 def test_suffix_array_order():
     rnd = random.Random(1)
     for _ in range(50):
-        t = np.array([rnd.randrange(0, 4) for _ in range(rnd.randrange(1, 80))] + [0], np.int32)
+        # segments of symbols, each ended by a 0
+        t = np.array([x for _ in range(rnd.randrange(1, 9))
+                      for x in [rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 12))] + [0]], np.int32)
         got = suffix.suffix_array(t, 200)
         assert got.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
