@@ -28,6 +28,8 @@ from lintel.llm.common import PieceIds, file_bytes, slices
 
 LEAF = 24        # bytes that are merged directly
 ROWS = 256       # rows handled at a time inside a task
+MEMO = 60_000    # pieces in each generation of a worker's memo
+SLICE = 2 << 20  # bytes of text coded at a time
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -105,7 +107,7 @@ def _coder(data: bytes, pattern: str) -> tuple[TreeBPE, PieceIds]:
             pack, run = bpe.ranks, bpe.tokens
             return [np.array([pack[t] for m in find(p) for t in run(m.encode("utf-8"))], "<u4").tobytes()
                     for p in pieces]
-        _MADE[key] = bpe, PieceIds(encode)
+        _MADE[key] = bpe, PieceIds(encode, MEMO)
     return _MADE[key]
 
 
@@ -123,7 +125,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         ids = _coder(data.value, pattern)[1]
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, size=SLICE):
                 flat, n = ids.batch(part.column(1))
                 offs = np.concatenate([[0], 4 * np.cumsum(n)])
                 out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [
