@@ -23,6 +23,14 @@ from lintel.operators.joins import attach_scalars
 Z975 = 1.959963985
 # The t-quantile series below is accurate to ~2e-6 from 30 degrees of freedom.
 MIN_T_DF = 30
+# t(0.975) for 1 to 29 degrees of freedom.
+T975 = (
+    12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851,
+    2.364624252, 2.306004135, 2.262157163, 2.228138852, 2.200985160, 2.178812830,
+    2.160368656, 2.144786688, 2.131449546, 2.119905299, 2.109815578, 2.100922040,
+    2.093024054, 2.085963447, 2.079613845, 2.073873068, 2.068657610, 2.063898562,
+    2.059538553, 2.055529439, 2.051830516, 2.048407142, 2.045229642,
+)
 
 
 def div(a: str, b: str) -> str:
@@ -35,21 +43,25 @@ def nonneg_sqrt(a: str) -> str:
 
 
 def t_quantile(df: str) -> str:
-    """t(0.975, ν) from the Cornish-Fisher series in the normal quantile;
-    NULL for ν < 30, where the series is not accurate enough."""
+    """t(0.975, ν) from the Cornish-Fisher series in the normal quantile,
+    and from the table below 30, where the series is not accurate enough;
+    NULL for ν < 1."""
     z = f"{Z975}"
     v = f"CAST({df} AS DOUBLE)"
     z3, z5, z7 = f"power({z}, 3)", f"power({z}, 5)", f"power({z}, 7)"
     series = (f"{z} + ({z3} + {z}) / (4 * {v})"
               f" + (5 * {z5} + 16 * {z3} + 3 * {z}) / (96 * {v} * {v})"
               f" + (3 * {z7} + 19 * {z5} + 17 * {z3} - 15 * {z}) / (384 * {v} * {v} * {v})")
-    return f"CASE WHEN {df} >= {MIN_T_DF} THEN {series} END"
+    table = " ".join(f"WHEN {df} = {n} THEN CAST({t} AS DOUBLE)" for n, t in enumerate(T975, 1))
+    return f"CASE WHEN {df} >= {MIN_T_DF} THEN {series} {table} END"
 
 
 # ------------------------------------------------------- symbolic linear algebra
 
 def _det(m: list[list[str]]) -> str:
     k = len(m)
+    if k == 0:
+        return "1"
     if k == 1:
         return m[0][0]
     if k == 2:

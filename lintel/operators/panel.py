@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.operators.joins import attach_scalars, small
+from lintel.operators.joins import small_rows
 
-# A panel's time axis is a calendar: refuse to densify over more periods.
-MAX_PERIODS = 10_000
+# Values of a grid's axis that are broadcast; a longer axis is left to the planner.
+BROADCAST_VALUES = 100_000
 
 
 def densify(df: DataFrame, keys: Sequence[str], time_col: str,
@@ -21,44 +21,40 @@ def densify(df: DataFrame, keys: Sequence[str], time_col: str,
 
     By default the periods are the ones present anywhere in ``df`` (a period
     absent for every key stays absent, D9); ``full_range`` uses every period
-    from min to max instead.  The period list is one bounded array
-    (``MAX_PERIODS``) attached to the distinct keys and exploded, so the grid
-    is built where the keys are, without shuffling the periods around.
+    from min to max instead.  The grid is the product of two distinct frames,
+    of any size: its rows are the result's rows.
     """
     keys = list(keys)
     if full_range:
-        periods = df.agg(F.sequence(F.min(time_col), F.max(time_col)).alias("_periods"))
+        periods = (df.agg(F.min(time_col).alias("_lo"), F.max(time_col).alias("_hi"))
+                   .where("_lo IS NOT NULL").select(F.explode(F.sequence("_lo", "_hi")).alias(time_col)))
     else:
-        periods = df.agg(F.array_sort(F.collect_set(time_col)).alias("_periods"))
-    periods = periods.select(
-        F.when(F.size("_periods") <= MAX_PERIODS, F.col("_periods"))
-         .otherwise(F.raise_error(F.lit("too many periods to densify"))).alias("_periods"))
-    grid = (attach_scalars(df.select(*keys).distinct(), periods)
-            .select(*keys, F.explode("_periods").alias(time_col)))
-    out = grid.join(df, on=[*keys, time_col], how="left")
-    return out.fillna(fill, subset=list(measures))
+        periods = _values(df, time_col)
+    return _on_grid(_times(df.select(*keys).distinct(), periods), df, [*keys, time_col], measures, fill)
 
 
 def expand_grid(df: DataFrame, keys: Sequence[str], time_col: str,
                 measures: Sequence[str], fill: float = 0.0) -> DataFrame:
     """J8 + P24, full product: every value of each key × every period (like
-    ``expand.grid`` of the distinct values), measures filled where absent.
-
-    The first key's distinct values are the rows; the distinct values of the
-    other keys and of the period are bounded sets (dimension-sized, checked
-    against ``MAX_PERIODS``) collected into one broadcast row and exploded."""
+    ``expand.grid`` of the distinct values), measures filled where absent."""
     keys = list(keys)
-    sets = [F.array_sort(F.collect_set(c)).alias(f"_set_{c}") for c in [*keys[1:], time_col]]
-    bounded = df.agg(*sets)
-    bounded = bounded.select(*[
-        F.when(F.size(f"_set_{c}") <= MAX_PERIODS, F.col(f"_set_{c}"))
-         .otherwise(F.raise_error(F.lit(f"too many values of {c} to densify"))).alias(f"_set_{c}")
-        for c in [*keys[1:], time_col]])
-    grid = attach_scalars(df.select(keys[0]).distinct(), bounded)
+    grid = df.select(keys[0]).distinct()
     for c in [*keys[1:], time_col]:
-        grid = grid.withColumn(c, F.explode(f"_set_{c}")).drop(f"_set_{c}")
-    out = grid.join(df, on=[*keys, time_col], how="left")
-    return out.fillna(fill, subset=list(measures))
+        grid = _times(grid, _values(df, c))
+    return _on_grid(grid, df, [*keys, time_col], measures, fill)
+
+
+def _values(df: DataFrame, c: str) -> DataFrame:
+    return df.select(c).where(F.col(c).isNotNull()).distinct()
+
+
+def _times(grid: DataFrame, axis: DataFrame) -> DataFrame:
+    """Every row of ``grid`` with every value of ``axis``, where the grid's rows are."""
+    return grid.crossJoin(small_rows(axis, BROADCAST_VALUES))
+
+
+def _on_grid(grid: DataFrame, df: DataFrame, on: list[str], measures: Sequence[str], fill: float) -> DataFrame:
+    return grid.join(df, on=on, how="left").fillna(fill, subset=list(measures))
 
 
 def with_lags(df: DataFrame, keys: Sequence[str], time_col: str,

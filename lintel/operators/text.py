@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from lintel.functions.columns import KW_WORD, col_, normalize_text, strip_stopwords
 from lintel.operators.joins import attach_scalars
 
-SEP = "\u0001"  # stands for any run of non-word, non-space characters
+SEP = "\u0001"  # encloses a run of non-word, non-space characters
 
 
 def clean_keywords(words: Sequence[str]) -> list[str]:
@@ -33,15 +34,29 @@ def clean_keywords(words: Sequence[str]) -> list[str]:
     return sorted({w.strip().lower() for w in words if w and w.strip()})
 
 
+def token_keywords(words: Sequence[str]) -> list[str]:
+    """Keywords in the form in which :func:`tokens` leaves them in a text, so
+    ``low-cost`` is found where the text has that very run of punctuation."""
+    runs = regex.compile(f"[^{KW_WORD} ]+")
+    return sorted({runs.sub(f" {SEP}\\g<0>{SEP} ", w).strip(" ") for w in clean_keywords(words)})
+
+
+def _as_written(grams: Column, kws: list[str]) -> Column:
+    """Found grams as the keywords they stand for."""
+    if not any(SEP in w for w in kws):
+        return grams
+    return F.transform(grams, lambda g: F.regexp_replace(g, f" ?{SEP}([^{SEP}]*){SEP} ?", "$1"))
+
+
 def max_words(words: Sequence[str]) -> int:
     return max(len(w.split(" ")) for w in words)
 
 
 def tokens(c: str | Column) -> Column:
     """Lowered text as tokens; a run of non-word, non-space characters
-    becomes a separator token, so an n-gram never spans it, and repeated
-    spaces leave empty tokens, so only single-spaced words are adjacent."""
-    s = F.regexp_replace(F.lower(col_(c)), f"[^{KW_WORD} ]+", f" {SEP} ")
+    becomes a token of its own, so an n-gram of words never spans it, and
+    repeated spaces leave empty tokens, so only single-spaced words are adjacent."""
+    s = F.regexp_replace(F.lower(col_(c)), f"([^{KW_WORD} ]+)", f" {SEP}$1{SEP} ")
     return F.split(s, " ")
 
 
@@ -84,7 +99,7 @@ def _hits_tokens(t: Column, kws: list[str], n: int) -> Column:
 def keyword_match(cols: Sequence[str | Column], words: Sequence[str]) -> Column:
     """T1 predicate as a single column expression (for ad-hoc use; the
     DataFrame form :func:`screen` tokenises each text only once)."""
-    kws = clean_keywords(words)
+    kws = token_keywords(words)
     n = max_words(kws)
     cond: Column | None = None
     for c in cols:
@@ -103,8 +118,8 @@ def _any_in(grams: list[Column], kws: list[str]) -> Column:
 def keyword_hits(c: str | Column, words: Sequence[str]) -> Column:
     """T2 column: distinct keywords found in ``c`` (overlapping keywords all
     count; a keyword found twice counts once)."""
-    kws = clean_keywords(words)
-    return _hits_tokens(tokens(c), kws, max_words(kws))
+    kws = token_keywords(words)
+    return _as_written(_hits_tokens(tokens(c), kws, max_words(kws)), kws)
 
 
 def _with_tokens(df: DataFrame, texts: Sequence[Column], names: Sequence[str]) -> DataFrame:
@@ -118,7 +133,7 @@ def _with_tokens(df: DataFrame, texts: Sequence[Column], names: Sequence[str]) -
 
 def screen(df: DataFrame, cols: Sequence[str], words: Sequence[str]) -> DataFrame:
     """Rows whose text columns contain any keyword."""
-    kws = clean_keywords(words)
+    kws = token_keywords(words)
     n = max_words(kws)
     names = [f"_tok{i}" for i in range(len(cols))]
     staged = _with_tokens(df, [F.col(c) for c in cols], names)
@@ -133,10 +148,10 @@ def hit_table(df: DataFrame, id_col: str, text_cols: Sequence[str], words: Seque
               keep: Sequence[str] = ()) -> DataFrame:
     """Long ``(id, word, *keep)`` table, one row per row and keyword found
     in the space-joined text columns."""
-    kws = clean_keywords(words)
+    kws = token_keywords(words)
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
     staged = _with_tokens(df.select(id_col, *keep, *text_cols), [text], ["_tok"])
-    return staged.select(id_col, *keep, F.explode(_hits_tokens(F.col("_tok"), kws, max_words(kws))).alias("word"))
+    return staged.select(id_col, *keep, F.explode(_as_written(_hits_tokens(F.col("_tok"), kws, max_words(kws)), kws)).alias("word"))
 
 
 def evaluate(df: DataFrame, id_col: str, text_cols: Sequence[str], words: Sequence[str],

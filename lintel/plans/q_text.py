@@ -257,15 +257,29 @@ def best_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------- vectors
 
+def _query_vector(e: DataFrame) -> DataFrame:
+    """One row: the vector with id 0 (the least, if several)."""
+    return e.filter(F.col("vec_id") == 0).agg(F.min("embedding").alias("query"))
+
+
 @register("similarity_topk", ("T7", "J11", "O2"), """
-WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
+WITH q AS (SELECT CAST(min(embedding) AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), q.q), 6) AS score
 FROM embeddings, q ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), q.q) DESC, vec_id LIMIT 20""")
 def similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors closest (dot product) to the vector with id 0."""
     e = tables(spark, sf_dir).embeddings
-    query = e.filter(F.col("vec_id") == 0).select(F.col("embedding").alias("query"))
-    out = vectors.rank_by_similarity(e, "embedding", query, "query", k=20, tie_key="vec_id")
+    out = vectors.rank_by_similarity(e, "embedding", _query_vector(e), "query", k=20, tie_key="vec_id")
+    return out.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@register("similarity_scores", ("T7", "J11"), """
+WITH q AS (SELECT CAST(min(embedding) AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), q.q), 6) AS score FROM embeddings, q""")
+def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's similarity (dot product) to the vector with id 0."""
+    e = tables(spark, sf_dir).embeddings
+    out = vectors.rank_by_similarity(e, "embedding", _query_vector(e), "query")
     return out.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 

@@ -14,7 +14,7 @@ Layout of the stand-ins (all derived by rule, nothing sampled):
   suffix on a few keys; income group = region name.
 * fact A = lineitem ⨝ orders ⨝ customer ⨝ supplier ⨝ part (+ nation codes),
   years up to 2000.  Codes with NULLs injected by line number.
-* fact B = orders ⨝ customer ⨝ part(``o_custkey % 200``), years 1995-2001,
+* fact B = orders ⨝ customer ⨝ (all part types, dealt by ``o_custkey``), years 1995-2001,
   40 publishers ``P0..P39`` with NULL / no-break-space damage on some keys.
 * publisher map: publisher p → donor ``p % 25`` plus ``(p+1) % 25`` when
   ``p % 7 = 0``; publisher 39 has no donor.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.operators.joins import small, small_rows
+from lintel.operators.joins import attach_scalars, small
 from lintel.sources.tables import Tables
 
 NBSP = "\u00a0"  # no-break space
@@ -57,7 +57,7 @@ def fact_a(t: Tables) -> DataFrame:
                          "recipient_name", "income_group_name"))
     dn = small(nc.select(F.col("n_nationkey").alias("_dk"), F.col("display_name").alias("donor_name")))
     li = t.lineitem
-    o = t.orders.filter(F.year("o_orderdate") <= 2000)
+    o = t.orders.filter("o_orderdate < TIMESTAMP_NTZ'2001-01-01'")
     ln = F.col("l_linenumber")
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
          .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -93,9 +93,10 @@ def fact_b(t: Tables) -> DataFrame:
     pub = F.concat(F.lit("P"), (F.col("o_custkey") % 40).cast("string"))
     region_code = (F.lit(900) + F.col("n_regionkey")).cast("string")
     j = (o.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-         .join(nc, F.col("c_nationkey") == F.col("_rk"))
-         .join(small_rows(t.part.filter(F.col("p_partkey") < 200).select("p_partkey", "p_type"), 200),
-               F.col("p_partkey") == F.col("o_custkey") % 200))
+         .join(nc, F.col("c_nationkey") == F.col("_rk")))
+    # the part types are a small code list: one sorted row of it goes to every order
+    j = attach_scalars(j, t.part.agg(F.array_sort(F.collect_set("p_type")).alias("_types")))
+    purpose = F.get("_types", (F.col("o_custkey") % F.nullif(F.size("_types"), F.lit(0))).cast("int"))
     ok = F.col("o_orderkey")
     return j.select(
         F.concat(pub, F.lit("-"), ok.cast("string")).alias("iati_identifier"),
@@ -104,7 +105,7 @@ def fact_b(t: Tables) -> DataFrame:
          .otherwise(pub).alias("reporting_org_ref"),
         F.year("o_orderdate").cast("bigint").alias("x_transaction_year"),
         F.concat(F.lit("Org ("), F.col("o_orderpriority"), F.lit(")")).alias("funding_orgs"),
-        F.col("p_type").alias("x_sector_code"),
+        purpose.alias("x_sector_code"),
         F.when(ok % 97 == 0, region_code).otherwise(F.col("iso2")).alias("x_recipient_code"),
         F.col("o_totalprice").alias("x_transaction_value_usd"),
     )

@@ -135,8 +135,25 @@ def test_fixed_effects_match_dummy_regression(spark):
     assert np.allclose((pred["upr"] - pred["fit"]).values, t975(dof) * np.sqrt(s2 * h), rtol=1e-6)
 
 
-def test_densify_refuses_unbounded_period_sets(spark, monkeypatch):
-    df = spark.createDataFrame([("a", 2020, 1.0), ("a", 2021, 2.0), ("b", 2022, 3.0)], "k string, year int, v double")
-    monkeypatch.setattr(panel, "MAX_PERIODS", 2)
-    with pytest.raises(Exception, match="too many periods"):
-        panel.densify(df, ["k"], "year", ["v"]).collect()
+def test_densify_has_no_limit_on_periods(spark):
+    df = spark.range(10_500).selectExpr("'a' AS k", "id AS year", "1.0D AS v").union(
+        spark.createDataFrame([("b", 3, 2.0)], "k string, year long, v double"))
+    d = panel.densify(df, ["k"], "year", ["v"])
+    assert d.count() == 21_000
+    assert d.where("k = 'b'").agg({"v": "sum"}).first()[0] == 2.0
+
+
+def test_t_quantile_below_thirty(spark):
+    known = {1: 12.706204736, 2: 4.302652730, 5: 2.570581836, 10: 2.228138852, 29: 2.045229642}
+    df = spark.createDataFrame([(k,) for k in [0, *known]], "n int")
+    got = {r.n: r.t for r in df.selectExpr("n", f"{ols.t_quantile('n')} AS t").collect()}
+    assert got.pop(0) is None
+    assert got == pytest.approx(known, abs=1e-8)
+
+
+def test_fit_of_one_regressor(spark):
+    x = np.arange(8.0)
+    y = 3 + 2 * x + np.array([0.1, -0.1, 0.2, 0.0, -0.2, 0.1, 0.0, -0.1])
+    m = ols.fit(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), "y", ["x"]).first()
+    slope = np.polyfit(x, y, 1)[0]
+    assert m.b_0 == pytest.approx(slope, rel=1e-9)

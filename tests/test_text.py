@@ -149,3 +149,12 @@ def test_tfidf_ranking_stable_under_repartition(spark):
         again = [tuple(r) for r in text.tfidf_terms(df.repartition(n), "t", "positive", n=1, k=5).collect()]
         assert [(a, b) for a, b, _ in again] == [(a, b) for a, b, _ in first]
         assert [c for _, _, c in again] == pytest.approx([c for _, _, c in first])
+
+
+def test_keywords_with_punctuation(spark):
+    df = spark.createDataFrame([(1, "Low-cost homes"), (2, "low cost, low/cost and low - cost"),
+                                (3, "voie de l'habitat rural"), (4, None)], "id int, t string")
+    hits = text.hit_table(df, "id", ["t"], ["low-cost", "l'habitat rural", "low cost"])
+    assert sorted((r.id, r.word) for r in hits.collect()) == [
+        (1, "low-cost"), (2, "low cost"), (3, "l'habitat rural")]
+    assert [r.id for r in text.screen(df, ["t"], ["low-cost"]).collect()] == [1]
