@@ -9,15 +9,20 @@ shingles (its window), and two linked documents always meet in a region.
 from all pivots, in one region; points keep regions small.)
 
 Regions are joined recursively.  Documents with equal sets are one class from
-the start.  In each round a region's pivot document is held against its
-members (a star, never all pairs); members that end in one component need no
-further comparison.  Regions that stay large and mixed, because they share a
-frequent passage, are divided again: their shingles go to the end of the order
-and the documents concerned get new windows.  Regions of up to ``SMALL``
-classes in different components are then compared in full, and larger ones in
-more star rounds and, should any remain, in full as well.  Every link used is
-verified on the whole sets, and no pair of different components that shares a
-region is left unverified, so components are exact.
+the start.  Shingles that many classes hold make large regions; they go to
+the end of the order, the documents concerned get new windows of rarer
+shingles, and what is then left in large regions is divided once more by all
+the shingles its documents share.  Regions that are large even then are groups
+of near copies: in each round a region's pivot document is held against its
+members (a star, never all pairs), and members that end in one component need
+no further comparison.  Regions of up to ``SMALL`` classes in different
+components are compared in full, and larger ones, should any remain after all
+rounds, in full as well.  Before two sets are compared, the parities of their
+shingles in 256 buckets bound their difference from below, and the shingles
+that their windows share bound their intersection from above; neither bound
+drops a link.  Every link used is verified on the whole sets, and no pair of
+different components that shares a region is left undecided, so components
+are exact.
 
 Defined cases: a null or empty text, or one of blanks, has no shingles and
 links with nothing; a null id is the smallest; repeated rows are copies of one
@@ -37,9 +42,10 @@ from pyspark.sql import functions as F
 from lintel.llm.common import components, stored
 from lintel.llm.shingles import shingle_hashes
 
-SMALL = 128         # classes of a region that is compared in full
+SMALL = 64          # classes of a region that is compared in full
 BROADCAST_ROWS = 1 << 21     # ids (8 bytes each) that may go to every task
-STARS = 2           # star rounds before and after regions are divided again
+STARS = 4           # star rounds before and after the small regions
+BITS = ["b0", "b1", "b2", "b3"]     # parities of the shingles in 256 buckets
 ROWS = 256
 SIGNED = np.int64
 
@@ -48,8 +54,19 @@ def window_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
+def spare(p: int) -> int:
+    """Shingles kept beyond a window of ``p``, to stand in for those that go to the order's end."""
+    return 8 + p // 4
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Four 64-bit words: whether each of 256 buckets holds an odd number of the shingles."""
+    odd = (np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(SIGNED)
+
+
 def signatures(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, n, key, window, th, heads): ``key`` names the set, ``window`` its regions, ``heads`` their top bits."""
+    """(uid, doc_id, n, key, lead, th, b0..b3): ``key`` names the set, ``lead`` holds its first shingles."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                       F.xxhash64(F.col(text_col)).alias("th"))
 
@@ -58,23 +75,23 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, id_col: str, tex
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                n, keys, wins = [], [], []
+                n, keys, lead, bits = [], [], [], []
                 for t in part.column(1).to_pylist():
                     s = shingle_hashes(t, words)
+                    p = window_size(len(s), num, den)
                     n.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    wins.append(s[:window_size(len(s), num, den)].view(SIGNED))
-                lens = np.cumsum([0] + [len(w) for w in wins])
-                flat = np.concatenate(wins) if wins else np.zeros(0, SIGNED)
+                    lead.append(s[:p + spare(p)].tobytes())
+                    bits.append(parities(s))
+                bits = np.array(bits, SIGNED).reshape(len(n), len(BITS))
                 ids = pa.array(range(uid, uid + len(n)), pa.int64())
                 uid += len(n)
                 yield pa.record_batch([ids, part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                                       pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat)), part.column(2),
-                                       pa.array([(w.view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes()
-                                                 for w in wins], pa.binary())],
-                                      ["uid", "doc_id", "n", "key", "window", "th", "heads"])
+                                       pa.array(lead, pa.binary()), part.column(2), *map(pa.array, bits.T.copy())],
+                                      ["uid", "doc_id", "n", "key", "lead", "th", *BITS])
 
-    return src.mapInArrow(run, "uid long, doc_id long, n long, key binary, window array<long>, th long, heads binary")
+    return src.mapInArrow(run, "uid long, doc_id long, n long, key binary, lead binary, th long, "
+                               + ", ".join(f"{b} long" for b in BITS))
 
 
 def _fetch(rows: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
@@ -116,165 +133,152 @@ def _pairwise(pairs: DataFrame, values: DataFrame, keeps) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
-def least_common(na: int, nb: int, num: int, den: int) -> int:
-    """The least common shingles of linked sets of these sizes."""
-    return -(-num * (na + nb) // (num + den))
+def _ceil(x: str, num: int, den: int) -> str:
+    """SQL of the whole number from num * x / den upwards."""
+    return f"(({num} * ({x}) + {den - 1}) div {den})"
 
 
 class _Join:
-    """The rounds over the regions' members (s, uid, n)."""
+    """The rounds over the regions' members (s, uid, n, c, b0..b3)."""
 
-    def __init__(self, sig: DataFrame, sets_of, num: int, den: int):
-        self.sig, self.sets_of, self.num, self.den = sig, sets_of, num, den
+    def __init__(self, sets_of, num: int, den: int):
+        self.sets_of, self.num, self.den = sets_of, num, den
         self.comp = None
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """Members of regions that hold more than one component, with their label."""
+        members = members.drop("label")
         if self.comp is None:
-            x = members.withColumn("label", F.col("uid"))
-        else:
-            x = (members.join(self.comp.withColumnRenamed("node", "uid"), "uid", "left")
-                 .withColumn("label", F.coalesce("component_id", "uid")).drop("component_id"))
-        live = (x.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"))
-                .where("lo <> hi").select("s", "c"))
+            return members.withColumn("label", F.col("uid"))
+        x = (members.join(self.comp.withColumnRenamed("node", "uid"), "uid", "left")
+             .withColumn("label", F.coalesce("component_id", "uid")).drop("component_id"))
+        live = (x.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                .where("lo <> hi").select("s"))
         return x.join(live, "s")
 
-    def near(self, a, b):
-        return (self.den * F.least(a, b) >= self.num * F.greatest(a, b))
+    def may(self, a: str, b: str):
+        """Whether classes of different components (columns with these prefixes) may be within the radius."""
+        n, both = f"{a}n + {b}n", _ceil(f"{a}n + {b}n", self.num, self.num + self.den)
+        apart = " + ".join(f"bit_count({a}{x} ^ {b}{x})" for x in BITS)
+        return F.expr(f"{a}label <> {b}label and {self.den} * least({a}n, {b}n) >= {self.num} * greatest({a}n, {b}n) "
+                      f"and {apart} <= {n} - 2 * {both}")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the stored pairs whose sets are within the radius."""
         num, den = self.num, self.den
 
-        def may(na, va, nb, vb):
-            # of the window that ends first, what the other lacks is lacking in its whole set
-            x, y = np.frombuffer(va, "<u4"), np.frombuffer(vb, "<u4")
-            if x[-1] > y[-1]:
-                x, y, na, nb = y, x, nb, na
-            return len(x) - int(np.isin(x, y).sum()) <= na - least_common(na, nb, num, den)
-
         def near(na, va, nb, vb):
             x, y = np.frombuffer(va, np.uint64), np.frombuffer(vb, np.uint64)
             both = na + nb - len(np.union1d(x, y))
             return den * both >= num * (na + nb - both)
 
-        def ids(p):
-            return stored(p.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids")
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids")
+        return _pairwise(pairs, stored(self.sets_of(ids), "sets").select("uid", "n", F.col("set").alias("v")), near)
 
-        some = stored(_pairwise(pairs, _fetch(self.sig, ids(pairs), ["uid"]).select("uid", "n", F.col("heads").alias("v")),
-                                may), "pairs")
-        if some.isEmpty():
-            return some
-        return _pairwise(some, stored(self.sets_of(ids(some)), "sets").select("uid", "n", F.col("set").alias("v")), near)
-
-    def add(self, pairs: DataFrame) -> None:
-        """Verify pairs (a, b) and take the links in."""
+    def add(self, pairs: DataFrame) -> bool:
+        """Verify pairs (a, b), take the links in and say whether there were any."""
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
-            return
+            return False
         found = stored(self.verified(pairs), "links")
         if found.isEmpty():
-            return
+            return False
         if self.comp is not None:   # of earlier links, one per member of a component
             found = found.unionByName(self.comp.where("node <> component_id").select(
                 F.col("node").alias("a"), F.col("component_id").alias("b")))
         self.comp = stored(components(found), "components")
+        return True
 
-    def star(self, x: DataFrame, turn: int) -> None:
+    def star(self, x: DataFrame, turn: int) -> bool:
         """Hold each region's pivot document against its members."""
-        lead = x.groupBy("s").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "n", "label"))
-                                  .alias("p")).select("s", "p.*")
-        lead = lead.select("s", F.col("uid").alias("p_uid"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
-        pairs = (x.join(lead, "s").where((F.col("label") != F.col("p_label")) & self.near(F.col("n"), F.col("p_n")))
-                 .select(F.col("p_uid").alias("a"), F.col("uid").alias("b")))
-        self.add(pairs)
+        lead = x.groupBy("s").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "n", "label", *BITS))
+                                  .alias("p"))
+        lead = stored(lead.select("s", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("uid", "n", "label", *BITS)]), "pivots")
+        few = lead.count() <= BROADCAST_ROWS // 8
+        pairs = (x.select("s", *[F.col(c).alias(f"m_{c}") for c in ("uid", "n", "label", *BITS)])
+                 .join(F.broadcast(lead) if few else lead, "s").where(self.may("p_", "m_"))
+                 .select(F.col("p_uid").alias("a"), F.col("m_uid").alias("b")))
+        return self.add(pairs)
 
     def full(self, x: DataFrame, large: DataFrame | None = None) -> None:
         """Compare the members of different components.
 
         Pairs that share too few of their windows' shingles, counting every
         ``large`` region (uid, h) that could hold both, cannot be within the
-        radius.
+        radius: of the window that ends first, the rest of its set can add
+        only so many.
         """
         if large is not None:
             x = x.join(large, "uid", "left").fillna(0, ["h"])
         else:
             x = x.withColumn("h", F.lit(1 << 40))
-        num, den = F.lit(self.num), F.lit(self.den)
-        both = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den) - 1e-9)
-        need = F.least(*[both - F.ceil(num * F.col(n) / den - 1e-9) + 1 for n in ("na", "nb")]) - 1
-        a, b = (x.select("s", F.col("uid").alias(k), F.col("n").alias(f"n{k}"), F.col("label").alias(f"l{k}"),
-                         F.col("h").alias(f"h{k}")) for k in "ab")
-        met = (a.join(b, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-                                    & self.near(F.col("na"), F.col("nb")))
-               .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"),
-                                      F.first("ha").alias("ha"), F.first("hb").alias("hb")))
-        self.add(met.where(F.col("c") + F.least("ha", "hb") >= need).select("a", "b"))
-
-
-def _shared(windows: DataFrame) -> DataFrame:
-    """The rows (s, uid, n) of regions that hold more than one class."""
-    more = windows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    return windows.join(more, "s")
-
-
-def _divided(members: DataFrame, sets_of, windows: DataFrame, large: DataFrame, before: DataFrame | None,
-             num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members, windows and all late shingles after those of ``large`` (s) joined ``before`` at the order's end.
-
-    A window changes only where it holds a shingle of ``large``: some of its
-    shingles give way to the next ones of the document.
+        both = _ceil("na + nb", self.num, self.num + self.den)
+        need = f"{both} + 1 - greatest({_ceil('na', self.num, self.den)}, {_ceil('nb', self.num, self.den)})"
+        own = ("uid", "n", "label", "h", *BITS)
+        a, b = (x.select("s", *[F.col(c).alias(f"{k}_{c}") for c in own]) for k in "ab")
+        met = (a.join(b, "s").where((F.col("a_uid") < F.col("b_uid")) & self.may("a_", "b_"))
+               .groupBy(F.col("a_uid").alias("a"), F.col("b_uid").alias("b"))
+               .agg(F.count("*").alias("c"), F.first("a_n").alias("na"), F.first("b_n").alias("nb"),
+                    F.first(F.least("a_h", "b_h")).alias("h")))
+        self.add(met.where(F.expr(f"c + h >= {need}")).select("a", "b"))
+
+
+def _frequent(rows: DataFrame) -> DataFrame:
+    """The shingles (s) of more than ``SMALL`` rows."""
+    return rows.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > SMALL).select("s")
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    """(uid, s) of every shingle in the column ``lead`` (bytes)."""
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                sets = [np.frombuffer(v, SIGNED) for v in part.column(1).to_pylist()]
+                lens = [len(v) for v in sets]
+                yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), lens)),
+                                       pa.array(np.concatenate(sets))], ["uid", "s"])
+
+    return rows.select("uid", "lead").mapInArrow(run, "uid long, s long")
+
+
+def _ordered(rows: DataFrame, late: DataFrame | None, num: int, den: int) -> DataFrame:
+    """(s, uid, n, short): windows of ``rows`` (uid, n, lead) with the stored ``late`` shingles (s) at the order's end.
+
+    Where ``lead`` is not the whole set and holds too few other shingles, one
+    row with ``short`` stands for the window.
     """
-    late = large.select("s", F.lit(True).alias("now"))
-    late = stored(late if before is None else late.unionByName(before.join(large, "s", "left_anti")), "late")
-    moved = stored(members.join(large, "s", "left_semi").select("uid").distinct(), "moved")
-    own = sets_of(moved)
-    if late.count() <= BROADCAST_ROWS // 4:       # the frequent shingles go along
-        rows = late.collect()
-        known = own.sparkSession.sparkContext.broadcast(tuple(
-            np.array([r["s"] for r in rows if r["now"] or not now], SIGNED) for now in (False, True)))   # (all, new)
-        own = own.withColumn("late", F.lit(None).cast("array<struct<s:bigint,now:boolean>>"))
-    else:                                         # else they meet the sets in a join
-        def explode(batches):
-            for batch in batches:
-                for u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    v = np.frombuffer(s, SIGNED)
-                    yield pa.record_batch([pa.array(np.full(len(v), u), pa.int64()), pa.array(v)], ["uid", "s"])
-
-        known = None
-        held = (own.select("uid", "set").mapInArrow(explode, "uid long, s long").join(late, "s")
-                .groupBy("uid").agg(F.collect_set(F.struct("s", "now")).alias("late")))   # bounded by the text
-        own = own.join(held, "uid", "left")
-
-    def again(batches):
+    known = None
+    if late is None:
+        rows = rows.select("uid", "n", "lead", F.lit(None).cast("array<bigint>").alias("late"))
+    elif late.count() <= BROADCAST_ROWS // 4:     # the frequent shingles go along
+        known = rows.sparkSession.sparkContext.broadcast(np.array([r["s"] for r in late.collect()], SIGNED))
+        rows = rows.select("uid", "n", "lead", F.lit(None).cast("array<bigint>").alias("late"))
+    else:                                         # else they meet the shingles in a join
+        held = _exploded(rows).join(late, "s").groupBy("uid").agg(F.collect_set("s").alias("late"))  # bounded by lead
+        rows = rows.join(held, "uid", "left").select("uid", "n", "lead", "late")
+
+    def run(batches):
         for batch in batches:
-            for u, n, s, own_late in zip(*[batch.column(c).to_pylist() for c in range(4)]):
-                v, p = np.frombuffer(s, np.uint64), window_size(n, num, den)
-                if known is not None:
-                    every, now = known.value
-                else:
-                    every = np.array([x["s"] for x in own_late or ()], SIGNED)
-                    now = np.array([x["s"] for x in own_late or () if x["now"]], SIGNED)
-                last = np.isin(v.view(SIGNED), every)
-                old = last & ~np.isin(v.view(SIGNED), now)
-                was = np.concatenate([v[~old], v[old]])[:p]
-                w = np.concatenate([v[~last], v[last]])[:p]
-                w = w[~np.isin(w, was) | np.isin(w.view(SIGNED), every)].view(SIGNED)
-                yield pa.record_batch([pa.array(w), pa.array(np.full(len(w), u), pa.int64()),
-                                       pa.array(np.full(len(w), n), pa.int64())], ["s", "uid", "n"])
-
-    new = stored(own.select("uid", "n", "set", "late").mapInArrow(again, "s long, uid long, n long").distinct(), "new")
-
-    def without_old(rows: DataFrame) -> DataFrame:
-        """Rows but those of moved classes in late regions."""
-        old = stored(_fetch(_fetch(rows, late.select("s"), ["s"]), moved, ["uid"]).select("s", "uid"), "old")
-        return rows.join(F.broadcast(old) if old.count() <= BROADCAST_ROWS else old, ["s", "uid"], "left_anti")
-
-    # regions of the new shingles gather their members among all windows
-    windows = without_old(windows).unionByName(new)
-    there = _shared(_fetch(windows, stored(new.select("s").distinct(), "pivots"), ["s"]))
-    members = without_old(members).unionByName(there).dropDuplicates(["s", "uid"])
-    return members, windows, late.select("s", F.lit(False).alias("now"))
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                wins, short = [], []
+                for n, v, own in zip(*[part.column(c).to_pylist() for c in (1, 2, 3)]):
+                    v, p = np.frombuffer(v, SIGNED), window_size(n, num, den)
+                    last = np.isin(v, known.value if known is not None else np.array(own or (), SIGNED))
+                    w = v[~last][:p]
+                    if len(w) < p and len(v) == n:
+                        w = np.concatenate([w, v[last]])[:p]
+                    short.append(len(w) < p)
+                    wins.append(w if len(w) == p else w[:0])
+                    if short[-1]:
+                        wins[-1] = np.zeros(1, SIGNED)
+                lens = [len(w) for w in wins]
+                yield pa.record_batch([pa.array(np.concatenate(wins)), *[pa.array(np.repeat(x, lens)) for x in (
+                    part.column(0).to_numpy(), part.column(1).to_numpy(), np.array(short, bool))]],
+                    ["s", "uid", "n", "short"])
+
+    return rows.mapInArrow(run, "s long, uid long, n long, short boolean")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
@@ -286,37 +290,51 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     one row of each component that has it; ``th`` is the text's hash.
     """
     sig = stored(signatures(docs, words, num, den, id_col, text_col), "signatures")
-    rep = (sig.where("n > 0").groupBy("key").agg(F.min("uid").alias("uid")))
-    one = sig.join(rep.select("uid"), "uid", "left_semi")
-    windows = one.select(F.explode("window").alias("s"), "uid", "n")
-    members = stored(_shared(windows), "members")
+    rep = stored(sig.where("n > 0").groupBy("key").agg(F.min("uid").alias("uid")), "classes")
+    one = _fetch(sig, rep.select("uid"), ["uid"])
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return _sets(docs, sig, ids, words, id_col, text_col)
 
-    run, every = _Join(sig, sets_of, num, den), None
-    def mixed() -> tuple[DataFrame, bool]:
-        """The members of mixed regions, and whether large ones are among them."""
-        x = stored(run.labelled(members), "mixed")
-        return x, not x.where(F.col("c") > SMALL).isEmpty()
-
-    x, some = mixed()
-    for turn in range(STARS + 3):
-        if not some:
-            break
-        if turn >= STARS:
-            large = stored(x.where(F.col("c") > SMALL).select("s").distinct(), "large")
-            members, windows, every = _divided(members, sets_of, windows, large, every, num, den)
-            members = stored(members, "members")
-            x, some = mixed()
-        run.star(x.where(F.col("c") > SMALL), turn)
-        x, some = mixed()
-    run.full(x.where(F.col("c") <= SMALL), x.where(F.col("c") > SMALL).groupBy("uid").agg(F.count("*").alias("h")))
-    for turn in range(STARS + 1):
-        if some:
-            x, some = mixed()
-            large = x.where(F.col("c") > SMALL)
-            run.star(large, 8 + turn) if turn < STARS else run.full(large)
+    def windows(late: DataFrame) -> DataFrame:
+        """(s, uid, n) of every class; whole sets are read only where the kept shingles do not suffice."""
+        out, names = stored(_ordered(one, late, num, den), "windows"), ["s", "uid", "n"]
+        short = stored(out.where("short").select("uid"), "short")
+        if short.isEmpty():
+            return out.select(names)
+        whole = sets_of(short).select("uid", "n", F.col("set").alias("lead"))
+        return out.where("not short").select(names).unionByName(
+            stored(_ordered(whole, late, num, den).select(names).distinct(), "windows"))
+
+    late = stored(_frequent(_ordered(one, None, num, den)), "late")
+    wins = windows(late)
+    large = stored(_frequent(wins), "large")
+    if not large.isEmpty():
+        moved = stored(_fetch(wins, large, ["s"]).select("uid").distinct(), "moved")
+        often = _frequent(_exploded(sets_of(moved).select("uid", F.col("set").alias("lead"))))
+        late = stored(late.unionByName(large).unionByName(often).distinct(), "late")
+        wins = windows(late)
+    more = wins.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    members = stored(wins.join(more, "s").join(one.select("uid", *BITS), "uid"), "members")
+
+    run = _Join(sets_of, num, den)
+    small, large = members.where(F.col("c") <= SMALL), stored(members.where(F.col("c") > SMALL), "large")
+
+    def stars(x: DataFrame, first: int) -> DataFrame:
+        """The members of mixed regions that are left after star rounds."""
+        for turn in range(first, first + STARS):
+            x = stored(run.labelled(x), "mixed")
+            if x.isEmpty():
+                return x
+            if not run.star(x, turn):
+                return x
+        return stored(run.labelled(x), "mixed")
+
+    large = stars(large, 0)
+    run.full(run.labelled(small), large.groupBy("uid").agg(F.count("*").alias("h")))
+    large = stars(large, STARS)
+    if not large.isEmpty():
+        run.full(large)
     own = sig.select("uid", "doc_id", "th", F.col("n").alias("n_shingles"), "key")
     classes = own.where("n_shingles > 0").join(rep.select("key", F.col("uid").alias("label")), "key")
     if run.comp is not None:
