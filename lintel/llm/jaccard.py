@@ -242,6 +242,13 @@ def _exploded(rows: DataFrame) -> DataFrame:
     return rows.select("uid", "lead").mapInArrow(run, "uid long, s long")
 
 
+def _held(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _ordered(rows: DataFrame, late: DataFrame | None, num: int, den: int) -> DataFrame:
     """(s, uid, n, short): windows of ``rows`` (uid, n, lead) with the stored ``late`` shingles (s) at the order's end.
 
@@ -252,7 +259,7 @@ def _ordered(rows: DataFrame, late: DataFrame | None, num: int, den: int) -> Dat
     if late is None:
         rows = rows.select("uid", "n", "lead", F.lit(None).cast("array<bigint>").alias("late"))
     elif late.count() <= BROADCAST_ROWS // 4:     # the frequent shingles go along
-        known = rows.sparkSession.sparkContext.broadcast(np.array([r["s"] for r in late.collect()], SIGNED))
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in late.collect()], SIGNED)))
         rows = rows.select("uid", "n", "lead", F.lit(None).cast("array<bigint>").alias("late"))
     else:                                         # else they meet the shingles in a join
         held = _exploded(rows).join(late, "s").groupBy("uid").agg(F.collect_set("s").alias("late"))  # bounded by lead
@@ -262,17 +269,20 @@ def _ordered(rows: DataFrame, late: DataFrame | None, num: int, den: int) -> Dat
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
+                leads = [np.frombuffer(v, SIGNED) for v in part.column(2).to_pylist()]
+                ends = np.cumsum([len(v) for v in leads])
+                if known is not None:
+                    last = np.split(_held(np.concatenate(leads), known.value), ends[:-1])
+                else:
+                    last = [np.isin(v, np.array(own or (), SIGNED)) for v, own in zip(leads, part.column(3).to_pylist())]
                 wins, short = [], []
-                for n, v, own in zip(*[part.column(c).to_pylist() for c in (1, 2, 3)]):
-                    v, p = np.frombuffer(v, SIGNED), window_size(n, num, den)
-                    last = np.isin(v, known.value if known is not None else np.array(own or (), SIGNED))
-                    w = v[~last][:p]
+                for n, v, away in zip(part.column(1).to_pylist(), leads, last):
+                    p = window_size(n, num, den)
+                    w = v[~away][:p]
                     if len(w) < p and len(v) == n:
-                        w = np.concatenate([w, v[last]])[:p]
+                        w = np.concatenate([w, v[away]])[:p]
                     short.append(len(w) < p)
-                    wins.append(w if len(w) == p else w[:0])
-                    if short[-1]:
-                        wins[-1] = np.zeros(1, SIGNED)
+                    wins.append(np.zeros(1, SIGNED) if short[-1] else w)
                 lens = [len(w) for w in wins]
                 yield pa.record_batch([pa.array(np.concatenate(wins)), *[pa.array(np.repeat(x, lens)) for x in (
                     part.column(0).to_numpy(), part.column(1).to_numpy(), np.array(short, bool))]],
