@@ -252,12 +252,19 @@ def _packed(keys: np.ndarray, rows: np.ndarray, name: str) -> pa.RecordBatch:
                            [name, "data"])
 
 
-def _chunks(batches):
-    """Lists of up to CHUNK rows."""
+def _chunks(batches, near: bool = False):
+    """Lists of about CHUNK rows; ``near``: whose uids differ by less than 32 bits.
+
+    A task may read several stored files, whose uids lie further apart.
+    """
     held: list[dict] = []
     for batch in batches:
         for k in range(0, batch.num_rows, ROWS):
-            held += batch.slice(k, ROWS).to_pylist()
+            for r in batch.slice(k, ROWS).to_pylist():
+                if near and held and r["uid"] >> 32 != held[0]["uid"] >> 32:
+                    yield held
+                    held = []
+                held.append(r)
             if len(held) >= CHUNK:
                 yield held
                 held = []
@@ -284,7 +291,7 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
     earlier, and of those whose anchor different segments share."""
     def tell(batches):
         open_ = zstandard.ZstdDecompressor().decompress
-        for rows in _chunks(batches):
+        for rows in _chunks(batches, near=True):     # a row is told as 32 bits from the chunk's first
             found = [anchors(np.frombuffer(open_(r["data"]), np.uint8), length, gram) for r in rows]
             first = min(r["uid"] for r in rows)
             h = np.concatenate([f[0] for f in found])

@@ -118,6 +118,26 @@ def test_repeated_bytes(spark, docs):
     assert kept.columns == docs.columns and kept.where("doc_id = 0").first()["text"] is None
 
 
+def test_repeated_bytes_of_files_read_together(spark):
+    rnd = random.Random(7)
+    base = [" ".join(str(rnd.randrange(10 ** 6)) for _ in range(60)) for _ in range(9)]
+    rows = [(i, rnd.choice(base)[:rnd.randrange(150, 400)] + f" own {rnd.random()} " + rnd.choice(base)[60:])
+            for i in range(60)]
+    few = {"spark.sql.files.minPartitionNum": "2", "spark.sql.files.openCostInBytes": "0"}    # as on local[2]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    for k, v in few.items():
+        spark.conf.set(k, v)
+    try:
+        texts = common.stored(suffix.numbered(df), "texts")
+        assert texts.rdd.getNumPartitions() <= 4
+        got = suffix.dedup_substrings(df).collect()
+    finally:
+        for k in few:
+            spark.conf.unset(k)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest())
+            for r in got} == brute.repeated_bytes(rows)
+
+
 def test_line_dedup(spark, docs):
     got = lines.dedup_lines(docs)
     assert got.columns == docs.columns
