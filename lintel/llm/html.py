@@ -7,7 +7,8 @@ it by simple tree matching.  Counted over all pages that differ from the
 reference, nodes whose text stays the same become template; the slots whose
 text varies become content.  A page's text is then read from its content
 slots: inside the page's article (or main) element, else inside the smallest
-template node that holds most of the host's varying text, else the body, and
+container that holds all of the host's text that is not template, else the
+body, and
 without the elements that markup itself declares to be something else (menus,
 headers, footers, asides, forms, adverts, notices, comments, scripts).
 
@@ -36,7 +37,6 @@ from lintel.llm.common import stored
 
 EVIDENCE = 4       # differing pages that must hold a node before it counts as template
 CONSTANT = 0.9     # share of them with the same text
-MAIN_SHARE = 0.6   # of the varying text that the main slot holds
 ROWS = 256
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
@@ -50,6 +50,9 @@ RAW = set("script style textarea title noscript template iframe svg math xmp noe
 BLOCK = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td
 tfoot th thead tr ul caption""".split())
+# Elements that may be the main slot (a cell if it holds blocks), and those it may lie in.
+HOLDS = set("html body main article section div center".split())
+CELLS = set("table tbody tr td".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"},
@@ -229,6 +232,36 @@ def match(a: list[list], b: list[list]) -> dict[int, int]:
     return out
 
 
+def strange(page: list[list], found: dict[int, int]) -> dict[int, int]:
+    """Length of the page's text outside asides that no reference node matches, by the place of what holds it."""
+    out, path = {}, []
+    for j, r in enumerate(page):
+        del path[r[0]:]
+        path.append(found.get(j, path[-1] if path else None))
+        if j not in found and r[3] and not r[5] and path[-1] is not None:
+            out[path[-1]] = out.get(path[-1], 0) + r[3]
+    return out
+
+
+def main_slot(rows: list[list], kids: list[list[int]], constant: set[int], votes: dict) -> int | None:
+    """The smallest container of all text that is neither template nor aside (None: there is no such text)."""
+    own = [bool(i in votes and votes[i]["other"] or i not in constant and (
+        r[3] and not r[5] or i in votes and votes[i]["varying"])) for i, r in enumerate(rows)]
+    live = list(own)
+    for i in range(len(rows) - 1, -1, -1):
+        live[i] = live[i] or any(live[k] for k in kids[i])
+    at = main = 0
+    while not own[at]:
+        inner = [k for k in kids[at] if live[k]]
+        tag = rows[inner[0]][1].split(" ")[0] if len(inner) == 1 else ""
+        if tag not in HOLDS and tag not in CELLS:
+            break
+        at = inner[0]
+        if tag in HOLDS or tag == "td" and any(rows[k][1].split(" ")[0] in BLOCK for k in kids[at]):
+            main = at
+    return main if live[0] else None
+
+
 # ----------------------------------------------------------------- reading
 
 def read_text(root: Node, template: list[list] | None, constant: set[int], main: int | None) -> str:
@@ -356,19 +389,22 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                     a, b = json.loads(ref), json.loads(skel)
                     if [r[2] for r in a] == [r[2] for r in b]:
                         continue                      # the same page again says nothing
-                    for i, j in match(a, b).items():
+                    found = match(a, b)
+                    other = strange(b, {j: i for i, j in found.items()})
+                    for i, j in found.items():
                         same = a[i][2] == b[j][2]
-                        for c, v in zip(cols, (host, i, int(same), 0 if same or b[j][5] else b[j][3], b[j][4])):
+                        for c, v in zip(cols, (host, i, int(same), 0 if same or b[j][5] else b[j][3],
+                                               other.get(i, 0))):
                             c.append(v)
                 kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                      ["host", "place", "same", "varying", "links"])
+                                      ["host", "place", "same", "varying", "other"])
 
     votes = (skels.join(refs, "host").select("host", "skel", "ref")
-             .mapInArrow(align, "host string, place int, same long, varying long, links long")
+             .mapInArrow(align, "host string, place int, same long, varying long, other long")
              .groupBy("host", "place").agg(F.count("*").alias("n"), F.sum("same").alias("same"),
-                                           F.sum("varying").alias("varying"), F.sum("links").alias("links"))
-             .groupBy("host").agg(F.collect_list(F.struct("place", "n", "same", "varying", "links")).alias("votes")))
+                                           F.sum("varying").alias("varying"), F.sum("other").alias("other"))
+             .groupBy("host").agg(F.collect_list(F.struct("place", "n", "same", "varying", "other")).alias("votes")))
 
     def settle(batches):
         for batch in batches:
@@ -378,16 +414,8 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                 kids, by = tree(rows), {v["place"]: v for v in votes}
                 constant = [i for i, v in by.items() if rows[i][2] and v["n"] >= EVIDENCE
                             and v["same"] >= CONSTANT * v["n"]]
-                mass = [max(0, by[i]["varying"] - 2 * by[i]["links"]) if i in by else 0 for i in range(len(rows))]
-                for i in range(len(rows) - 1, -1, -1):
-                    mass[i] += sum(mass[k] for k in kids[i])
-                main = 0
-                while kids[main]:
-                    best = max(kids[main], key=lambda k: mass[k])
-                    if mass[best] < MAIN_SHARE * max(1, mass[0]) or rows[best][1].split(" ")[0] not in BLOCK:
-                        break
-                    main = best
-                out.append(json.dumps({"ref": rows, "constant": constant, "main": main if mass[0] else None}))
+                main = main_slot(rows, kids, set(constant), by)
+                out.append(json.dumps({"ref": rows, "constant": constant, "main": main}))
             yield pa.record_batch([hosts, pa.array(out, pa.string())], ["host", "wrapper"])
 
     return refs.join(votes, "host").select("host", "ref", "votes").mapInArrow(settle, "host string, wrapper string")

@@ -227,6 +227,29 @@ def test_main_text(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html.extract(df).orderBy("id").collect()]
+
+
+def test_main_text_of_mixed_blocks(spark):
+    # no article element; paragraphs hold most of the text that varies
+    long = "long paragraph words " * 9
+    body = ("<div class='slogan'>All of us</div><div><h1>Title {0}</h1><p>{1}{0}</p><p>more {0}</p><h2>Part {0}</h2>"
+            "<ul><li>item {0}</li></ul><table><tr><th>Head {0}</th><td>cell {0}</td></tr></table>{2}</div>")
+    got = texts_of(spark, [page("m.org", body.format(i, long, f"<blockquote>said {i}</blockquote>" if i == 5 else ""))
+                           for i in range(9)])
+    for i, text in enumerate(got):
+        want = [f"Title {i}", f"{long}{i}", f"more {i}", f"Part {i}", f"item {i}", f"Head {i}", f"cell {i}"]
+        assert text.split("\n") == want + ([f"said {i}"] if i == 5 else [])
+    # what stands beside the container, and on some pages only
+    lead = "<h1>T{0}</h1>{2}<div><p>{1}{0}</p></div>"
+    got = texts_of(spark, [page("l.org", lead.format(i, long, f"<div class='x'>lead {i}</div>" if i % 3 == 2 else ""))
+                           for i in range(9)])
+    for i, text in enumerate(got):
+        assert text.split("\n") == [f"T{i}"] + ([f"lead {i}"] if i % 3 == 2 else []) + [f"{long}{i}"]
+
+
 def test_vectors(spark):
     rnd = np.random.default_rng(4)
     base = rnd.normal(size=(40, 8))
