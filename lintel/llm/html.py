@@ -4,13 +4,13 @@ Each page is parsed into a tree and reduced to its skeleton: a node per tag
 path, siblings of one label merged, with a hash of the text.  For every host
 one page's skeleton is the reference, and all the host's pages are aligned to
 it by simple tree matching.  Counted over all pages that differ from the
-reference, nodes whose text stays the same become template; the slots whose
-text varies become content.  A page's text is then read from its content
-slots: inside the page's article (or main) element, else inside the smallest
-container that holds all of the host's text that is not template, else the
-body, and
-without the elements that markup itself declares to be something else (menus,
-headers, footers, asides, forms, adverts, notices, comments, scripts).
+reference, near copies with equal main texts once, nodes whose text stays the
+same become template, unless they lie in the main slot: the smallest container
+of all other text.  A page's text is read from its article (or main) element,
+else from its body, without the elements that markup itself declares to be
+something else (menus, headers, footers, asides, forms, adverts, notices,
+comments, scripts), and, outside an article element, without the blocks whose
+text on this page is the template's.
 
 The reference of a host is a grouped minimum and the counts are grouped sums,
 so both are combined before the shuffle; the joins by host are plain equi-joins
@@ -37,6 +37,7 @@ from lintel.llm.common import stored
 
 EVIDENCE = 4       # differing pages that must hold a node before it counts as template
 CONSTANT = 0.9     # share of them with the same text
+HEAVY = 0.5        # of a page's longest text: what its other main texts have at least
 ROWS = 256
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
@@ -243,65 +244,105 @@ def strange(page: list[list], found: dict[int, int]) -> dict[int, int]:
     return out
 
 
-def main_slot(rows: list[list], kids: list[list[int]], constant: set[int], votes: dict) -> int | None:
-    """The smallest container of all text that is neither template nor aside (None: there is no such text)."""
+def main_text(page: list[list]) -> str:
+    """A mark of the page's long texts that are no links, equal for near copies."""
+    size = [0 if r[5] else r[3] - 2 * r[4] for r in page]
+    top = max(size)
+    return " ".join(r[2] for r, n in zip(page, size) if n > 0 and n >= HEAVY * top)
+
+
+def template_places(rows: list[list], kids: list[list[int]], votes: dict) -> list[int]:
+    """Places of the reference whose text is template.
+
+    The main slot is the smallest container of all text that is neither
+    constant nor aside.  Constant text in it is the content's own (headings
+    that all articles share).  Where it holds all the constant text too, it is
+    the page as a whole, and what is constant is template in blocks before the
+    first or after the last part with other text, and in inner containers
+    without such text.
+    """
+    constant = {i for i, v in votes.items() if rows[i][2] and v["n"] >= EVIDENCE and v["same"] >= CONSTANT * v["n"]}
     own = [bool(i in votes and votes[i]["other"] or i not in constant and (
         r[3] and not r[5] or i in votes and votes[i]["varying"])) for i, r in enumerate(rows)]
     live = list(own)
     for i in range(len(rows) - 1, -1, -1):
         live[i] = live[i] or any(live[k] for k in kids[i])
+    if not live[0]:
+        return []
+
+    def tag(i):
+        return rows[i][1].split(" ")[0]
+
     at = main = 0
     while not own[at]:
         inner = [k for k in kids[at] if live[k]]
-        tag = rows[inner[0]][1].split(" ")[0] if len(inner) == 1 else ""
-        if tag not in HOLDS and tag not in CELLS:
+        if len(inner) != 1 or tag(inner[0]) not in HOLDS | CELLS:
             break
         at = inner[0]
-        if tag in HOLDS or tag == "td" and any(rows[k][1].split(" ")[0] in BLOCK for k in kids[at]):
+        if tag(at) in HOLDS or tag(at) == "td" and any(tag(k) in BLOCK for k in kids[at]):
             main = at
-    return main if live[0] else None
+
+    def below(i):
+        end = i + 1
+        while end < len(rows) and rows[end][0] > rows[i][0]:
+            end += 1
+        return set(range(i, end))
+
+    slot = below(main)
+    if not any(not rows[i][5] for i in constant - slot):
+        order = [k for k in kids[main] if live[k]]
+        edge = [k for k in kids[main] if order and not order[0] <= k <= order[-1] and tag(k) in BLOCK]
+        for i in edge + [i for i in slot if not live[i] and tag(i) in HOLDS]:
+            slot -= below(i)
+    return sorted(constant - slot)
 
 
 # ----------------------------------------------------------------- reading
 
-def read_text(root: Node, template: list[list] | None, constant: set[int], main: int | None) -> str:
-    """The text of the page's content slots."""
-    drop, slot, bones = set(), None, {}
-    top = skeleton(root)
-    if template and (constant or main is not None):
+def read_text(root: Node, template: list[list] | None, constant: set[int]) -> str:
+    """The page's text without its template's."""
+    drop, top = set(), skeleton(root)
+    if template and constant:
         rows, order, todo = flat(top), [], [top]
         while todo:
             b = todo.pop()
             order.append(b)
             todo += reversed(b.kids.values())
         found = match(template, rows)
-        drop = {id(order[found[i]]) for i in constant if i in found}
-        slot = order[found[main]] if main in found else None
-        bones = drop
+        drop = _equal_blocks(top, {id(order[found[i]]) for i in constant
+                                   if i in found and rows[found[i]][2] == template[i][2]})
     # the markup's own article: of several, the one with most text
-    mains, todo = [], [(root, top, False)]
-    slots = []
+    mains, todo = [], [(root, top)]
     while todo:
-        node, bone, inside = todo.pop()
-        if slot is not None and bone is slot:
-            slots.append((node, bone))
+        node, bone = todo.pop()
         for kid in reversed(node.kids):
             if isinstance(kid, Node) and kid.tag not in RAW and not kid.aside:
                 sub = bone.kids[kid.label]
                 if kid.main:
                     mains.append((kid, sub))
-                todo.append((kid, sub, inside or kid.main))
+                todo.append((kid, sub))
     if mains:
         inner = [m for m in mains if m[0].tag == "article"] or mains
         start = [max(inner, key=lambda m: _length(m[0]))]
     else:
-        start = slots or [(root, top)]
+        start = [(root, top)]
     blocks: list[str] = []
     for node, bone in start:
-        _blocks(node, bone, bones, bool(mains), blocks)
+        _blocks(node, bone, drop if node.tag in ("main", "html") else set(), bool(mains), blocks)
     return "\n".join(blocks)
 
 
+def _equal_blocks(top: Bone, equal: set[int]) -> set[int]:
+    """The bones of blocks whose text, with that of their inline elements, all is in ``equal``."""
+    blocks, todo = {}, [(top, top)]
+    while todo:
+        bone, block = todo.pop()
+        blocks.setdefault(id(block), []).append(bone)
+        todo += [(k, k if k.label.split(" ")[0] in BLOCK else block) for k in bone.kids.values()]
+    return {id(b) for part in blocks.values() if all(id(b) in equal or not b.text or b.aside for b in part)
+            for b in part}
+
+
 def _length(node: Node) -> int:
     n, todo = 0, [node]
     while todo:
@@ -337,11 +378,6 @@ def _blocks(start: Node, bone: Bone, drop: set[int], inside: bool, out: list[str
             if node.tag in BLOCK:
                 flush()
             continue
-        if id(b) in drop and node is not start and not any(isinstance(k, Node) and k.tag not in RAW and k.kids
-                                                           for k in node.kids):
-            if node.tag in BLOCK:
-                flush()
-            continue
         if node.tag == "br":
             held.append("\n")
             continue
@@ -351,7 +387,8 @@ def _blocks(start: Node, bone: Bone, drop: set[int], inside: bool, out: list[str
             todo.append(None)
         for k in reversed(node.kids):
             if isinstance(k, str):
-                todo.append((k, None))
+                if id(b) not in drop:
+                    todo.append((k, None))
             elif k.tag not in RAW:
                 todo.append((k, b.kids[k.label]))
     flush()
@@ -365,7 +402,7 @@ def _host(col: str):
 
 
 def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): the reference skeleton, its template nodes and its main slot, as JSON."""
+    """(host, wrapper): the reference skeleton and its template nodes, as JSON."""
     src = pages.where(_host(url_col).isNotNull()).select(
         _host(url_col).alias("host"), F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     kind = src.schema["id"].dataType.simpleString()
@@ -374,13 +411,17 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                rows = [json.dumps(flat(skeleton(parse(h or "")))) for h in part.column(2).to_pylist()]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(rows)], ["host", "id", "skel"])
+                rows = [flat(skeleton(parse(h or ""))) for h in part.column(2).to_pylist()]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([main_text(r) for r in rows]),
+                                       pa.array([json.dumps(r) for r in rows])], ["host", "id", "main", "skel"])
 
-    skels = stored(src.mapInArrow(bones, f"host string, id {kind}, skel string"), "skeletons")
+    skels = stored(src.mapInArrow(bones, f"host string, id {kind}, main string, skel string"), "skeletons")
     refs = skels.groupBy("host").agg(F.min(F.struct("id", "skel")).alias("r"), F.count("*").alias("n")) \
         .where("n > 1").select("host", F.col("r.skel").alias("ref"))
 
+    voters = skels.groupBy("host", "main").agg(F.min(F.struct("id", "skel")).alias("r")) \
+        .select("host", F.col("r.skel").alias("skel"))
+
     def align(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
@@ -400,7 +441,7 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)],
                                       ["host", "place", "same", "varying", "other"])
 
-    votes = (skels.join(refs, "host").select("host", "skel", "ref")
+    votes = (voters.join(refs, "host").select("host", "skel", "ref")
              .mapInArrow(align, "host string, place int, same long, varying long, other long")
              .groupBy("host", "place").agg(F.count("*").alias("n"), F.sum("same").alias("same"),
                                            F.sum("varying").alias("varying"), F.sum("other").alias("other"))
@@ -411,11 +452,8 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             hosts, out = batch.column(0), []
             for ref, votes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 rows = json.loads(ref)
-                kids, by = tree(rows), {v["place"]: v for v in votes}
-                constant = [i for i, v in by.items() if rows[i][2] and v["n"] >= EVIDENCE
-                            and v["same"] >= CONSTANT * v["n"]]
-                main = main_slot(rows, kids, set(constant), by)
-                out.append(json.dumps({"ref": rows, "constant": constant, "main": main}))
+                out.append(json.dumps({"ref": rows, "template": template_places(
+                    rows, tree(rows), {v["place"]: v for v in votes})}))
             yield pa.record_batch([hosts, pa.array(out, pa.string())], ["host", "wrapper"])
 
     return refs.join(votes, "host").select("host", "ref", "votes").mapInArrow(settle, "host string, wrapper string")
@@ -437,7 +475,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if wrapper not in memo:
                         memo.clear()
                         w = json.loads(wrapper) if wrapper else {}
-                        memo[wrapper] = w.get("ref"), set(w.get("constant", ())), w.get("main")
+                        memo[wrapper] = w.get("ref"), set(w.get("template", ()))
                     texts.append(read_text(parse(page), *memo[wrapper]) if page else "")
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())],
                                       ["id", "url", "text"])

@@ -250,6 +250,26 @@ def test_main_text_of_mixed_blocks(spark):
         assert text.split("\n") == [f"T{i}"] + ([f"lead {i}"] if i % 3 == 2 else []) + [f"{long}{i}"]
 
 
+def test_main_text_keeps_text_in_template_places(spark):
+    body = "<div class='top'>{1}</div><div id='b'><h2>Shared</h2><p>Story {0} and what came of it</p></div>"
+    # one page of twelve has other text where the template stands
+    got = texts_of(spark, [page("t.org", body.format(i, "Corrected" if i == 11 else "Welcome")) for i in range(12)])
+    assert got == [("Corrected\n" if i == 11 else "") + f"Shared\nStory {i} and what came of it" for i in range(12)]
+    # near copies of one article, other articles, and subheadings that all of them share
+    for tag in ("article", "div"):
+        near = "<{3}><h2>Shared</h2><p>{0}</p></{3}><div class='x'>{2}</div>"
+        same = "the same long body of one article, copied again and again"
+        pages = [page("n.org", near.format(same if i < 27 else f"another article, number {i}, as long as that, or more",
+                                           0, f"note {i}", tag)) for i in range(30)]
+        for i, text in enumerate(texts_of(spark, pages)):
+            p = same if i < 27 else f"another article, number {i}, as long as that, or more"
+            assert text.split("\n") == ["Shared", p] + ([f"note {i}"] if tag == "div" else [])
+    # part of a sentence that all pages share
+    got = texts_of(spark, [page("s.org", f"<div class='c'><p>By <a href='#'>Author {i}</a></p></div>"
+                                f"<div class='d'>text {i}</div><div class='e'>All rights</div>") for i in range(9)])
+    assert got == [f"By Author {i}\ntext {i}" for i in range(9)]
+
+
 def test_vectors(spark):
     rnd = np.random.default_rng(4)
     base = rnd.normal(size=(40, 8))
