@@ -47,7 +47,7 @@ ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([
 # Fixed values of HTML: elements without content, with raw text, that start a
 # block, and those that an opening tag closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = set("script style textarea title noscript template iframe svg xmp noembed noframes".split())
 BLOCK = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td
 tfoot th thead tr ul caption""".split())
@@ -64,13 +64,15 @@ ROLES = set("navigation banner complementary contentinfo search dialog alert ale
 WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation
 breadcrumb breadcrumbs footer cookie cookies consent notice popup modal newsletter subscribe share sharing social
 comment comments disqus respond related recommended pagination pager""".split())
+TEASERS = set("teaser teasers card preview excerpt".split())
+HEADS = set("h1 h2 h3 h4 h5 h6".split())
 PAGE_HEADER = {"header", "site-header", "page-header", "masthead", "topbar"}
 
 
 class Node:
     """An element: its label, its children (elements and text) and what markup says of it."""
 
-    __slots__ = ("tag", "label", "kids", "aside", "main", "header")
+    __slots__ = ("tag", "label", "kids", "aside", "main", "header", "other")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.kids = tag, []
@@ -91,6 +93,7 @@ class Node:
         words = set(re.split(r"[\s_-]+", f"{name} {ident}"))
         self.header = tag == "header" or bool(PAGE_HEADER & {*name.split(), ident}) or role == "banner"
         self.main = main or role in ("main", "article")
+        self.other = bool((WORDS | TEASERS) & words)     # of an article: a comment or teaser
         self.aside = tag in ASIDE or hidden or role in ROLES or bool(WORDS & words) and not self.main
         kind = re.sub(r"\d+", "", " ".join(sorted(name.split())[:2]) + ("#" + ident if ident else ""))
         self.label = f"{tag} {kind}".strip()
@@ -311,19 +314,28 @@ def read_text(root: Node, template: list[list] | None, constant: set[int]) -> st
         found = match(template, rows)
         drop = _equal_blocks(top, {id(order[found[i]]) for i in constant
                                    if i in found and rows[found[i]][2] == template[i][2]})
-    # the markup's own article: of several, the one with most text
-    mains, todo = [], [(root, top)]
+    # the markup's own article, in all its parts
+    found, todo = [], [(root, top, None, None, None)]     # in page order: node, bone, parent, main element, article
     while todo:
-        node, bone = todo.pop()
-        for kid in reversed(node.kids):
-            if isinstance(kid, Node) and kid.tag not in RAW and not kid.aside:
-                sub = bone.kids[kid.label]
-                if kid.main:
-                    mains.append((kid, sub))
-                todo.append((kid, sub))
+        node, bone, _, within, owner = item = todo.pop()
+        found.append(item)
+        if node.tag == "article":
+            owner = node
+        elif node.main:
+            within = node
+        todo += [(k, bone.kids[k.label], node, within, owner) for k in reversed(node.kids)
+                 if isinstance(k, Node) and k.tag not in RAW and not k.aside]
+    mains = [x for x in found if x[0].main]
     if mains:
-        inner = [m for m in mains if m[0].tag == "article"] or mains
-        start = [max(inner, key=lambda m: _length(m[0]))]
+        inner = [m for m in mains if m[0].tag == "article"]
+        inner = [m for m in inner if not m[0].other] or inner or mains
+        best = max(inner, key=lambda m: _length(m[0]))
+        start = [best[:2]]
+        if best[0].tag == "article" and not best[0].other:
+            parts = [m for m in inner if m is best or m[2] is best[2] and not m[0].other and not _linked(m[0])]
+            first = next(i for i, x in enumerate(found) if x is parts[0])
+            start = [x[:2] for x in found[:first] if best[3] is not None and x[3] is best[3] and x[4] is best[4]
+                     and x[0].tag in HEADS] + [m[:2] for m in parts]
     else:
         start = [(root, top)]
     blocks: list[str] = []
@@ -332,6 +344,18 @@ def read_text(root: Node, template: list[list] | None, constant: set[int]) -> st
     return "\n".join(blocks)
 
 
+def _linked(article: Node) -> bool:
+    """Whether the article's first heading is a link: a teaser of another page."""
+    todo = [(article, False)]
+    while todo:
+        node, link = todo.pop()
+        if node.tag in HEADS:
+            inner = [k for k in node.kids if not isinstance(k, str) or k.strip()]
+            return link or bool(inner) and all(isinstance(k, Node) and k.tag == "a" for k in inner)
+        todo += [(k, link or k.tag == "a") for k in reversed(node.kids) if isinstance(k, Node)]
+    return False
+
+
 def _equal_blocks(top: Bone, equal: set[int]) -> set[int]:
     """The bones of blocks whose text, with that of their inline elements, all is in ``equal``."""
     blocks, todo = {}, [(top, top)]

@@ -270,6 +270,16 @@ def test_main_text_keeps_text_in_template_places(spark):
     assert got == [f"By Author {i}\ntext {i}" for i in range(9)]
 
 
+def test_main_text_of_several_articles(spark):
+    parts = ("<main><article class='teaser'><div><div><h2>Elsewhere</h2></div></div></article><h1>Title</h1>"
+             "<article><h2>One</h2><p>first part, the longest of them all</p></article>"
+             "<article><p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> here</p></article>"
+             "<article class='comment'><p>me too</p></article>"
+             "<article><h3><a href='/o'>Other page</a></h3><p>teaser</p></article></main>")
+    assert texts_of(spark, [page("p.org", parts), page("q.org", "<article>one</article>")]) == [
+        "Title\nOne\nfirst part, the longest of them all\nsum x+1 here", "one"]
+
+
 def test_vectors(spark):
     rnd = np.random.default_rng(4)
     base = rnd.normal(size=(40, 8))
