@@ -8,7 +8,9 @@ hold the same pieces, and puts the displaced pieces back by best fit.  Several
 islands evolve each deal with seeds of their own; their elites migrate to one
 population that evolves on.  Bins that came out well filled are settled, and
 the pieces of the others are dealt anew, to as many islands as they need, until
-one deal holds them all.  An island's size is a parameter, so no task grows
+one deal holds them all.  Where most bins do not fill up, only the least filled
+bin of each island is dealt once more.  Deals go by a piece's stored number, so
+rows that repeat an id or have none are dealt like others.  An island's size is a parameter, so no task grows
 with the input, and no piece is dropped.
 
 Defined cases: a null or empty text is one piece that holds the end id alone;
@@ -25,6 +27,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +37,17 @@ ISLAND = 4096      # pieces in one deal
 ISLANDS = 2        # populations that evolve each deal before they meet
 SETTLED = 0.995    # a bin filled to this share is not dealt again
 POPULATION, GENERATIONS = 6, 24
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every text's pieces."""
+    """(doc_id, piece, start, length, ids_crc32, uid) of every text's pieces; ``uid`` is a number, to be stored."""
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(tokenizer_path))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        encode = library_ids(tokenizer_path, data.value)
+        encode, uid = library_ids(tokenizer_path, data.value), TaskContext.get().partitionId() << 33
         for batch in batches:
             for rows in slices(batch, 1):
                 ids, lens = encode.batch(rows.column(1))
@@ -56,9 +59,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
                         to = min(b, at + 4 * capacity)
                         out.append((d, i, (at - a) // 4, (to - at) // 4, zlib.crc32(raw[at:to])))
                     a = b
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (
+                yield pa.record_batch([*[pa.array(c, t) for c, t in zip(zip(*out), (
                     pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    pa.array(np.arange(uid, uid + len(out)))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
+                uid += len(out)
 
     return src.mapInArrow(run, PIECE)
 
@@ -123,7 +128,7 @@ def evolve(size: list[int], capacity: int, seed: int, elites: list[list[list[int
 # ------------------------------------------------------------- the islands
 
 def pack(cut: DataFrame, capacity: int, island: int = ISLAND, islands: int = ISLANDS) -> DataFrame:
-    """Adds sequence_id and offset to the rows of :func:`pieces`.
+    """The rows of :func:`pieces` with sequence_id and offset instead of uid.
 
     ``cut`` is read once per deal, so pass a stored table.
     """
@@ -134,26 +139,26 @@ def pack(cut: DataFrame, capacity: int, island: int = ISLAND, islands: int = ISL
          "offset": F.lit(0).cast("long")})
     settled = [whole.select(*names, "_deal", "_group", "bin", "offset")]
     todo, deal = cut.where(F.col("length") < capacity), 0
-    n = todo.count()
+    n, last = todo.count(), False
     while n:
         deal += 1
         groups = -(-n // island)
-        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(deal)), F.lit(groups)))
+        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("uid", F.lit(deal)), F.lit(groups)))
         first = (dealt.withColumn("_island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
                  .groupBy("_group", "_island").applyInPandas(
                      lambda p: _first(p, capacity), f"{item}, _group long, _island int, bin long"))
         met = stored(first.groupBy("_group").applyInPandas(
-            lambda p: _meet(p, capacity, names), f"{item}, _group long, bin long, offset long, fill double"), "packed")
-        last = groups == 1
-        done = met if last else met.where(F.col("fill") >= SETTLED)
+            lambda p: _meet(p, capacity, names),
+            f"{item}, _group long, bin long, offset long, fill double, least boolean"), "packed")
+        last = last or groups == 1
+        done, todo = (met, None) if last else (met.where(F.col("fill") >= SETTLED), met.where(F.col("fill") < SETTLED))
+        left = 0 if last else todo.count()
+        if left > 0.7 * n:   # pieces that do not fill up: settle what this deal found, but an open bin an island
+            last, done, todo = True, met.where("not least"), met.where("least")
+            left = todo.count()
         settled.append(done.withColumn("_deal", F.lit(deal)).select(*names, "_deal", "_group", "bin", "offset"))
-        if last:
-            break
-        todo = met.where(F.col("fill") < SETTLED).select(*names)
-        left = todo.count()
-        if left > 0.7 * n:   # pieces that do not fill up: settle what this deal found
-            settled[-1] = met.withColumn("_deal", F.lit(deal)).select(*names, "_deal", "_group", "bin", "offset")
-            break
+        if left:
+            todo = todo.select(*names)
         n = left
     out = settled[0]
     for s in settled[1:]:
@@ -161,12 +166,12 @@ def pack(cut: DataFrame, capacity: int, island: int = ISLAND, islands: int = ISL
     # deal, group and bin number one sequence; full pieces are numbered by their own rows
     number = F.when(F.col("_deal") == 0, -1 - F.col("bin")).otherwise(
         F.col("_deal") * F.lit(1 << 56) + F.col("_group") * F.lit(1 << 16) + F.col("bin"))
-    return out.select(*names, number.alias("sequence_id"), "offset")
+    return out.select(*[c for c in names if c != "uid"], number.alias("sequence_id"), "offset")
 
 
 def _first(p: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """One island's elite: its pieces with their bin."""
-    p = p.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
+    p = p.sort_values(["length", "doc_id", "piece", "ids_crc32", "uid"], kind="stable").reset_index(drop=True)
     best = evolve(p["length"].tolist(), capacity, int(p["_island"].iloc[0]) + 1)
     p["bin"] = _bins(best, len(p))
     return p
@@ -174,7 +179,7 @@ def _first(p: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def _meet(p: pd.DataFrame, capacity: int, names: list[str]) -> pd.DataFrame:
     """The elites of a deal's islands evolve on together."""
-    order = ["length", "doc_id", "piece", "ids_crc32"]
+    order = ["length", "doc_id", "piece", "ids_crc32", "uid"]
     each = [q.sort_values(order, kind="stable").reset_index(drop=True) for _, q in p.groupby("_island", sort=True)]
     size = each[0]["length"].tolist()
     elites = [[g.tolist() for g in q.groupby("bin").indices.values()] for q in each]
@@ -183,7 +188,8 @@ def _meet(p: pd.DataFrame, capacity: int, names: list[str]) -> pd.DataFrame:
     out["bin"] = _bins(best, len(out))
     out["offset"] = out.groupby("bin")["length"].cumsum() - out["length"]
     out["fill"] = out.groupby("bin")["length"].transform("sum") / capacity
-    return out[[*names, "_group", "bin", "offset", "fill"]]
+    out["least"] = (out["bin"] == out.loc[out["fill"].idxmin(), "bin"]) & (out["fill"] < SETTLED)
+    return out[[*names, "_group", "bin", "offset", "fill", "least"]]
 
 
 def _bins(bins: list[list[int]], n: int) -> np.ndarray:

@@ -200,6 +200,21 @@ def test_packing(spark, docs):
     assert packing.best_fit_packing(empty(spark), P.path("word_bpe_49k.json"), 64).count() == 0
 
 
+def test_packing_of_repeated_ids_and_open_bins(spark):
+    path, text = P.path("word_bpe_49k.json"), " ".join(["the"] * 19)
+    for one in (True, False):
+        df = spark.createDataFrame([(None if one else i, text) for i in range(320)], "doc_id long, text string")
+        cut = common.stored(packing.pieces(df.repartition(3), path, 64), "pieces")
+        got = packing.pack(cut, 64, island=32).toPandas()
+        assert len(got) == 320 and got.length.nunique() == 1
+        # no island holds all rows of one id, and islands do not keep an open bin each
+        assert got.groupby(got.sequence_id // 65536).length.count().max() <= 64
+        assert got.sequence_id.nunique() == -(-320 // (64 // got.length[0]))
+        for _, g in got.groupby("sequence_id"):
+            g = g.sort_values("offset")
+            assert g.length.sum() <= 64 and (g.offset == g.length.cumsum() - g.length).all()
+
+
 def test_language(spark):
     rows = [(i, ("the and of " if i % 2 else "der die und ") * (i % 7 + 1), "en" if i % 2 else "de") for i in range(200)]
     df = spark.createDataFrame(rows + [(900, None, "en"), (901, "12 34", None)], "doc_id long, text string, lang string")
