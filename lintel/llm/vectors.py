@@ -13,12 +13,14 @@ double precision.  A pair counts when either side probes the other's list.
 Lists are cut into blocks of at most ``BLOCK`` classes and probes sent to each
 block, so a list that holds a third of all rows is many tasks; a block returns
 counts and a spanning forest of its links, never its pairs.  Centroids grow
-with the input up to ``MAX_LISTS`` (a 16 MB broadcast at 64 dimensions).
+with the input up to a quarter of the sample, and never beyond ``MAX_LISTS``.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite
 components, or whose label is null, links with nothing; vectors of different
-length never link; repeated rows are vectors of their own; an empty table
-gives an empty result; other columns are not looked at.
+length never link; repeated rows are vectors of their own; rows are told apart
+by vector and label, so repeated and null ids are harmless, and a component is
+named by its smallest id (null if it has none); an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -107,9 +109,13 @@ def _columns(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> D
 
 def classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
             ) -> DataFrame:
-    """(rep, label, vec, weight): one row per distinct vector within a label."""
+    """(rep, label, vec, first, weight): one row per distinct vector within a label.
+
+    ``rep`` is a row number, to be stored; ``first`` the smallest id.
+    """
     u = _columns(vectors, id_col, vec_col, label_col).where("usable")
-    return u.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    return (u.groupBy("label", "vec").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
+            .withColumn("rep", F.monotonically_increasing_id()))
 
 
 def links(found: DataFrame, cosine: float, probes: int = PROBES) -> DataFrame:
@@ -122,9 +128,9 @@ def links(found: DataFrame, cosine: float, probes: int = PROBES) -> DataFrame:
     parts = []
     for dim, n in sorted(sizes.items()):
         own = found.where(F.size("vec") == dim)
-        luck = F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(1_000_003)) < int(1_000_003 * min(1, SAMPLE / n)) + 1
-        sample = own.where(luck).select("rep", "vec").limit(2 * SAMPLE).collect()
-        x = np.array([r["vec"] for r in sorted(sample, key=lambda r: r["rep"])], np.float64)
+        luck = F.pmod(F.xxhash64("vec", F.lit("sample")), F.lit(1_000_003)) < int(1_000_003 * min(1, SAMPLE / n)) + 1
+        sample = own.where(luck).select("vec").limit(2 * SAMPLE).collect()
+        x = np.array(sorted(r["vec"] for r in sample), np.float64)
         q = Quantiser(x, int(min(max(1, n // PER_LIST), MAX_LISTS, max(1, len(x) // 4))))
         parts.append(_probe(own, spark.sparkContext.broadcast(q), n, cosine, probes, label))
     if not parts:
@@ -217,10 +223,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, probes: int = PROBES,
     got = stored(links(found, cosine, probes), "links")
     count = got.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(got.where("b is not null").select("a", "b"))
-    each = (found.join(count, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    ids = (comp.join(found.select(F.col("rep").alias("node"), "first"), "node")
+           .groupBy("component_id").agg(F.min("first").alias("least")))
+    comp = comp.join(ids, "component_id").select(F.col("node").alias("rep"), "least")
+    each = (found.join(count, "rep", "left").join(comp, "rep", "left")
             .select(F.col("label").alias("c_label"), F.col("vec").alias("c_vec"),
                     (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-                    F.coalesce("component_id", "rep").alias("component_id")))
+                    F.coalesce("least", "first").alias("component_id")))
     every = _columns(vectors, id_col, vec_col, label_col)
     u = every.where("usable")
     ok = (u.join(each, (u["label"] == each["c_label"]) & (u["vec"] == each["c_vec"]))

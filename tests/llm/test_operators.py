@@ -313,6 +313,24 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_repeated_ids_and_many_lists(spark):
+    close = [[1.0, 0.01 * i, 0.0] for i in range(3)]
+    rows = [(7, v, 1) for v in close] + [(None, [0.0, 0.01 * i, 1.0], 1) for i in range(2)] + [(9, [-1.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in vectors.near_vectors(df).collect())
+    assert got == [(0, 1, 0)] * 2 + [(7, 2, 7)] * 3 + [(9, 0, 9)]
+    # more lists than probes
+    rnd = np.random.default_rng(6)
+    x = (rnd.normal(size=(500, 16))[rnd.integers(500, size=4000)] + rnd.normal(size=(4000, 16)) * 0.15).astype(np.float32)
+    assert len(x) // vectors.PER_LIST > vectors.PROBES
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, 0.93).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    assert all(got[i] <= n for i, n in enumerate(want.tolist())) and sum(got.values()) >= 0.9 * want.sum()
+
+
 def test_pipeline_keeps_columns(spark, docs):
     import corpus_pipeline
     rows = [(i, t, "en", "s", len(t or "")) for i, t in pairs()]
