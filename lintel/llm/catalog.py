@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe, html, jaccard, langid, lines, packing, quality, suffix, vectors, wavelet
+from lintel.llm import (bpe, codes, html, jaccard, langid, lines, packing, quality, seeds, suffix, vectors,
+                        wavelet, whiten)
 from lintel.llm.common import prepare, table
 
 QUERIES: dict = {}
@@ -147,3 +148,23 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all texts into sequences of at most 2048 tokens."""
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every word of a 20-word window that also starts earlier."""
+    return seeds.dedup_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code every vector's four parts by codebooks of 256 entries after four rounds."""
+    return codes.codes(table(spark, sf_dir, "embeddings"), 1024)
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector; fails where a deviation does not fit a long."""
+    done = whiten.whiten(table(spark, sf_dir, "embeddings"), 256)
+    return done.withColumn("deviation", F.col("deviation").cast("long"))

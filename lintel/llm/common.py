@@ -39,6 +39,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_out(df: DataFrame, name: str) -> str:
+    """Write ``df`` under the shared folder; the path."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of :func:`write_out` that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     """A stored frame, to be broadcast if it is small, and else to be joined by a shuffle."""
     size = df.agg(F.sum(row_bytes)).first()[0] or 0
@@ -58,6 +75,34 @@ def shuffle_width(spark: SparkSession) -> int:
 BROADCAST_BYTES = 32 << 20
 
 
+# ---------------------------------------------------------------- vectors
+
+def integer_vectors(vectors: DataFrame, factor: int, id_col: str, vec_col: str, label_col: str | None = None
+                    ) -> DataFrame:
+    """(id, x[, label]): ``floor(factor * c)`` of the vectors without null or non-finite components."""
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
+                         *([F.col(label_col).alias("label")] if label_col else []))
+    odd = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    x = F.transform("v", lambda c: F.floor(F.lit(float(factor)) * c))
+    return src.where(F.col("v").isNotNull() & ~F.coalesce(odd, F.lit(True))).withColumn("x", x).drop("v")
+
+
+def ranges(vectors: DataFrame) -> list[tuple[int, str, int]]:
+    """(length, narrowest type, largest absolute component) of each length of ``x``."""
+    rows = (vectors.groupBy(F.size("x").alias("dim")).agg(F.min(F.array_min("x")).alias("low"),
+                                                          F.max(F.array_max("x")).alias("high")).collect())
+    out = []
+    for r in sorted(rows, key=lambda r: r["dim"]):      # one row a length
+        most = max(abs(r["low"] or 0), abs(r["high"] or 0))
+        out.append((r["dim"], "smallint" if most < 1 << 15 else "int" if most < 1 << 31 else "bigint", most))
+    return out
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """A list column of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
 # ------------------------------------------------------------- components
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
