@@ -31,21 +31,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once under the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def write_out(df: DataFrame, name: str) -> str:
+def write_out(df: DataFrame, name: str, codec: str | None = None) -> str:
     """Write ``df`` under the shared folder; the path."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once under the shared folder and read it back."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_out(df, name))
+
+
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -18,11 +18,12 @@ reaches furthest to the right, is matched by its own hash, and goes unless it
 is the first.  Windows that go in a row are one maximal repeat; its words go.
 
 Words are told apart by 64-bit hashes, stretches by the anchor's hash and one
-of their own, windows by two (128 bits).  A place is a single number: the byte
-where a word starts in the texts in order, so the first of equal ones is a
-grouped minimum, combined before the shuffle.  A task tells of equal
-stretches or windows in a slice of its texts once.  No pairs are formed: a
-passage in a third of all texts is one row a slice.
+of their own, windows by two (128 bits).  A task tells of equal stretches or
+windows in a slice of its texts once, with the earliest place; so those of two
+rows are in different texts, and a place is a single number made of the id and
+the row's: the first of equal ones is a grouped minimum, combined before the
+shuffle.  No pairs are formed: a passage in a third of all texts is one row a
+slice.  Texts travel compressed, and a table that is done with is deleted.
 
 Defined cases: null, empty and blank texts have no words; a text of fewer than
 ``window`` words loses nothing; a null id is the smallest; rows that repeat an
@@ -34,16 +35,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import slices, small, stored
+from lintel.llm.common import discard, read_back, slices, small, stored, write_out
 from lintel.llm.shingles import mix, range_hashes
+from lintel.llm.suffix import numbered
 
 WINDOW, GRAM = 20, 8
 BLOCK = 1 << 20       # bytes whose words are hashed together
-SLICE = 4 << 20       # bytes of text a task looks at together
+SLICE = 2 << 20       # compressed bytes of text a task looks at together
+ROW_BITS = 60         # of a place, for the row number
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -52,12 +55,9 @@ _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 class Words:
     """The words of a slice of texts: byte ranges, and how many are each text's."""
 
-    def __init__(self, texts: pa.Array):
-        texts = texts.cast(pa.large_binary())
-        offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-        data = texts.buffers()[2]
-        b = np.frombuffer(data, np.uint8)[offs[0]:offs[-1]] if data is not None else np.zeros(0, np.uint8)
-        self.bytes, self.offs = b, offs - offs[0]        # null texts hold no bytes
+    def __init__(self, texts: list[bytes]):
+        self.offs = np.cumsum([0, *map(len, texts)])
+        b = self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         solid = np.append(~_BLANK[b], False)
         new = np.zeros(len(b) + 1, bool)
         new[self.offs] = True                            # words do not reach across texts
@@ -156,137 +156,140 @@ def _later(*keys: np.ndarray) -> np.ndarray:
 
 # --------------------------------------------------------------- operators
 
-def ordered(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
-    """(part, uid, start, doc_id, text, row) in ascending order of id, to be stored.
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [open_(d) for d in batch.column("data").to_pylist()]
 
-    ``uid`` numbers the rows, ``start`` is the bytes before the text in its
-    part.  Rows are dealt out by id and row number, so that a hot id is split.
-    """
-    row = F.struct(F.col(text_col).isNull().alias("_null"), *[F.col(f"`{c}`") for c in carry])
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"),
-                      F.monotonically_increasing_id().alias("at"))
-    kind = src.schema["row"].dataType.simpleString()
 
-    def run(batches):
-        part, n, done = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            text = batch.column("text").cast(pa.large_binary())
-            size = np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1])
-            ends = done + np.cumsum(size)
-            yield pa.record_batch([pa.array(np.full(len(size), part), pa.int32()),
-                                   pa.array((part << 33) + n + np.arange(len(size)), pa.int64()),
-                                   pa.array(ends - size, pa.int64()), batch.column("doc_id"), batch.column("text"),
-                                   batch.column("row")], ["part", "uid", "start", "doc_id", "text", "row"])
-            n, done = n + len(size), int(ends[-1]) if len(size) else done
-
-    return (src.repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at")
-            .mapInArrow(run, f"part int, uid long, start long, doc_id long, text string, row {kind}"))
-
-
-def bases(texts: DataFrame) -> dict[int, int]:
-    """The bytes before each part: one row a part."""
-    ends = (texts.groupBy("part").agg(F.max(F.col("start") + F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
-            .collect())
-    out, at = {}, 0
-    for r in sorted(ends, key=lambda r: r["part"]):
-        out[r["part"]], at = at, at + r["n"] + 1
+def _parts(batches):
+    for whole in batches:
+        yield from slices(whole, whole.schema.get_field_index("data"), size=SLICE)
+
+
+def _ranks(batch: pa.RecordBatch) -> np.ndarray:
+    """Each row's rank by id (null first), then row number."""
+    doc = batch.column("doc_id")
+    ids = doc.fill_null(0).to_numpy()
+    order = np.lexsort((batch.column("uid").to_numpy(), ids, doc.is_valid().to_numpy(zero_copy_only=False)))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
     return out
 
 
-def _places(batch: pa.RecordBatch, base: dict[int, int]) -> np.ndarray:
-    """The place of each text's first byte."""
-    return (np.array([base[p] for p in batch.column("part").to_pylist()], np.int64)
-            + batch.column("start").to_numpy())
+def _places(batch: pa.RecordBatch) -> np.ndarray:
+    """Each row's place, as two words of a 128-bit number: the id (null: one less than any), then the row number."""
+    doc = batch.column("doc_id")
+    ids, null = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False)
+    high = np.where(null, ((-1 << 63) - 1) >> 4, ids >> 4)
+    low = np.where(null, 15, ids & 15).astype(np.uint64) << np.uint64(ROW_BITS)
+    return np.stack([low | batch.column("uid").to_numpy().astype(np.uint64), high.view(np.uint64)], 1)
 
 
-SEED = "h long, s long, uid long, place long, size int"
+def _decimals(places: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(places),
+                                 [None, pa.py_buffer(np.ascontiguousarray(places).tobytes())])
 
 
-def seeds(texts: DataFrame, base: dict[int, int], window: int, gram: int) -> DataFrame:
-    """Stretches (anchor, hash, uid, place, windows), once a slice; h is null for those that go at once."""
+PLACE = "decimal(38,0)"
+SEED = f"h long, s long, place {PLACE}, uid long, at int, size int"
+
+
+def seeds(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """Stretches (anchor, hash, place, uid, first word, windows), once a slice; h is null for those that go at once."""
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, whole.schema.get_field_index("text"), size=SLICE):
-                words = Words(batch.column("text"))
-                text, first, size, h, s = stretches(words, window, gram)
-                place = _places(batch, base)[text] + words.start[first] - words.offs[text]
-                order = np.argsort(place, kind="stable")     # a slice may span files
-                text, size, h, s, place = text[order], size[order], h[order], s[order], place[order]
-                gone = _later(h, s)
-                uid = batch.column("uid").to_numpy()[text]
-                yield pa.record_batch([pa.array(h.view(np.int64), mask=gone), pa.array(s.view(np.int64)),
-                                       pa.array(uid), pa.array(place), pa.array(size, pa.int32())],
-                                      ["h", "s", "uid", "place", "size"])
-
-    return texts.select("part", "uid", "start", "text").mapInArrow(run, SEED)
+        for batch in _parts(batches):
+            words = Words(_texts(batch))
+            text, first, size, h, s = stretches(words, window, gram)
+            order = np.lexsort((first, _ranks(batch)[text]))
+            text, first, size, h, s = text[order], first[order], size[order], h[order], s[order]
+            gone = _later(h, s)
+            yield pa.record_batch([pa.array(h.view(np.int64), mask=gone), pa.array(s.view(np.int64)),
+                                   _decimals(_places(batch)[text]), batch.column("uid").take(pa.array(text)),
+                                   pa.array(first - words.first[text], pa.int32()), pa.array(size, pa.int32())],
+                                  ["h", "s", "place", "uid", "at", "size"])
+
+    return texts.select("uid", "doc_id", "data").mapInArrow(run, SEED)
+
+
+ANSWER = ["uid", "at", "size"]
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """(uid, place, size, gone) of stretches that go, and of those to be extended (gone is false)."""
+    """(uid, at, size, gone) of stretches that go, and of those to be extended (gone is false)."""
+    spark = found.sparkSession
     live = found.where("h is not null")
-    # anchors met more than once; several: under different stretches
-    shared = stored(live.groupBy(F.col("h").alias("anchor"))
-                    .agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
-                    .where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("several")), "anchors")
-    met = stored(live.join(small(shared, F.lit(16)), F.col("h") == F.col("anchor")).drop("anchor"), "met")
-    first = met.groupBy(F.col("h").alias("h1"), F.col("s").alias("s1")).agg(F.min("place").alias("first"))
+    shared = stored(live.groupBy(F.col("h").alias("anchor")).count().where("count > 1").select("anchor"), "anchors")
+    path = write_out(live.join(small(shared, F.lit(64)), F.col("h") == F.col("anchor")).drop("anchor"), "met")
+    met = read_back(spark, path)
+    # a class is all equal stretches; several: the anchor has other classes too
+    first = stored(met.groupBy(F.col("h").alias("h1"), F.col("s").alias("s1")).agg(F.min("place").alias("first")),
+                   "classes")
+    several = first.groupBy(F.col("h1").alias("h2")).agg((F.count("*") > 1).alias("several"))
+    first = first.join(several, F.col("h1") == F.col("h2")).drop("h2")
     told = met.join(first, (F.col("h") == F.col("h1")) & (F.col("s") == F.col("s1")))
     later = F.col("place") > F.col("first")
-    return (told.where(later | F.col("several")).select("uid", "place", "size", later.alias("gone"))
-            .unionByName(found.where("h is null").select("uid", "place", "size", F.lit(True).alias("gone"))))
+    out = stored(told.where(later | F.col("several")).select(*ANSWER, later.alias("gone"))
+                 .unionByName(found.where("h is null").select(*ANSWER, F.lit(True).alias("gone"))), "stretches")
+    discard(spark, path)
+    return out
 
 
-WINDOWS = "w long, v long, uid long, place long"
+WINDOWS = f"w long, v long, place {PLACE}, uid long, at int"
 
 
-def windows(texts: DataFrame, base: dict[int, int], told: DataFrame, window: int) -> DataFrame:
-    """Windows (two hashes, uid, place) of the stretches to be extended, once a slice; w is null for
-    those that go at once."""
+def windows(texts: DataFrame, told: DataFrame, window: int) -> DataFrame:
+    """Windows (two hashes, place, uid, first word) of the stretches to be extended, once a slice; w is null
+    for those that go at once."""
     asked = (told.where("not gone").groupBy("uid")
-             .agg(F.collect_list(F.struct("place", "size")).alias("asked")))       # of one text, so bounded by it
-    each = texts.join(asked, "uid").select("part", "uid", "start", "text", "asked")
+             .agg(F.collect_list(F.struct("at", "size")).alias("asked")))       # of one text, so bounded by it
+    each = texts.join(asked, "uid").select("uid", "doc_id", "data", "asked")
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, whole.schema.get_field_index("text"), size=SLICE):
-                words = Words(batch.column("text"))
-                h = words.hashes()
-                w, v = runs_of(h, window, 0), runs_of(h, window, 1)
-                begin, uid = _places(batch, base), batch.column("uid").to_numpy()
-                asks = batch.column("asked")
-                text = np.repeat(np.arange(batch.num_rows), np.diff(asks.offsets.to_numpy()))
-                flat = asks.flatten()
-                first = np.searchsorted(words.start, flat.field("place").to_numpy() - begin[text] + words.offs[text])
-                size = flat.field("size").to_numpy().astype(np.int64)
-                at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                text = np.repeat(text, size)
-                place = begin[text] + words.start[at] - words.offs[text]
-                order = np.argsort(place, kind="stable")
-                at, text, place = at[order], text[order], place[order]
-                gone = _later(w[at], v[at])
-                yield pa.record_batch([pa.array(w[at].view(np.int64), mask=gone), pa.array(v[at].view(np.int64)),
-                                       pa.array(uid[text]), pa.array(place)], ["w", "v", "uid", "place"])
+        for batch in _parts(batches):
+            words = Words(_texts(batch))
+            h = words.hashes()
+            w, v = runs_of(h, window, 0), runs_of(h, window, 1)
+            text, flat = _rows(batch.column("asked"))
+            size = flat.field("size").to_numpy().astype(np.int64)
+            at = flat.field("at").to_numpy() + words.first[text]
+            at = np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            text = np.repeat(text, size)
+            order = np.lexsort((at, _ranks(batch)[text]))
+            at, text = at[order], text[order]
+            gone = _later(w[at], v[at])
+            yield pa.record_batch([pa.array(w[at].view(np.int64), mask=gone), pa.array(v[at].view(np.int64)),
+                                   _decimals(_places(batch)[text]), batch.column("uid").take(pa.array(text)),
+                                   pa.array(at - words.first[text], pa.int32())], ["w", "v", "place", "uid", "at"])
 
     return each.mapInArrow(run, WINDOWS)
 
 
+def _rows(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each item of a list column (null lists hold none), and the items."""
+    offs = lists.offsets.to_numpy()
+    return np.repeat(np.arange(len(lists)), np.diff(offs)), lists.flatten()
+
+
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(uid, place, size): runs of windows that also start earlier, by the place of the first one's first word.
+    """(uid, at, size): runs of windows that also start earlier, by the first one's first word; stored.
 
-    ``texts`` is the stored result of :func:`ordered`.
+    ``texts`` is the stored result of :func:`numbered`.
     """
-    base = bases(texts)
-    found = stored(seeds(texts, base, window, gram), "seeds")
-    told = stored(classes(found), "stretches")
-    seen = stored(windows(texts, base, told, window), "windows")
+    spark = texts.sparkSession
+    path = write_out(seeds(texts, window, gram), "seeds", "zstd")
+    told = classes(read_back(spark, path))
+    discard(spark, path)
+    path = write_out(windows(texts, told, window), "windows", "zstd")
+    seen = read_back(spark, path)
     live = seen.where("w is not null")
     first = (live.groupBy(F.col("w").alias("w1"), F.col("v").alias("v1"))
              .agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"))
     late = live.join(first, (F.col("w") == F.col("w1")) & (F.col("v") == F.col("v1"))).where("place > first")
     one = F.lit(1).alias("size")
-    return (told.where("gone").select("uid", "place", "size")
-            .unionByName(late.select("uid", "place", one))
-            .unionByName(seen.where("w is null").select("uid", "place", one)))
+    out = stored(told.where("gone").select(*ANSWER).unionByName(late.select("uid", "at", one))
+                 .unionByName(seen.where("w is null").select("uid", "at", one)), "repeats")
+    discard(spark, path)
+    return out
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -296,30 +299,25 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``kept`` holds the remaining words joined by one space, ``row`` the columns
     named in ``carry``.
     """
-    texts = stored(ordered(docs, id_col, text_col, carry), "texts")
-    base = bases(texts)
+    texts = stored(numbered(docs, id_col, text_col, carry), "texts")
     kind = texts.schema["row"].dataType.simpleString()
     runs = (repeats(texts, window, gram).groupBy("uid")
-            .agg(F.collect_list(F.struct("place", "size")).alias("runs")))          # of one text, so bounded by it
-    each = texts.join(runs, "uid", "left").select("part", "start", "doc_id", "text", "row", "runs")
+            .agg(F.collect_list(F.struct("at", "size")).alias("runs")))          # of one text, so bounded by it
+    each = texts.join(runs, "uid", "left").select("doc_id", "data", "row", "runs")
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, whole.schema.get_field_index("text"), size=SLICE):
-                words, asks = Words(batch.column("text")), batch.column("runs")
-                n = np.diff(words.first)
-                text = np.repeat(np.arange(batch.num_rows), np.diff(asks.offsets.to_numpy()))
-                flat = asks.flatten()
-                first = np.searchsorted(words.start, flat.field("place").to_numpy()
-                                        - _places(batch, base)[text] + words.offs[text])
-                edge = np.zeros(len(words.start) + 1, np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, first + flat.field("size").to_numpy() - 1 + window, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                removed = np.diff(np.append(0, np.cumsum(gone))[words.first])
-                yield pa.record_batch([batch.column("doc_id"), pa.array(n.astype(np.int64)),
-                                       pa.array(removed.astype(np.int64)), _kept(words, ~gone), batch.column("row")],
-                                      ["doc_id", "n_words", "n_removed", "kept", "row"])
+        for batch in _parts(batches):
+            words = Words(_texts(batch))
+            text, flat = _rows(batch.column("runs"))
+            first = flat.field("at").to_numpy() + words.first[text]
+            edge = np.zeros(len(words.start) + 1, np.int64)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, first + flat.field("size").to_numpy() - 1 + window, -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            removed = np.diff(np.append(0, np.cumsum(gone))[words.first])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(words.first).astype(np.int64)),
+                                   pa.array(removed.astype(np.int64)), _kept(words, ~gone), batch.column("row")],
+                                  ["doc_id", "n_words", "n_removed", "kept", "row"])
 
     return each.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept string, row {kind}")
 
