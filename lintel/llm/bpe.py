@@ -17,6 +17,7 @@ any name are not looked at; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import PieceIds, file_bytes, slices
+from lintel.llm.common import PieceIds, file_bytes, piece_of, slices
 
 LEAF = 24        # bytes that are merged directly
 ROWS = 256       # rows handled at a time inside a task
-MEMO = 60_000    # pieces in each generation of a worker's memo
+MEMO = 24 << 20  # bytes of a task's memo of pieces
 SLICE = 2 << 20  # bytes of text coded at a time
 
 
@@ -94,23 +95,30 @@ class TreeBPE:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_MADE: dict[tuple[int, str], tuple[TreeBPE, PieceIds]] = {}
+_MADE: dict[int, TreeBPE] = {}
 
 
-def _coder(data: bytes, pattern: str) -> tuple[TreeBPE, PieceIds]:
-    """The worker's coder for one rank file and pattern, kept from task to task."""
-    key = (hash(data), pattern)
+def _coder(data: bytes) -> TreeBPE:
+    """The worker's coder for one rank file, kept from task to task."""
+    key = hash(data)
     if key not in _MADE:
-        bpe, find = TreeBPE(read_ranks(data)), regex.compile(pattern).findall
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            pack, run = bpe.ranks, bpe.tokens
-            return [np.array([pack[t] for m in find(p) for t in run(m.encode("utf-8"))], "<u4").tobytes()
-                    for p in pieces]
-        _MADE[key] = bpe, PieceIds(encode, MEMO)
+        _MADE[key] = TreeBPE(read_ranks(data))
     return _MADE[key]
 
 
+def _memo(data: bytes, pattern: str) -> PieceIds:
+    """A memo for one task."""
+    bpe, find = _coder(data), regex.compile(pattern).findall
+    pack, run = bpe.ranks, bpe.tokens
+
+    def encode(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [[pack[t] for m in find(p) for t in run(m.encode("utf-8"))] for p in map(piece_of, keys)]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), "<u4", int(size.sum())), size
+
+    return PieceIds(encode, MEMO)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids): ids as little-endian unsigned 32-bit integers.
@@ -123,7 +131,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        ids = _coder(data.value, pattern)[1]
+        ids = _memo(data.value, pattern)
         for batch in batches:
             for part in slices(batch, 1, size=SLICE):
                 flat, n = ids.batch(part.column(1))
@@ -142,7 +150,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = "") -> DataFrame:
     data = encoded.sparkSession.sparkContext.broadcast(file_bytes(ranks_path))
 
     def run(batches):
-        bpe = _coder(data.value, pattern)[0]
+        bpe = _coder(data.value)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = (large.join(low2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low2.select("a", F.col("m").alias("b"))).distinct())
         e = stored(small, "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     leaf = e.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
     return leaf.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component_id")).distinct())
 
@@ -163,38 +166,37 @@ ODD = rf"^[\x00\n]?$|^[\x00\n][{_WS}\n]|^[{_WS}]|[{_WS}\n]$"
 class PieceIds:
     """Ids of texts through a bounded memo of their pieces.
 
-    ``encode`` maps a list of distinct pieces to their ids as bytes.  Texts
-    without odd white space are cut by string splitting alone: a key is then a
-    word (the blank before it is understood), a line feed with the word after
-    it, or NUL and the text's first word; other texts are cut by ``PIECES``
-    and their keys start with SOH.  The memo has two generations of at most
-    ``limit`` pieces; the older one is forgotten when the younger is full, so
-    memory does not grow with the input and frequent pieces stay.
+    ``encode`` maps a list of distinct keys to all their ids in a row and how
+    many are each key's.  Texts without odd white space are cut by string
+    splitting alone: a key is then a word (the blank before it is understood),
+    a line feed with the word after it, or NUL and the text's first word; other
+    texts are cut by ``PIECES`` and their keys start with SOH.  The memo starts
+    anew when it holds about ``limit`` bytes, so memory does not grow with the
+    input; it belongs to one task and goes with it.
     """
 
-    def __init__(self, encode, limit: int = 450_000):
-        self.encode, self.limit, self.memo, self.old = encode, limit, {}, {}
-
-    @staticmethod
-    def _piece(key: str) -> str:
-        return key[1:] if key[0] in "\0\1" else key if key[0] == "\n" else " " + key
-
-    def _of(self, keys: list[str]) -> list[bytes]:
-        """Ids of distinct keys."""
-        if len(self.memo) > self.limit:
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
-        out = list(map(memo.get, keys))
-        new = [i for i, v in enumerate(out) if v is None]
-        todo = []
-        for i in new:
-            got = out[i] = old.get(keys[i])
-            if got is None:
-                todo.append(i)
-            else:
-                memo[keys[i]] = got
-        for i, v in zip(todo, self.encode([self._piece(keys[i]) for i in todo]) if todo else ()):
-            out[i] = memo[keys[i]] = v
+    def __init__(self, encode, limit: int = 96 << 20):
+        self.encode, self.limit = encode, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = 0
+
+    def _slots(self, keys: list[str]) -> np.ndarray:
+        """Where the memo holds each of some distinct keys."""
+        out = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            todo = [keys[i] for i in new.tolist()]
+            ids, size = self.encode(todo)
+            n = len(self.size)
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+            self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+            self.slot.update(zip(todo, range(n, n + len(todo))))
+            out[new] = np.arange(n, n + len(todo))
+            self.used += sum(map(len, todo)) + KEY_BYTES * len(todo) + ids.nbytes
         return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -210,37 +212,42 @@ class PieceIds:
         counts = np.add.reduceat(np.append(odd[codes], False), offs[:-1], dtype=np.int64) if len(texts) else offs[:0]
         bad = (counts > 0) | pc.or_(pc.match_substring(texts, "\0"), pc.match_substring(texts, "\1")).to_numpy(
             zero_copy_only=False)
-        # ids of what is left of the keys, then of each odd text as one piece of its own
+        # places of what is left of the keys, then those of each odd text's pieces
+        if self.used > self.limit:
+            self.clear()
         if bad.any():
             sure = np.zeros(len(keys), bool)
             sure[codes[~np.repeat(bad, np.diff(offs))]] = True
-        else:
-            sure = np.ones(len(keys), bool)
-        got = [b""] * len(keys)
-        use = np.flatnonzero(sure).tolist()
-        for i, v in zip(use, self._of([keys[i] for i in use])):
-            got[i] = v
-        if bad.any():
-            parts, last = [], 0
+            use = np.flatnonzero(sure)
+            slot = np.zeros(len(keys), np.int64)
+            slot[use] = self._slots([keys[i] for i in use.tolist()])
+            at, parts, last = slot[codes], [], 0
+            n = np.diff(offs)
             for i in np.flatnonzero(bad).tolist():
                 mine = ["\1" + p for p in PIECES(texts[i].as_py())] if len(texts[i].as_py()) else []
-                known = dict(zip(dict.fromkeys(mine), self._of(list(dict.fromkeys(mine)))))
-                got.append(b"".join([known[k] for k in mine]))
-                parts += [codes[last:offs[i]], np.array([len(got) - 1], codes.dtype)]
-                last = offs[i + 1]
-            codes = np.concatenate([*parts, codes[last:]])
-            offs = np.concatenate([[0], np.cumsum(np.where(bad, 1, np.diff(offs)))])
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        flat = np.frombuffer(b"".join(got), "<u4")
-        begin = np.cumsum(size) - size
-        each = size[codes]
+                known = list(dict.fromkeys(mine))
+                place = dict(zip(known, self._slots(known).tolist()))
+                parts += [at[last:offs[i]], np.array([place[k] for k in mine], np.int64)]
+                last, n[i] = offs[i + 1], len(mine)
+            at = np.concatenate([*parts, at[last:]])
+            offs = np.concatenate([[0], np.cumsum(n)])
+        else:
+            at = self._slots(keys)[codes]
+        each = self.size[at]
         stop = np.cumsum(each)
-        at = np.repeat(begin[codes] - (stop - each), each) + np.arange(int(stop[-1]) if len(stop) else 0)
+        take = np.repeat(self.begin[at] - (stop - each), each)
+        take += np.arange(len(take))
         ends = np.concatenate([[0], stop])[offs]
-        return flat[at], np.diff(ends)
+        return self.ids[take], np.diff(ends)
+
 
+def piece_of(key: str) -> str:
+    """The piece that a key of :class:`PieceIds` stands for."""
+    return key[1:] if key[0] in "\0\1" else key if key[0] == "\n" else " " + key
 
-GROUP = 256
+
+KEY_BYTES = 180      # of a key in the memo, besides its characters and ids
+GROUP = 1024
 
 
 def library_encoder(data: bytes):
@@ -261,55 +268,67 @@ def library_encoder(data: bytes):
     normal = tok.normalizer.normalize_str if tok.normalizer is not None else None
 
     def sizes(parts: list[str], text: str) -> np.ndarray:
-        """Bytes that the ids of each part stand for."""
-        if text.isascii():
-            n = list(map(len, parts))
-        else:
-            n = [len((normal(p) if normal is not None and not p.isascii() else p).encode("utf-8")) for p in parts]
-        return np.array(n) if blanks else np.array(n) - 1
-
-    def alone(p: str) -> bytes:
-        return np.array(tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        # a call takes many pieces in a row (each starts where no match can
-        # reach across); the ids' byte counts tell where a piece ends
-        out: list[bytes] = [b""] * len(pieces)
-        plain = []
-        for i, p in enumerate(pieces):
-            if p[0] in " \n" and p[1:] and not p[1].isspace() and not p[-1].isspace():
-                plain.append(i)
-            else:
-                out[i] = alone(p)
-        for k in range(0, len(plain), GROUP):
-            part = plain[k:k + GROUP]
-            own = [pieces[i] for i in part]
-            text = "".join(own)
+        """Bytes that the ids of each part (a blank or line feed, then a word) stand for."""
+        n = pc.binary_length(pa.array(parts, pa.string())).to_numpy().astype(np.int64)
+        if normal is not None and not text.isascii():
+            for i, p in enumerate(parts):
+                if not p.isascii():
+                    n[i] = len(normal(p).encode("utf-8"))
+        n += np.fromiter((p[0] != "\n" for p in parts), np.int64, len(parts))      # the blank is understood
+        return n if blanks else n - 1
+
+    def alone(pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # a call takes many keys in a row (each starts where no match can
+        # reach across); the ids' byte counts tell where a key ends
+        size = np.zeros(len(keys), np.int64)
+        flat: list[np.ndarray] = []
+        first, plain = [], []
+        for i, k in enumerate(keys):
+            (first if k[0] in "\0\1" else plain).append(i)
+        for i, ids in zip(first, alone([piece_of(keys[i]) for i in first])):
+            flat.append(ids)
+            size[i] = len(ids)
+        for a in range(0, len(plain), GROUP):
+            part = plain[a:a + GROUP]
+            own = [keys[i] for i in part]
+            text = (" " + " ".join(own)).replace(" \n", "\n")
             ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             done = np.cumsum(width[ids])
             want = np.cumsum(sizes(own, text))
             stop = np.searchsorted(done, want)
-            if (len(text.split()) != len(own) or not len(done) or done[-1] != want[-1]
+            if ((not blanks and len(text.split()) != len(own)) or not len(done) or done[-1] != want[-1]
                     or (done[stop] != want).any()):
-                for i in part:                  # lengths that say nothing: one by one
-                    out[i] = alone(pieces[i])
-                continue
-            start, raw = 0, ids.tobytes()
-            for i, e in zip(part, (4 * stop + 4).tolist()):
-                out[i] = raw[start:e]
-                start = e
-        return out
+                each = alone([piece_of(k) for k in own])     # lengths that say nothing: one by one
+                flat += each
+                size[part] = [len(e) for e in each]
+            else:
+                flat.append(ids)
+                size[part] = np.diff(stop + 1, prepend=0)
+        # ids are in the order of `first`, then `plain`
+        order = np.array(first + plain, np.int64)
+        got = size[order]
+        begin = np.empty(len(keys), np.int64)
+        begin[order] = np.cumsum(got) - got
+        ids = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+        if first:
+            stop = np.cumsum(size)
+            at = np.repeat(begin - (stop - size), size)
+            ids = ids[at + np.arange(len(at))]
+        return ids, size
     return encode
 
 
-_ENCODERS: dict[str, PieceIds] = {}
+_ENCODERS: dict = {}
 
 
 def library_ids(key: str, data: bytes) -> PieceIds:
-    """The worker's memo for one tokenizer, kept from task to task."""
+    """A memo for one task; the worker keeps the tokenizer only."""
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceIds(library_encoder(data))
-    return _ENCODERS[key]
+        _ENCODERS[key] = library_encoder(data)
+    return PieceIds(_ENCODERS[key])
 
 
 def file_bytes(path: str) -> bytes:

@@ -10,7 +10,7 @@ directories are counted when a shard is opened; ``access``, ``count`` and
 ``locate`` then need no other file.
 
 Defined cases: a null or empty text holds the end id alone; a null document id
-sorts first; rows with equal ids stand next to each other ordered by text; an
+sorts first; rows with equal ids stand next to each other ordered by a hash of their text; an
 empty table writes no shard and reads back as no rows; other columns are not
 looked at.
 """
@@ -175,8 +175,9 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id
         if names:
             yield close()
 
-    (src.repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(path))
+    # a hot id is dealt out by the hash of its texts
+    (src.withColumn("deal", F.xxhash64("text")).repartitionByRange(width, "doc_id", "deal")
+     .sortWithinPartitions("doc_id", "deal", "text").select("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(path))
 
 
 KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
