@@ -1,9 +1,10 @@
 """The entry module needs no jar, file or JVM to be imported."""
 
+import os
 import subprocess
 import sys
 
-from conftest import ROOT
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 CODE = """
 import glob, zipfile
