@@ -29,7 +29,7 @@ from lintel.llm.common import PieceIds, file_bytes, piece_of, slices
 
 LEAF = 24        # bytes that are merged directly
 ROWS = 256       # rows handled at a time inside a task
-MEMO = 24 << 20  # bytes of a task's memo of pieces
+MEMO = 24 << 20  # bytes of a worker's memo of pieces
 SLICE = 2 << 20  # bytes of text coded at a time
 
 
@@ -95,30 +95,24 @@ class TreeBPE:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_MADE: dict[int, TreeBPE] = {}
+_MADE: dict[tuple[int, str], tuple[TreeBPE, PieceIds]] = {}
 
 
-def _coder(data: bytes) -> TreeBPE:
-    """The worker's coder for one rank file, kept from task to task."""
-    key = hash(data)
+def _coder(data: bytes, pattern: str) -> tuple[TreeBPE, PieceIds]:
+    """The worker's coder for one rank file and pattern, kept from task to task."""
+    key = (hash(data), pattern)
     if key not in _MADE:
-        _MADE[key] = TreeBPE(read_ranks(data))
+        bpe, find = TreeBPE(read_ranks(data)), regex.compile(pattern).findall
+        pack, run = bpe.ranks, bpe.tokens
+
+        def encode(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            each = [[pack[t] for m in find(p) for t in run(m.encode("utf-8"))] for p in map(piece_of, keys)]
+            size = np.fromiter(map(len, each), np.int64, len(each))
+            return np.fromiter(chain.from_iterable(each), "<u4", int(size.sum())), size
+        _MADE[key] = bpe, PieceIds(encode, MEMO, MEMO // 2)
     return _MADE[key]
 
 
-def _memo(data: bytes, pattern: str) -> PieceIds:
-    """A memo for one task."""
-    bpe, find = _coder(data), regex.compile(pattern).findall
-    pack, run = bpe.ranks, bpe.tokens
-
-    def encode(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [[pack[t] for m in find(p) for t in run(m.encode("utf-8"))] for p in map(piece_of, keys)]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter(chain.from_iterable(each), "<u4", int(size.sum())), size
-
-    return PieceIds(encode, MEMO)
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids): ids as little-endian unsigned 32-bit integers.
@@ -131,7 +125,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        ids = _memo(data.value, pattern)
+        ids = _coder(data.value, pattern)[1]
         for batch in batches:
             for part in slices(batch, 1, size=SLICE):
                 flat, n = ids.batch(part.column(1))
@@ -140,6 +134,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), out.cast(pa.binary())],
                                       ["id", "n_tokens", "ids"])
+        ids.trim()
 
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary")
@@ -150,7 +145,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = "") -> DataFrame:
     data = encoded.sparkSession.sparkContext.broadcast(file_bytes(ranks_path))
 
     def run(batches):
-        bpe = _coder(data.value)
+        bpe = _coder(data.value, pattern)[0]
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)

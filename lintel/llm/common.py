@@ -170,20 +170,31 @@ class PieceIds:
     many are each key's.  Texts without odd white space are cut by string
     splitting alone: a key is then a word (the blank before it is understood),
     a line feed with the word after it, or NUL and the text's first word; other
-    texts are cut by ``PIECES`` and their keys start with SOH.  The memo starts
-    anew when it holds about ``limit`` bytes, so memory does not grow with the
-    input; it belongs to one task and goes with it.
+    texts are cut by ``PIECES`` and their keys start with SOH.  When the memo holds
+    about ``limit`` bytes, only keys met in several batches stay, so memory does
+    not grow with the input; :meth:`trim` leaves ``rest`` bytes at most.
     """
 
-    def __init__(self, encode, limit: int = 96 << 20):
-        self.encode, self.limit = encode, limit
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self, encode, limit: int = 80 << 20, rest: int = 32 << 20):
+        self.encode, self.limit, self.rest = encode, limit, rest
         self.slot: dict[str, int] = {}
         self.ids, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
         self.used = 0
 
+    def trim(self) -> None:
+        """Keep the keys met most often, within ``rest`` bytes."""
+        keys = list(self.slot)                       # in the order of their places
+        cost = np.fromiter(map(len, keys), np.int64, len(keys)) + KEY_BYTES + 4 * self.size
+        order = np.argsort(-self.hits, kind="stable")
+        order = order[self.hits[order] > 1]
+        keep = np.sort(order[np.cumsum(cost[order]) <= self.rest])
+        size, stop = self.size[keep], np.cumsum(self.size[keep])
+        self.ids = self.ids[np.repeat(self.begin[keep] - (stop - size), size) + np.arange(size.sum())]
+        self.begin, self.size, self.hits = stop - size, size, self.hits[keep] // 2 + 1
+        self.slot = dict(zip([keys[i] for i in keep.tolist()], range(len(keep))))
+        self.used = int(cost[keep].sum())
+
     def _slots(self, keys: list[str]) -> np.ndarray:
         """Where the memo holds each of some distinct keys."""
         out = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
@@ -194,9 +205,11 @@ class PieceIds:
             n = len(self.size)
             self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
             self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+            self.hits = np.concatenate([self.hits, np.zeros(len(todo), np.int64)])
             self.slot.update(zip(todo, range(n, n + len(todo))))
             out[new] = np.arange(n, n + len(todo))
             self.used += sum(map(len, todo)) + KEY_BYTES * len(todo) + ids.nbytes
+        self.hits[out] += 1
         return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +227,7 @@ class PieceIds:
             zero_copy_only=False)
         # places of what is left of the keys, then those of each odd text's pieces
         if self.used > self.limit:
-            self.clear()
+            self.trim()
         if bad.any():
             sure = np.zeros(len(keys), bool)
             sure[codes[~np.repeat(bad, np.diff(offs))]] = True
@@ -321,14 +334,14 @@ def library_encoder(data: bytes):
     return encode
 
 
-_ENCODERS: dict = {}
+_ENCODERS: dict[str, PieceIds] = {}
 
 
 def library_ids(key: str, data: bytes) -> PieceIds:
-    """A memo for one task; the worker keeps the tokenizer only."""
+    """The worker's memo for one tokenizer, to be trimmed when a task ends."""
     if key not in _ENCODERS:
-        _ENCODERS[key] = library_encoder(data)
-    return PieceIds(_ENCODERS[key])
+        _ENCODERS[key] = PieceIds(library_encoder(data))
+    return _ENCODERS[key]
 
 
 def file_bytes(path: str) -> bytes:

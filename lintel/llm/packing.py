@@ -64,6 +64,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
                     pa.array(np.arange(uid, uid + len(out)))],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
                 uid += len(out)
+        encode.trim()
 
     return src.mapInArrow(run, PIECE)
 

@@ -174,6 +174,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id
                         shard, start, n, held, names, sizes = shard + 1, start + n, 0, [], [], []
         if names:
             yield close()
+        encode.trim()
 
     # a hot id is dealt out by the hash of its texts
     (src.withColumn("deal", F.xxhash64("text")).repartitionByRange(width, "doc_id", "deal")
