@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import discard, read_back, slices, small, stored, write_out
+from lintel.llm.common import discard, read_back, slices, stored, write_out
 from lintel.llm.shingles import mix, range_hashes
 from lintel.llm.suffix import numbered
 
@@ -219,7 +219,7 @@ def classes(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     live = found.where("h is not null")
     shared = stored(live.groupBy(F.col("h").alias("anchor")).count().where("count > 1").select("anchor"), "anchors")
-    path = write_out(live.join(small(shared, F.lit(64)), F.col("h") == F.col("anchor")).drop("anchor"), "met")
+    path = write_out(live.join(shared, F.col("h") == F.col("anchor")).drop("anchor"), "met", "zstd")
     met = read_back(spark, path)
     # a class is all equal stretches; several: the anchor has other classes too
     first = stored(met.groupBy(F.col("h").alias("h1"), F.col("s").alias("s1")).agg(F.min("place").alias("first")),
