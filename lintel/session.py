@@ -107,3 +107,10 @@ def ship_package(spark: SparkSession) -> None:
         os.replace(part, target)
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
+
+
+def written(df, name: str):
+    """``df`` written once under the shared folder and read back, so that nothing before it is computed again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

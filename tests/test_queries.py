@@ -26,7 +26,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - set(ORACLE) == {"fixed_effect_unbalanced"}     # iterative; see test_models.py
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
