@@ -118,3 +118,59 @@ def cosine_links(rows, least):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def passages(rows, window=20):
+    """[(id, words, removed, kept)] of (id, text) rows, in order of id (none first), then of the input."""
+    seen, out = set(), []
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
+    for i in order:
+        w = re.findall(r"[^\x20\x09-\x0D]+", rows[i][1] or "")
+        gone = [False] * len(w)
+        for a in range(len(w) - window + 1):
+            key = tuple(w[a:a + window])
+            if key in seen:
+                gone[a:a + window] = [True] * window
+            seen.add(key)
+        out.append((rows[i][0], len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+def usable(v):
+    return v is not None and all(c is not None and np.isfinite(c) for c in v)
+
+
+def codes(rows, factor=1024, entries=256, rounds=4):
+    """[(id, code, error, label error, sha)] of (id, vector, label) rows of one length."""
+    rows = [r for r in rows if usable(r[1])]
+    x = np.floor(factor * np.array([r[1] for r in rows], np.float64)).astype(np.int64)
+    first = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, x[i].tolist()))[:entries]
+    code, error, final = [], np.zeros(len(rows), np.int64), []
+    for cols in np.array_split(np.arange(x.shape[1]), 4):
+        part, book = x[:, cols], x[first][:, cols].copy()
+        for turn in range(rounds + 1):
+            d = ((part[:, None] - book[None]) ** 2).sum(2)
+            to = d.argmin(1)
+            if turn < rounds:
+                for k in set(to.tolist()):
+                    book[k] = part[to == k].sum(0) // (to == k).sum()
+        code.append(to)
+        error += d[np.arange(len(to)), to]
+        final += book.ravel().tolist()
+    sha = hashlib.sha256(",".join(map(str, final)).encode()).hexdigest()
+    by = defaultdict(int)
+    for r, e in zip(rows, error.tolist()):
+        by[r[2]] += e
+    return [(r[0], "".join(f"{c[i]:02x}" for c in code), int(error[i]), by[r[2]], sha) for i, r in enumerate(rows)]
+
+
+def whitened(rows, factor=256, count=4):
+    """(n, deviations, components of each row, explained) of (id, vector) rows of one length."""
+    x = np.floor(factor * np.array([r[1] for r in rows if usable(r[1])], np.float64)).astype(np.int64)
+    fit = np.unique(x, axis=0)
+    n, total = len(fit), fit.sum(0)
+    z = fit - total / n
+    e, v = np.linalg.eigh(z.T @ z / n)
+    e, v = e[::-1], v[:, ::-1]
+    dev = [sum((n * int(a) - int(s)) ** 2 for a, s in zip(row, total)) for row in x]
+    return n, dev, (x - total / n) @ v[:, :count] / np.sqrt(e[:count]), e[:count] / e.sum()
