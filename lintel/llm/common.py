@@ -8,6 +8,8 @@ alternating star contraction, and ``PieceIds`` is a bounded memo of token ids.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from itertools import repeat
@@ -66,6 +68,22 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def freeing(run):
+    """``run`` over a task's batches, after which the worker gives unused memory back to the system.
+
+    Workers live on from task to task, and their allocators keep what a task
+    has freed, so stages that follow each other would add up.
+    """
+    def freed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):      # other C libraries have no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return freed
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import components, stored
+from lintel.llm.common import components, freeing, stored
 from lintel.llm.shingles import shingle_hashes
 
 SMALL = 64          # classes of a region that is compared in full
@@ -70,6 +70,7 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, id_col: str, tex
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                       F.xxhash64(F.col(text_col)).alias("th"))
 
+    @freeing
     def run(batches):
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -108,6 +109,7 @@ def _sets(docs: DataFrame, sig: DataFrame, ids: DataFrame, words: int, id_col: s
                     "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
+    @freeing
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
@@ -122,6 +124,7 @@ def _sets(docs: DataFrame, sig: DataFrame, ids: DataFrame, words: int, id_col: s
 
 def _pairwise(pairs: DataFrame, values: DataFrame, keeps) -> DataFrame:
     """The pairs (a, b) whose values (uid, n, v: bytes) pass ``keeps(n, v, n, v)``."""
+    @freeing
     def run(batches):
         for batch in batches:
             hit = [keeps(*r) for r in zip(*[batch.column(c).to_pylist() for c in ("na", "va", "nb", "vb")])]
@@ -230,6 +233,7 @@ def _frequent(rows: DataFrame) -> DataFrame:
 
 def _exploded(rows: DataFrame) -> DataFrame:
     """(uid, s) of every shingle in the column ``lead`` (bytes)."""
+    @freeing
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
@@ -265,6 +269,7 @@ def _ordered(rows: DataFrame, late: DataFrame | None, num: int, den: int) -> Dat
         held = _exploded(rows).join(late, "s").groupBy("uid").agg(F.collect_set("s").alias("late"))  # bounded by lead
         rows = rows.join(held, "uid", "left").select("uid", "n", "lead", "late")
 
+    @freeing
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):

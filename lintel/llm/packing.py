@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import file_bytes, library_ids, slices, stored
+from lintel.llm.common import file_bytes, freeing, library_ids, slices, stored
 
 ISLAND = 4096      # pieces in one deal
 ISLANDS = 2        # populations that evolve each deal before they meet
@@ -46,6 +46,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(tokenizer_path))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+    @freeing
     def run(batches):
         encode, uid = library_ids(tokenizer_path, data.value), TaskContext.get().partitionId() << 33
         for batch in batches:

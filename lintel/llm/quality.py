@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintel.llm.common import freeing
+
 SAMPLE = 200          # documents on which costs and rejections are estimated
 ROWS = 256
 SPACE = " \t\n\x0b\x0c\r"
@@ -130,6 +132,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, features: tuple[st
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = [r.name for r in order_rules([r[0] for r in src.select("text").limit(sample).collect()], rules)]
 
+    @freeing
     def run(batches):
         by = {r.name: r for r in rules}
         order = tuple(by[n] for n in names)
@@ -153,6 +156,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
     at = docs.columns.index(text_col)
     names = [r.name for r in order_rules([r[0] for r in docs.select(text_col).limit(sample).collect()], rules)]
 
+    @freeing
     def run(batches):
         by = {r.name: r for r in rules}
         order = tuple(by[n] for n in names)

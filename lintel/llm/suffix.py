@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import shuffle_width, stored
+from lintel.llm.common import freeing, shuffle_width, stored
 from lintel.llm.shingles import range_hashes
 
 LENGTH, GRAM = 100, 32
@@ -229,6 +229,7 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
     kind = src.schema["row"].dataType.simpleString()
 
+    @freeing
     def run(batches):
         uid, press = TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
@@ -289,6 +290,7 @@ def _equal(rows: np.ndarray, *names: str) -> np.ndarray:
 def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataFrame:
     """(uid, gone, starts): packed int32 starts of a text's segments that go at once, as equal ones come
     earlier, and of those whose anchor different segments share."""
+    @freeing
     def tell(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         for rows in _chunks(batches, near=True):     # a row is told as 32 bits from the chunk's first
@@ -312,6 +314,7 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
                 yield pa.record_batch([pa.array([to.as_py()]), pa.array([struct.pack("<q", first) + data.as_py()])],
                                       ["to", "data"])
 
+    @freeing
     def answer(batches):
         parts, firsts = [], []
         for batch in batches:
@@ -340,6 +343,7 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
             if hit.any():
                 yield _told(uids[hit], (rows["a"][hit] >> 1).astype("<i4"), mark)
 
+    @freeing
     def by_row(batches):
         for batch in batches:
             cols: list[list] = [[], [], []]
@@ -377,6 +381,7 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     width = max(shuffle_width(texts.sparkSession), texts.rdd.getNumPartitions())
     told = stored(anchor_places(texts, width, length, gram), "told")
 
+    @freeing
     def cut(batches):
         """Segments by anchor, and the runs that go at once."""
         open_ = zstandard.ZstdDecompressor().decompress
@@ -402,6 +407,7 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 g = np.concatenate(gone)
                 yield _packed(-1 - g[:, 0], g[:, 1:].astype("<i4"), "to")
 
+    @freeing
     def induce(batches):
         held = []
         for batch in batches:
@@ -459,6 +465,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs = stored(removed_runs(texts, length, gram).groupBy("uid").agg(F.collect_list("data").alias("runs"))
                   .mapInArrow(_union, "uid long, runs binary"), "runs")      # of one text, so bounded by it
 
+    @freeing
     def apply(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -490,6 +497,7 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
     done = dedup_substrings(docs, id_col, text_col, length, gram, tuple(c for c in names if c != text_col))
 
+    @freeing
     def decode(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
