@@ -193,7 +193,7 @@ class PieceIds:
     not grow with the input; :meth:`trim` leaves ``rest`` bytes at most.
     """
 
-    def __init__(self, encode, limit: int = 80 << 20, rest: int = 32 << 20):
+    def __init__(self, encode, limit: int = 160 << 20, rest: int = 48 << 20):
         self.encode, self.limit, self.rest = encode, limit, rest
         self.slot: dict[str, int] = {}
         self.ids, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
