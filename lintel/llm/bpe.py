@@ -2,7 +2,7 @@
 
 A piece (one match of the split pattern) is encoded by halving it down to
 short leaves, encoding the leaves by rank merges, and joining neighbours on
-the way up.  A join re-encodes a window around the boundary and doubles it
+the way up.  A join re-encodes a window around the boundary and grows it
 until the window's outermost tokens come out as they were: a token sequence
 is the encoding of its bytes exactly when each adjacent pair is the encoding
 of its own bytes, so tokens outside such a window are proven stable.  The join
@@ -17,6 +17,7 @@ any name are not looked at; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from lintel.llm.common import PieceIds, file_bytes, piece_of, slices
 
 LEAF = 24        # bytes that are merged directly
+LONG = 96        # bytes from which merges go by a heap
 ROWS = 256       # rows handled at a time inside a task
 MEMO = 24 << 20  # bytes of a worker's memo of pieces
 SLICE = 2 << 20  # bytes of text coded at a time
@@ -47,9 +49,9 @@ class TreeBPE:
 
     def _merge(self, piece: bytes) -> list[bytes]:
         """Rank merges of a short byte string: lowest rank first, leftmost on ties."""
+        if len(piece) > LONG:
+            return self._merge_long(piece)
         ranks = self.ranks
-        if piece in ranks:
-            return [piece]
         parts = [piece[i:i + 1] for i in range(len(piece))]
         get, none = ranks.get, len(ranks) + 256
         near = [get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
@@ -66,24 +68,81 @@ class TreeBPE:
                 near[i - 1] = get(parts[i - 1] + parts[i], none)
         return parts
 
+    def _merge_long(self, piece: bytes) -> list[bytes]:
+        """The same merges by a heap of (rank, start) over linked neighbours, n log n in the length.
+
+        An entry whose pair has changed since is passed over: the pair that
+        starts there now has another rank or is gone.
+        """
+        get, n = self.ranks.get, len(piece)
+        end = list(range(1, n + 1))         # of the part that starts here; 0: no part starts here
+        back = list(range(-1, n - 1))       # where the part before starts
+        rank = [get(piece[i:i + 2], -1) for i in range(n - 1)] + [-1]
+        heap = [(r << 40) | i for i, r in enumerate(rank) if r >= 0]
+        heapify(heap)
+        place = (1 << 40) - 1
+        while heap:
+            top = heappop(heap)
+            i = top & place
+            if rank[i] != top >> 40 or not end[i]:
+                continue
+            j = end[i]
+            last = end[i] = end[j]
+            end[j], rank[j] = 0, -1
+            if last < n:
+                back[last] = i
+                r = rank[i] = get(piece[i:end[last]], -1)
+                if r >= 0:
+                    heappush(heap, (r << 40) | i)
+            else:
+                rank[i] = -1
+            k = back[i]
+            if k >= 0:
+                r = rank[k] = get(piece[k:last], -1)
+                if r >= 0:
+                    heappush(heap, (r << 40) | k)
+        out, i = [], 0
+        while i < n:
+            out.append(piece[i:end[i]])
+            i = end[i]
+        return out
+
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
-        """Encoding of the concatenation of two encoded byte strings."""
+        """Encoding of the concatenation of two encoded byte strings.
+
+        Only the side whose outermost token has changed grows, fourfold.
+        """
         if not left or not right:
             return left or right
-        k = 1
+        m = n = 1
         while True:
-            a, b = left[-k:], right[:k]
+            a, b = left[-m:], right[:n]
             window = self._merge(b"".join(a) + b"".join(b))
-            if ((len(a) == len(left) or window[0] == a[0])
-                    and (len(b) == len(right) or window[-1] == b[-1])):
+            steady = len(a) == len(left) or window[0] == a[0], len(b) == len(right) or window[-1] == b[-1]
+            if all(steady):
                 return left[:len(left) - len(a)] + window + right[len(b):]
-            k *= 2
+            m, n = m if steady[0] else 4 * m, n if steady[1] else 4 * n
 
-    def tokens(self, piece: bytes) -> list[bytes]:
+    def _tree(self, piece: bytes, seen: dict[int, tuple[bytes, list[bytes]]]) -> list[bytes]:
+        """Tokens by halves whose left length is a power of two.
+
+        Runs of one byte, and of any period that divides such a length, then
+        part between tokens.  ``seen`` keeps the last block of each length, so
+        repeated blocks are encoded once.
+        """
         if len(piece) <= LEAF:
-            return self._merge(piece) if piece else []
-        half = len(piece) // 2
-        return self.join(self.tokens(piece[:half]), self.tokens(piece[half:]))
+            return self._merge(piece)
+        last = seen.get(len(piece))
+        if last is None or last[0] != piece:
+            half = 1 << ((len(piece) - 1).bit_length() - 1)
+            last = piece, self.join(self._tree(piece[:half], seen), self._tree(piece[half:], seen))
+            seen[len(piece)] = last
+        return last[1]
+
+    def tokens(self, piece: bytes) -> list[bytes]:
+        if piece in self.ranks:
+            return [piece]
+        return self._tree(piece, {}) if piece else []
 
     def encode(self, piece: bytes) -> list[int]:
         return [self.ranks[t] for t in self.tokens(piece)]

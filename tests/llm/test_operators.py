@@ -49,6 +49,35 @@ def test_tree_bpe_equals_library():
         assert tree.decode(np.array(want)) == word.encode()
 
 
+def test_bpe_long_pieces_equal_library():
+    """Long runs of one byte, of short periods and of letters; the heap merges alike at every length."""
+    tiktoken = pytest.importorskip("tiktoken")
+    r, rnd = ranks(), random.Random(4)
+    single = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=r, special_tokens={})._core_bpe.encode_single_piece
+    tree = bpe.TreeBPE(r)
+    for size in (97, 4096, 20_001):
+        for unit in ("=", "-=", "abc", "漢字仮", None):
+            text = (unit * size)[:size] if unit else "".join(rnd.choice("etaoinshrdlu") for _ in range(size))
+            assert tree.encode(text.encode()) == single(text.encode())
+    for _ in range(200):
+        word = "".join(rnd.choice("aabcdeth") for _ in range(rnd.randrange(3, 400))).encode()
+        if word not in r:
+            assert [r[t] for t in tree._merge_long(word)] == single(word)
+    assert tree.encode(b"=" * 1_000_000) == single(b"=" * 1_000_000)
+
+
+def test_bpe_whole_texts_equal_library(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    rnd = random.Random(6)
+    odd = " \n\t\r\x0b\x1c\x85\xa0\u3000\u200b'sAbÉ1!-ß²漢="
+    texts = TEXTS + ["".join(rnd.choice(odd) for _ in range(rnd.randrange(1, 60))) for _ in range(300)]
+    texts += ["=" * 30_000, "ruler " + "-" * 9_000 + "\n" + "=" * 9_001, "<|endoftext|>", "a" * 5_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for row in bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect():
+        assert np.frombuffer(row["ids"], "<u4").tolist() == enc.encode_ordinary(texts[row["id"]] or "")
+
+
 def test_bpe_round_trip(spark, docs):
     path = P.path("byte_bpe_50k.tiktoken")
     got = bpe.decode(bpe.encode(docs, path, P.PATTERN), path, P.PATTERN).collect()
