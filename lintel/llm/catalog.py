@@ -109,7 +109,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that repeat an earlier one up to one edit."""
+    """Every document without the lines that repeat an earlier one, long lines up to one edit."""
     return lines.dedup_lines(table(spark, sf_dir, "documents"), counts=True).select(
         "doc_id", "n_lines", "n_dropped", "text")
 
@@ -124,9 +124,9 @@ def _near(a: str, b: str) -> str:
 ORACLE["op8_line_dedup"] = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
-o AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= {lines.MIN_CHARS} GROUP BY line),
+o AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE regexp_matches(line, '{lines.WORD}') GROUP BY line),
 h AS (SELECT line, first, m, substr(line, 1, m // 2) AS a, substr(line, length(line) - (m - m // 2) + 1 + m % 2) AS b
-      FROM o, (VALUES (0), (1)) v(k), LATERAL (SELECT length(line) - k AS m) x),
+      FROM o, (VALUES (0), (1)) v(k), LATERAL (SELECT length(line) - k AS m) x WHERE length(line) >= {lines.MIN_CHARS}),
 p AS (SELECT x.line, y.line AS other FROM h x JOIN h y ON x.m = y.m AND x.a = y.a WHERE y.first < x.first
       UNION SELECT x.line, y.line FROM h x JOIN h y ON x.m = y.m AND x.b = y.b WHERE y.first < x.first),
 n AS (SELECT DISTINCT line FROM p WHERE abs(length(line) - length(other)) <= 1 AND {_near("line", "other")}),

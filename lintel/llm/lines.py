@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only (operator 8).
 
-A line of at least ``min_chars`` characters is dropped when an earlier line (by
-document id, then place) is the same or within one edit of it, judged on the
-input.  Equal lines meet by a grouped minimum over the lines' hashes.  For the
-others the deletion neighbourhood is emitted in two steps, so that long lines
-cost a constant number of keys:
+A line that holds a word is dropped when an earlier line (by document id, then
+place) is the same, and one of at least ``min_chars`` characters also when an
+earlier line of such a length is within one edit of it, judged on the input.
+Equal lines of any length meet by a grouped minimum over the lines' hashes.
+For the others the deletion neighbourhood is emitted in two steps, so that long
+lines cost a constant number of keys:
 
 1.  Block variants: the line with one of its blocks deleted, hashed with the
     shorter length of the two lines that it may match.  Lines within one edit
@@ -19,8 +20,8 @@ cost a constant number of keys:
 Each line to drop is then held against its keeper by ``levenshtein`` before it
 goes.  Groups of any size are combined before the shuffle.
 
-Defined cases: a null text stays null and an empty text empty; null ids sort
-first; rows that repeat an id and a text share one decision (they are one
+Defined cases: blank lines stay; a null text stays null and an empty text
+empty; null ids sort first; rows that repeat an id and a text share one decision (they are one
 document, so neither is earlier); a text all of whose lines go becomes empty;
 an empty table gives an empty result; other columns, whatever their names, are
 handed through.
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import small, stored
 
-MIN_CHARS = 24
+MIN_CHARS = 24      # of lines that one edit may change; in shorter ones it makes another word
+WORD = r"[^\x20\x09-\x0D]"
 BLOCKS = 16
 
 
@@ -66,13 +68,17 @@ def _halves() -> list[Column]:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(at (doc, th, pos), h1, h2, halves) of every line that counts; the text stays behind."""
+    """(at (doc, th, pos), h1, h2, halves) of every line with a word; the text stays behind.
+
+    ``halves`` is NULL for lines that only exact copies may drop.
+    """
     text = F.col(text_col)
+    halves = F.when(F.char_length("line") >= min_chars, F.array(*_halves()))
     return (docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"),
                         F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-            .where(F.char_length("line") >= min_chars)
+            .where(F.col("line").rlike(WORD))
             .select(F.struct("doc", "th", "pos").alias("at"), F.xxhash64("line").alias("h1"),
-                    F.hash("line").alias("h2"), F.array(*_halves()).alias("halves")))
+                    F.hash("line").alias("h2"), halves.alias("halves")))
 
 
 def _shared(emitted: DataFrame) -> DataFrame:

@@ -83,19 +83,21 @@ def near(a, b):
 
 def dedup_lines(rows, min_chars):
     """{id: text} of (id, text) rows in order of id, comparing each line with all earlier ones."""
-    seen, out = [], {}
+    seen, same, out = [], set(), {}
     for d, t in sorted(rows, key=lambda r: r[0]):
         if t is None:
             out[d] = None
             continue
         kept = []
         for line in t.split("\n"):
+            if not line.strip(" \t\n\v\f\r"):
+                kept.append(line)
+                continue
+            if line not in same and not (len(line) >= min_chars and any(near(line, s) for s in seen)):
+                kept.append(line)
+            same.add(line)
             if len(line) >= min_chars:
-                if not any(near(line, s) for s in seen):
-                    kept.append(line)
                 seen.append(line)
-            else:
-                kept.append(line)
         out[d] = "\n".join(kept)
     return out
 

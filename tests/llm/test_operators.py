@@ -174,6 +174,15 @@ def test_line_dedup(spark, docs):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    """Exact copies of short lines go whatever their length, one edit does not count there, blank lines stay."""
+    rows = [(1, "Read more\n\n}\nbody of one"), (2, "Read more\n \n\nRead mores\n}"), (3, "\u3000\nx\nx\n\t\n\u3000"),
+            (None, "x"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+    assert got == {None: "x", 1: rows[0][1], 2: " \n\nRead mores", 3: "\u3000\n\t", 4: None, 5: ""}
+
+
 def test_line_dedup_random_edits(spark):
     rnd, rows = random.Random(2), []
     base = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(24, 70))) for _ in range(12)]
