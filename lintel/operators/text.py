@@ -19,12 +19,13 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintel.functions.columns import KW_WORD, col_, normalize_text, strip_stopwords
 from lintel.operators.joins import attach_scalars
+from lintel.session import written
 
 SEP = "\u0001"  # encloses a run of non-word, non-space characters
 
@@ -191,7 +192,25 @@ def text_key(c: str | Column) -> Column:
 
 # ---------------------------------------------------------------- TF-IDF (T5)
 
-def tfidf_terms(docs: DataFrame, text: str, positive: str, n: int = 1, k: int = 250) -> DataFrame:
+def next_in_order(rows: DataFrame, order: Sequence[str], value: str, into: str) -> DataFrame:
+    """``rows`` with ``value`` of the next row in the global order of ``order`` (NULL in the last).
+
+    No task sees all rows: ranges of the order are stored with their number,
+    each range finds its own neighbours, and its last row takes the first value
+    of the next range that has rows; that table has one row a range.  The order
+    must be total for a defined result."""
+    ranges = (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("_range", F.spark_partition_id()))
+    ranges = written(ranges, "ranges")
+    firsts = ranges.groupBy("_range").agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_f"))
+    borders = firsts.select("_range", F.lead("_f").over(Window.orderBy("_range")).alias("_border"))
+    inside = F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("_range").orderBy(*order))
+    return (ranges.withColumn("_next", inside).join(F.broadcast(borders), "_range", "left")
+            .withColumn(into, F.coalesce("_next", "_border")["v"]).drop("_range", "_next", "_border"))
+
+
+def tfidf_terms(docs: DataFrame, text: str, positive: str, n: int = 1, k: int = 250,
+                joined_by: str | None = None) -> DataFrame:
     """T5: rank the terms of the positive class by TF-IDF.
 
     ``docs`` holds one row per distinct cleaned text with a boolean
@@ -199,8 +218,15 @@ def tfidf_terms(docs: DataFrame, text: str, positive: str, n: int = 1, k: int =
     occurrences over all positive texts (one vector); ``idf = ln((1+N) /
     (1+df)) + 1`` (smoothed, as the common vectoriser default); scores are
     L2-normalised; ties broken by term.  Terms are words of at least two
-    characters; with ``n = 2`` adjacent pairs inside one text.
+    characters; with ``n = 2`` adjacent pairs inside one text.  With
+    ``joined_by`` (a unique column) the positive texts are one text in that
+    order: pairs across a border count towards tf if some text holds the pair,
+    and texts without words are no border.
     """
+    if joined_by is not None:
+        if n != 2:
+            raise ValueError("only pairs cross borders")
+        docs = written(docs.select(joined_by, text, positive), "texts")      # read twice below
     toks = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), " "), lambda x: F.length(x) >= 2)
     if n == 1:
         grams = toks
@@ -224,20 +250,25 @@ def tfidf_terms(docs: DataFrame, text: str, positive: str, n: int = 1, k: int =
     # texts N, so N comes out of the same pass.
     runs = F.concat(runs, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(True).alias("first"))))
     g = docs.select(F.col(positive).alias("_pos"), F.explode(runs).alias("_r"))
-    counts = (g.select(F.col("_r.term").alias("term"), F.col("_r.first").cast("long").alias("_d"),
-                       F.col("_pos").cast("long").alias("_p"))
-              .groupBy("term").agg(F.sum("_d").alias("_df"), F.sum("_p").alias("_tf")))
+    seen = g.select(F.col("_r.term").alias("term"), F.col("_r.first").cast("long").alias("_d"),
+                    F.col("_pos").cast("long").alias("_p"))
+    if joined_by is not None:
+        ends = (docs.where(F.col(positive)).select(F.col(joined_by).alias("_o"), toks.alias("_t")).where(F.size("_t") > 0)
+                .select("_o", F.element_at("_t", 1).alias("_head"), F.element_at("_t", -1).alias("_tail")))
+        across = next_in_order(ends, ["_o"], "_head", "_follow").where("_follow is not null")
+        seen = seen.unionByName(across.select(F.concat("_tail", F.lit(" "), "_follow").alias("term"),
+                                              F.lit(0).cast("long").alias("_d"), F.lit(1).cast("long").alias("_p")))
+    counts = (seen.groupBy("term").agg(F.sum("_d").alias("_df"), F.sum("_p").alias("_tf")))
     # Vocabulary-sized; written once so the norm and the ranking below do not
     # both recompute the corpus pass.
     counts = counts.checkpoint(eager=True)
     n_docs = counts.filter(F.col("term").isNull()).select(F.col("_df").alias("_n"))
-    sc = attach_scalars(counts.filter(F.col("term").isNotNull() & (F.col("_tf") > 0)), n_docs)
+    sc = attach_scalars(counts.filter(F.col("term").isNotNull() & (F.col("_tf") > 0) & (F.col("_df") > 0)), n_docs)
     sc = sc.select("term", (F.col("_tf") * (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1)).alias("_s"))
     norm = sc.agg(F.sqrt(F.sum(F.col("_s") * F.col("_s"))).alias("_z"))
     top = attach_scalars(sc, norm).select("term", (F.col("_s") / F.col("_z")).alias("score"))
     top = top.orderBy(F.col("score").desc(), F.col("term")).limit(k)
     # Rank inside the k rows only (a bounded, single-partition window).
-    from pyspark.sql import Window
     return top.select(F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("term"))).alias("rank"),
                       "term", "score")
 

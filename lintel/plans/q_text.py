@@ -3,13 +3,12 @@ label selection and vectors over the driver's document tables."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import columns as C
 from lintel.functions.columns import KW_WORD, PY_SPACE, PY_WORD
-from lintel.operators import checks, rollups, text, vectors
+from lintel.operators import checks, nearest, needles, rollups, text, vectors
 from lintel.plans.common import SQL_FACT_A_CLEAN, fact_a_clean, r4, tables
 from lintel.plans.oracle_views import with_views
 from lintel.plans.registry import register
@@ -125,6 +124,23 @@ def any_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(text.contains_any("text", BASIC_KEYWORDS)).select("doc_id")
 
 
+# The words that a benchmark passage may be recognised by have at least so many letters.
+NEEDLE_LETTERS = 5
+
+
+@register("needle_hits", ("T4",), f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\pL{{{NEEDLE_LETTERS},}}')) AS w FROM benchmark)
+SELECT d.doc_id, count(*) AS n_needles, string_agg(w.w, ' ' ORDER BY w.w) AS needles
+FROM documents d JOIN w ON contains(d.text, w.w) GROUP BY d.doc_id""")
+def needle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every longer word of the benchmark passages as a needle: which of them each document holds, also inside words."""
+    t = tables(spark, sf_dir)
+    words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(rf"\pL{{{NEEDLE_LETTERS},}}"), 0)).alias("w"))
+    found = needles.needle_hits(t.documents, "doc_id", "text", needles.stated(words, "w"))
+    return found.select("doc_id", F.size("needles").cast("long").alias("n_needles"),
+                        F.array_join("needles", " ").alias("needles"))
+
+
 # ---------------------------------------------------------------- cleaning
 
 @register("text_concat_clean", ("P16", "P17"), f"""
@@ -159,20 +175,22 @@ def distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.counts_before_after(c, c.select("t").distinct())
 
 
-def _tfidf_sql(n: int) -> str:
+def _tfidf_sql(n: int, joined: bool = False) -> str:
     ctes = sql_clean_ctes("(SELECT d.*, coalesce(l.quality = 1, false) AS pos FROM documents d "
                           "LEFT JOIN labels l ON d.doc_id = l.doc_id)", "text", ", pos")
     if n == 1:
         grams = "list_filter(string_split(t, ' '), lambda x: length(x) >= 2)"
     else:
         grams = ("list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])")
+    across = " UNION ALL SELECT term FROM across WHERE term IS NOT NULL" if joined else ""
     return "WITH " + ",\n".join(ctes) + f""",
-dd AS (SELECT t, bool_or(pos) AS pos FROM stripped GROUP BY t),
-tk0 AS (SELECT t, pos, list_filter(string_split(t, ' '), lambda x: length(x) >= 2) AS tk FROM dd),
+dd AS (SELECT t, bool_or(pos) AS pos, min(doc_id) AS o FROM stripped GROUP BY t),
+tk0 AS (SELECT t, pos, o, list_filter(string_split(t, ' '), lambda x: length(x) >= 2) AS tk FROM dd),
 g AS (SELECT t, pos, {grams if n == 1 else grams} AS gr FROM tk0),
+across AS (SELECT tk[len(tk)] || ' ' || lead(tk[1]) OVER (ORDER BY o) AS term FROM tk0 WHERE pos AND len(tk) > 0),
 nd AS (SELECT count(*) AS n FROM dd),
 dfq AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT t, unnest(gr) AS term FROM g) GROUP BY term),
-tfq AS (SELECT term, count(*) AS tf FROM (SELECT unnest(gr) AS term FROM g WHERE pos) GROUP BY term),
+tfq AS (SELECT term, count(*) AS tf FROM (SELECT unnest(gr) AS term FROM g WHERE pos{across}) GROUP BY term),
 sc AS (SELECT tfq.term, tf * (ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1) AS s
        FROM tfq JOIN dfq ON tfq.term = dfq.term, nd),
 z AS (SELECT sqrt(sum(s * s)) AS z FROM sc),
@@ -181,10 +199,10 @@ SELECT CAST(row_number() OVER (ORDER BY score DESC, term) AS INTEGER) AS rank, t
 FROM top"""
 
 
-def _tfidf(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def _tfidf(spark: SparkSession, sf_dir: str, n: int, joined: bool = False) -> DataFrame:
     c = _cleaned_docs(spark, sf_dir)
-    dd = c.groupBy("t").agg(F.max("positive").alias("positive"))
-    out = text.tfidf_terms(dd, "t", "positive", n=n, k=250)
+    own = [F.max("positive").alias("positive")] + ([F.min("doc_id").alias("o")] if joined else [])
+    out = text.tfidf_terms(c.groupBy("t").agg(*own), "t", "positive", n=n, k=250, joined_by="o" if joined else None)
     return out.select("rank", "term", F.round("score", 6).alias("score"))
 
 
@@ -200,6 +218,13 @@ def tfidf_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tfidf(spark, sf_dir, 2)
 
 
+@register("tfidf_bigrams_joined", ("T5", "T6", "A13", "O2"), _tfidf_sql(2, joined=True))
+def tfidf_bigrams_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 250 word pairs of the positive documents joined to one text in
+    order of id: pairs across two documents count where a document holds them."""
+    return _tfidf(spark, sf_dir, 2, joined=True)
+
+
 # The scorer's label that marks a text as "about something else" (P9).
 FALSE_POSITIVE_LABEL = "short"
 
@@ -273,6 +298,38 @@ def similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+def _topk_sql(queries: str) -> str:
+    return f"""
+WITH q AS ({queries}),
+s AS (SELECT query, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), q.v) AS s FROM embeddings, q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query, rank, vec_id, round(s, 6) AS score FROM r WHERE rank <= 20"""
+
+
+def _top20(e: DataFrame, queries: DataFrame) -> DataFrame:
+    return nearest.top_k_many(e, "embedding", "vec_id", queries, 20).select(
+        "query", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@register("similarity_topk_many", ("T7", "O2"), _topk_sql(
+    "SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0"))
+def similarity_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors closest (dot product) to each vector whose id is divisible by 50, among all vectors."""
+    e = tables(spark, sf_dir).embeddings
+    return _top20(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec")))
+
+
+@register("similarity_topk_labels", ("T7", "A2", "O2"), _topk_sql("""
+  SELECT label AS query, list(m ORDER BY pos) AS v FROM (
+    SELECT label, pos, round(avg(CAST(x AS DOUBLE)), 6) AS m FROM (
+      SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings WHERE label IS NOT NULL)
+    GROUP BY label, pos) GROUP BY label"""))
+def similarity_topk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors closest (dot product) to the mean vector of each label."""
+    e = tables(spark, sf_dir).embeddings
+    return _top20(e, nearest.group_means(e, "embedding", "label"))
+
+
 @register("similarity_scores", ("T7", "J11"), """
 WITH q AS (SELECT CAST(min(embedding) AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), q.q), 6) AS score FROM embeddings, q""")
@@ -302,6 +359,3 @@ def vector_cache_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(path)
     return c.select("text_key", "n_chars", "n_words", "n_lines",
                     (F.col("batch") == F.lit(0)).alias("from_cache"))
-
-
-__all__ = ["pd"]
