@@ -69,9 +69,3 @@ def with_lags(df: DataFrame, keys: Sequence[str], time_col: str,
 def with_difference(df: DataFrame, col: str, lag_col: str, name: str) -> DataFrame:
     """First difference ``x - lag(x)``."""
     return df.withColumn(name, F.col(col) - F.col(lag_col))
-
-
-def group_means(df: DataFrame, key: str, cols: Sequence[str], prefix: str) -> DataFrame:
-    """Per-group means of ``cols`` (one row per group, a dimension-sized
-    table that is broadcast back when small)."""
-    return small(df.groupBy(key).agg(*[F.avg(c).alias(f"{prefix}{c}") for c in cols]))

@@ -8,8 +8,9 @@ as a parquet table under the session's shared checkpoint folder, partitioned
 by year, and every report reads it with column pruning, pushed filters and
 partition pruning — exactly how a report reads a warehouse table.
 
-The table path is keyed by the input folder and a hash of the package source,
-so a changed definition never reads a stale table.  A table is written to
+The table path is keyed by the input folder and a hash of the package source
+(the training-data operators aside), so a changed definition never reads a
+stale table within an application.  A table is written to
 a private temporary path and published with one directory rename, and is
 only read once its ``_SUCCESS`` marker exists, so a failed or lost writer
 (or two concurrent ones) never leaves a half table to read.
@@ -23,6 +24,7 @@ import uuid
 from functools import lru_cache
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,22 +45,33 @@ def _exists(spark, path: str) -> bool:
 
 
 def _publish(spark, tmp: str, path: str) -> None:
-    """Move a finished table into place with one directory rename; if another
-    writer got there first, its (identical) table is kept."""
+    """Move a finished table into place with one directory rename that fails
+    if the place is taken; then another writer's (identical) table is kept and
+    this one removed."""
     fs, src = _fs_path(spark, tmp)
     _, dst = _fs_path(spark, path)
+    src, dst = fs.makeQualified(src), fs.makeQualified(dst)
     fs.mkdirs(dst.getParent())
-    if not fs.rename(src, dst) and not _exists(spark, path):
-        raise RuntimeError(f"could not publish {path}")
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(src.toUri(), sc._jsc.hadoopConfiguration())
+    try:
+        context.rename(src, dst, sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if not _exists(spark, path):
+            raise RuntimeError(f"could not publish {path}") from e
+        fs.delete(src, True)
 
 
 @lru_cache(maxsize=1)
 def _package_digest() -> str:
-    """Hash of every source file of the package: any change to a definition
-    that a table depends on gives the table a new path."""
+    """Hash of every source file of the package but the training-data operators,
+    on which no table depends: any other change gives the tables new paths."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1()
     for dirpath, _dirs, names in sorted(os.walk(root)):
+        if os.path.relpath(dirpath, root).split(os.sep)[0] == "llm":
+            continue
         for n in sorted(names):
             if n.endswith(".py"):
                 with open(os.path.join(dirpath, n), "rb") as f:

@@ -3,6 +3,9 @@
 import json
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from lintel.operators import rollups
 from lintel.sources import files
 from lintel.sources.keywords import stopwords
@@ -65,3 +68,18 @@ def test_all_string_reader(spark, tmpdir_path):
     df = files.read_all_string(spark, path + ".csv", ["a", "b"])
     rows = [tuple(r) for r in df.collect()]
     assert rows == [("1", 'x, "y"'), (None, "NA")]
+
+
+def test_two_writers_publish_one_table(spark, tmpdir_path):
+    """The second writer of a path keeps the first one's table and leaves nothing inside it."""
+    from lintel.sources import warehouse
+    path = os.path.join(tmpdir_path, "facts", "table")
+    for n, rows in enumerate((3, 5)):
+        tmp = f"{path}.tmp-{n}"
+        spark.range(rows).withColumn("year", F.lit(n)).write.partitionBy("year").parquet(tmp)
+        warehouse._publish(spark, tmp, path)
+    assert spark.read.parquet(path).count() == 3
+    assert sorted(x for x in os.listdir(path) if not x.startswith(".")) == ["_SUCCESS", "year=0"]
+    assert not os.path.exists(f"{path}.tmp-1")
+    with pytest.raises(RuntimeError):
+        warehouse._publish(spark, os.path.join(tmpdir_path, "missing"), os.path.join(tmpdir_path, "other"))
