@@ -1,18 +1,23 @@
 """Main-text extraction by wrapper induction (operator 7).
 
 Each page is parsed into a tree and reduced to its skeleton: a node per tag
-path, siblings of one label merged, with a hash of the text.  For every host
-one page's skeleton is the reference, and all the host's pages are aligned to
-it by simple tree matching.  Counted over all pages that differ from the
-reference, near copies with equal main texts once, nodes whose text stays the
+path, siblings of one label merged, with a hash of the text.  A host's pages
+are grouped by layout, the labels at the first level with several elements.
+A layout with its share of the host's pages has a reference page of its own,
+all others take that of the host's most frequent layout, and the pages are
+aligned to their reference by simple tree matching.  Counted over all pages
+that differ from the reference, near copies with equal main texts once, nodes whose text stays the
 same become template, unless they lie in the main slot: the smallest container
 of all other text.  A page's text is read from its article (or main) element,
 else from its body, without the elements that markup itself declares to be
 something else (menus, headers, footers, asides, forms, adverts, notices,
 comments, scripts), and, outside an article element, without the blocks whose
-text on this page is the template's.
+text on this page is the template's.  A form or a class word declares that only
+where the structure agrees: not on what holds the main element or, without one,
+the title or most of the prose, not on headings, and within the main element
+only where the whole class name says so.
 
-The reference of a host is a grouped minimum and the counts are grouped sums,
+The reference of a layout is a grouped minimum and the counts are grouped sums,
 so both are combined before the shuffle; the joins by host are plain equi-joins
 whose hot partitions adaptive execution splits.
 
@@ -28,6 +33,7 @@ import hashlib
 import html as entities
 import json
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +43,7 @@ from lintel.llm.common import stored
 
 EVIDENCE = 4       # differing pages that must hold a node before it counts as template
 CONSTANT = 0.9     # share of them with the same text
+SHARE = 20         # a layout of its own has at least one of so many of its host's pages
 HEAVY = 0.5        # of a page's longest text: what its other main texts have at least
 ROWS = 256
 
@@ -59,11 +66,19 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"},
          "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}}
 # Elements, roles and class words that are never the article.
-ASIDE = RAW | set("nav footer aside form button select menu dialog head input label".split())
-ROLES = set("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form".split())
+ASIDE = RAW | set("nav footer aside button select menu dialog head input label".split())
+ROLES = set("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar".split())
 WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation
 breadcrumb breadcrumbs footer cookie cookies consent notice popup modal newsletter subscribe share sharing social
 comment comments disqus respond related recommended pagination pager""".split())
+LAYOUT = set("sidebar menu nav navbar navigation footer related recommended".split())   # words that wrappers carry too
+READERS = set("comment comments disqus respond".split())
+# Words that say nothing beside those in a class name.
+HELPERS = set("""area bar banner block body bottom box btn button buttons col column container content count desktop
+fixed form global group header heading icon icons inner item items left link links list local main meta mobile outer
+page panel post posts primary reply replies right row secondary section signup site slot sticky sub text thread title
+toggle top unit widget widgets wrap wrapper""".split())
+CONTAINERS = set("div section ul ol dl table tbody tr td span figure li a center details p form".split())
 TEASERS = set("teaser teasers card preview excerpt".split())
 HEADS = set("h1 h2 h3 h4 h5 h6".split())
 PAGE_HEADER = {"header", "site-header", "page-header", "masthead", "topbar"}
@@ -72,7 +87,7 @@ PAGE_HEADER = {"header", "site-header", "page-header", "masthead", "topbar"}
 class Node:
     """An element: its label, its children (elements and text) and what markup says of it."""
 
-    __slots__ = ("tag", "label", "kids", "aside", "main", "header", "other")
+    __slots__ = ("tag", "label", "kids", "aside", "soft", "words", "main", "header", "banner", "other")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.kids = tag, []
@@ -90,15 +105,38 @@ class Node:
                 main = main or v.lower() == "articlebody"
             elif k == "hidden" or k == "aria-hidden" and v.lower() == "true":
                 hidden = True
-        words = set(re.split(r"[\s_-]+", f"{name} {ident}"))
+        names = [_words(n) for n in name.split()]
+        told = [n for n in names if _says(n, WORDS)]
         self.header = tag == "header" or bool(PAGE_HEADER & {*name.split(), ident}) or role == "banner"
+        self.banner = role == "banner"
         self.main = main or role in ("main", "article")
-        self.other = bool((WORDS | TEASERS) & words)     # of an article: a comment or teaser
-        self.aside = tag in ASIDE or hidden or role in ROLES or bool(WORDS & words) and not self.main
+        # of an article: a comment or teaser
+        self.other = any(_says(n, WORDS | TEASERS) for n in [*names, _words(ident)])
+        self.aside = tag not in ("html", "body") and (tag in ASIDE or hidden or role in ROLES)
+        # what the structure must agree with: "name", "id", "part" of a name, "form", from strong to weak
+        self.soft, self.words = "", set().union(*told)
+        if tag in CONTAINERS and not self.main and not self.aside:
+            if told and (tag != "p" or len(names) == 1):
+                self.soft = "name"
+            elif tag != "p" and _says(_words(ident), WORDS):
+                self.soft, self.words = "id", _words(ident)
+            elif tag == "form" or role == "form":
+                self.soft = "form"
+            elif tag != "p" and any(WORDS & n for n in names):
+                self.soft = "part"
         kind = re.sub(r"\d+", "", " ".join(sorted(name.split())[:2]) + ("#" + ident if ident else ""))
         self.label = f"{tag} {kind}".strip()
 
 
+def _words(name: str) -> set[str]:
+    return {w for w in re.split(r"[\s_\d-]+", name) if w}
+
+
+def _says(words: set[str], known: set[str]) -> bool:
+    """Whether a name says one of the known words and nothing else."""
+    return bool(words & known) and words <= known | HELPERS
+
+
 def parse(html: str) -> Node:
     """A forgiving parse: raw elements, void elements and implied end tags are known."""
     root = Node("html")
@@ -108,7 +146,7 @@ def parse(html: str) -> Node:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             if word[0] != "<" or word == "<":
-                stack[-1].kids.append(word)
+                stack[-1].kids.append(entities.unescape(word))
             continue
         if m[1] or m[4]:
             for k in range(len(stack) - 1, 0, -1):
@@ -129,9 +167,80 @@ def parse(html: str) -> Node:
             at = end.end() if end else len(html)
         elif tag not in VOID and not word.endswith("/>"):
             stack.append(node)
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Decides by structure which forms and class words make asides, and which headers are the content's."""
+    order, up, todo = [], {}, [root]
+    while todo:                                  # page order, without what is an aside anyway
+        node = todo.pop()
+        order.append(node)
+        for k in reversed(node.kids):
+            if isinstance(k, Node) and not k.aside:
+                up[id(k)] = node
+                todo.append(k)
+    prose, title, blocks = {}, {}, {}            # characters outside links; holds an h1; holds a paragraph or heading
+    for node in reversed(order):
+        inner = [k for k in node.kids if isinstance(k, Node) and not k.aside]
+        own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        prose[id(node)] = 0 if node.tag == "a" else own + sum(prose[id(k)] for k in inner)
+        title[id(node)] = node.tag == "h1" or any(title[id(k)] for k in inner)
+        blocks[id(node)] = node.tag == "p" and own > 0 or node.tag in HEADS or any(blocks[id(k)] for k in inner)
+
+    def softs(node):
+        out = []
+        while node is not None:
+            if node.soft:
+                out.append(node)
+            node = up.get(id(node))
+        return out
+
+    def within(node):
+        while (node := up.get(id(node))) is not None:
+            if node.main and not node.other:
+                return True
+        return False
+
+    mains = sorted((n for n in order if n.main and not n.other and prose[id(n)]), key=lambda n: -prose[id(n)])
+    if mains:                                    # open what holds them, from outside, until one stands free
+        while all(softs(m) for m in mains):
+            softs(mains[0])[-1].soft = ""
+    for node in order:
+        if not node.soft:
+            continue
+        node.aside = True
+        if within(node):
+            node.aside = node.soft in ("name", "form") or node.soft == "id" and bool(node.words & READERS)
+        elif not mains and 2 * prose[id(node)] >= prose[id(root)] and blocks[id(node)]:
+            node.aside = node.soft in ("name", "id") and not node.words & LAYOUT and not title[id(node)]
+
+    heads = {id(n): n for n in order if n.header and not n.banner and n is not root}
+    free = any(n.tag == "h1" and not _below(n, heads, up) for n in order)
+    for node in heads.values():
+        beside = [k for k in up[id(node)].kids if isinstance(k, Node) and k is not node]
+        held, todo = {node.tag}, [node]
+        while todo:
+            for k in todo.pop().kids:
+                if isinstance(k, Node):
+                    held.add(k.tag)
+                    todo.append(k)
+        text = any(k.tag == "p" for k in beside) or up[id(node)].tag not in ("html", "body") and not any(
+            k.tag in ("nav", "footer", "aside") or k.header for k in beside) and any(
+            isinstance(x, Node) and x.tag == "p" for k in beside for x in k.kids)
+        if held & HEADS and "nav" not in held and text and not free:
+            node.header = False
+
+
+def _below(node: Node, heads: dict[int, Node], up: dict[int, Node]) -> bool:
+    while node is not None:
+        if id(node) in heads:
+            return True
+        node = up.get(id(node))
+    return False
+
+
 def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in tags:
@@ -236,6 +345,16 @@ def match(a: list[list], b: list[list]) -> dict[int, int]:
     return out
 
 
+def frame(rows: list[list]) -> str:
+    """The page's layout: a mark of the labels at the first level with several elements, ids left out."""
+    kids, at = tree(rows), 0
+    while len(kids[at]) == 1:
+        at = kids[at][0]
+    told = [rows[at][1], *[rows[k][1] for k in kids[at]]]
+    return hashlib.blake2b("\n".join(t.split("#")[0].strip() for t in told).encode("utf-8", "surrogatepass"),
+                           digest_size=8).hexdigest()
+
+
 def strange(page: list[list], found: dict[int, int]) -> dict[int, int]:
     """Length of the page's text outside asides that no reference node matches, by the place of what holds it."""
     out, path = {}, []
@@ -302,16 +421,17 @@ def template_places(rows: list[list], kids: list[list[int]], votes: dict) -> lis
 
 # ----------------------------------------------------------------- reading
 
-def read_text(root: Node, template: list[list] | None, constant: set[int]) -> str:
-    """The page's text without its template's."""
+def read_text(root: Node, layouts: dict) -> str:
+    """The page's text without its template's; ``layouts`` as :func:`induce` makes them."""
     drop, top = set(), skeleton(root)
-    if template and constant:
+    if layouts:
         rows, order, todo = flat(top), [], [top]
+        template, constant = layouts.get(frame(rows)) or layouts.get("") or ([], [])
         while todo:
             b = todo.pop()
             order.append(b)
             todo += reversed(b.kids.values())
-        found = match(template, rows)
+        found = match(template, rows) if constant else {}
         drop = _equal_blocks(top, {id(order[found[i]]) for i in constant
                                    if i in found and rows[found[i]][2] == template[i][2]})
     # the markup's own article, in all its parts
@@ -383,7 +503,7 @@ def _blocks(start: Node, bone: Bone, drop: set[int], inside: bool, out: list[str
     held: list[str] = []
 
     def flush():
-        text = " ".join(entities.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         if text:
             out.append(text)
         held.clear()
@@ -426,7 +546,11 @@ def _host(col: str):
 
 
 def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): the reference skeleton and its template nodes, as JSON."""
+    """(host, wrapper): by layout, the reference skeleton and its template nodes, as compressed JSON.
+
+    The layout "" is for pages whose own layout has no reference.  A host has at
+    most ``SHARE`` layouts besides.
+    """
     src = pages.where(_host(url_col).isNotNull()).select(
         _host(url_col).alias("host"), F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     kind = src.schema["id"].dataType.simpleString()
@@ -436,21 +560,36 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
                 rows = [flat(skeleton(parse(h or ""))) for h in part.column(2).to_pylist()]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([main_text(r) for r in rows]),
-                                       pa.array([json.dumps(r) for r in rows])], ["host", "id", "main", "skel"])
-
-    skels = stored(src.mapInArrow(bones, f"host string, id {kind}, main string, skel string"), "skeletons")
-    refs = skels.groupBy("host").agg(F.min(F.struct("id", "skel")).alias("r"), F.count("*").alias("n")) \
-        .where("n > 1").select("host", F.col("r.skel").alias("ref"))
-
-    voters = skels.groupBy("host", "main").agg(F.min(F.struct("id", "skel")).alias("r")) \
-        .select("host", F.col("r.skel").alias("skel"))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([frame(r) for r in rows]),
+                                       pa.array([main_text(r) for r in rows]),
+                                       pa.array([json.dumps(r) for r in rows])], ["host", "id", "frame", "main", "skel"])
+
+    skels = stored(src.mapInArrow(bones, f"host string, id {kind}, frame string, main string, skel string"),
+                   "skeletons")
+    # copies count once, here and as voters
+    sizes = skels.groupBy("host", "frame", "main").agg(F.count("*").alias("rows")).groupBy("host", "frame").agg(
+        F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    hosts = sizes.groupBy("host").agg(F.sum("n").alias("all"), F.sum("rows").alias("rows"),
+                                      F.max(F.struct("n", "frame")).alias("top")).where("rows > 1")
+    layouts = stored(sizes.drop("rows").join(hosts, "host").select(
+        "host", "frame", (F.col("n") * 2 >= F.col("all")).alias("most"),
+        F.when((F.col("n") > EVIDENCE) & (F.col("n") * SHARE >= F.col("all")), F.col("frame"))
+        .otherwise(F.col("top.frame")).alias("layout"), F.col("top.frame").alias("common"), "n", "all"), "layouts")
+    # a layout that most pages have is judged by its own pages, else a host's other pages help the common one
+    big = layouts.where("frame = common").select("host", (F.col("most") & (F.col("n") > EVIDENCE)).alias("alone"))
+    placed = skels.join(layouts.select("host", "frame", "layout", "common"), ["host", "frame"])
+    refs = placed.where("frame = layout").groupBy("host", "layout").agg(F.min(F.struct("id", "skel")).alias("r"),
+                                                                        F.first("common").alias("common")) \
+        .select("host", "layout", F.col("r.skel").alias("ref"), (F.col("common") == F.col("layout")).alias("common"))
+    voters = (placed.join(big, "host").where("frame = layout or not alone")
+              .groupBy("host", "layout", "main").agg(F.min(F.struct("id", "skel")).alias("r"))
+              .select("host", "layout", F.col("r.skel").alias("skel")))
 
     def align(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
-                cols: list[list] = [[] for _ in range(5)]
-                for host, skel, ref in zip(*[batch.slice(k, ROWS).column(c).to_pylist() for c in range(3)]):
+                cols: list[list] = [[] for _ in range(6)]
+                for host, layout, skel, ref in zip(*[batch.slice(k, ROWS).column(c).to_pylist() for c in range(4)]):
                     a, b = json.loads(ref), json.loads(skel)
                     if [r[2] for r in a] == [r[2] for r in b]:
                         continue                      # the same page again says nothing
@@ -458,29 +597,47 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                     other = strange(b, {j: i for i, j in found.items()})
                     for i, j in found.items():
                         same = a[i][2] == b[j][2]
-                        for c, v in zip(cols, (host, i, int(same), 0 if same or b[j][5] else b[j][3],
+                        for c, v in zip(cols, (host, layout, i, int(same), 0 if same or b[j][5] else b[j][3],
                                                other.get(i, 0))):
                             c.append(v)
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                      ["host", "place", "same", "varying", "other"])
+                                      ["host", "layout", "place", "same", "varying", "other"])
 
-    votes = (voters.join(refs, "host").select("host", "skel", "ref")
-             .mapInArrow(align, "host string, place int, same long, varying long, other long")
-             .groupBy("host", "place").agg(F.count("*").alias("n"), F.sum("same").alias("same"),
-                                           F.sum("varying").alias("varying"), F.sum("other").alias("other"))
-             .groupBy("host").agg(F.collect_list(F.struct("place", "n", "same", "varying", "other")).alias("votes")))
+    votes = (voters.join(refs, ["host", "layout"]).select("host", "layout", "skel", "ref")
+             .mapInArrow(align, "host string, layout string, place int, same long, varying long, other long")
+             .groupBy("host", "layout", "place").agg(
+                 F.count("*").alias("n"), F.sum("same").alias("same"), F.sum("varying").alias("varying"),
+                 F.sum("other").alias("other"))
+             .groupBy("host", "layout").agg(
+                 F.collect_list(F.struct("place", "n", "same", "varying", "other")).alias("votes")))
 
     def settle(batches):
         for batch in batches:
-            hosts, out = batch.column(0), []
-            for ref, votes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            out = []
+            for layout, ref, common, votes in zip(*[batch.column(c).to_pylist() for c in range(1, 5)]):
                 rows = json.loads(ref)
-                out.append(json.dumps({"ref": rows, "template": template_places(
-                    rows, tree(rows), {v["place"]: v for v in votes})}))
-            yield pa.record_batch([hosts, pa.array(out, pa.string())], ["host", "wrapper"])
+                places = template_places(rows, tree(rows), {v["place"]: v for v in votes})
+                slim = [[r[0], r[1], r[2] if i in places else ""] for i, r in enumerate(rows)]
+                out.append(json.dumps([layout, common, slim, places]))
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], ["host", "part"])
 
-    return refs.join(votes, "host").select("host", "ref", "votes").mapInArrow(settle, "host string, wrapper string")
+    def gather(batches):
+        for batch in batches:
+            out = []
+            for parts in batch.column(1).to_pylist():
+                told = {}
+                for layout, common, rows, places in sorted(json.loads(p) for p in parts):
+                    told[layout] = rows, places
+                    if common:
+                        told[""] = rows, places
+                out.append(zlib.compress(json.dumps(told).encode()))
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["host", "wrapper"])
+
+    return (refs.join(votes, ["host", "layout"]).select("host", "layout", "ref", "common", "votes")
+            .mapInArrow(settle, "host string, part string")
+            .groupBy("host").agg(F.collect_list("part").alias("parts"))      # at most SHARE + 1
+            .mapInArrow(gather, "host string, wrapper binary"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -498,9 +655,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 for page, wrapper in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     if wrapper not in memo:
                         memo.clear()
-                        w = json.loads(wrapper) if wrapper else {}
-                        memo[wrapper] = w.get("ref"), set(w.get("template", ()))
-                    texts.append(read_text(parse(page), *memo[wrapper]) if page else "")
+                        memo[wrapper] = json.loads(zlib.decompress(wrapper)) if wrapper else {}
+                    texts.append(read_text(parse(page), memo[wrapper]) if page else "")
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())],
                                       ["id", "url", "text"])
 

@@ -377,3 +377,40 @@ def test_pipeline_keeps_columns(spark, docs):
         d = common.stored(stage(spark, d, ""), name)
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert d.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, d, "").count() >= d.count()
+
+
+def test_main_text_structure_over_words():
+    p = "<p>long words of the main text here</p><p>and more of them</p>"
+    want = "T\nlong words of the main text here\nand more of them"
+
+    def read(h):
+        return html.read_text(html.parse(h), {})
+
+    for page_ in (f"<body class='has-sidebar'><h1>T</h1>{p}</body>",
+                  f"<div class='with-sidebar layout'><h1>T</h1>{p}</div>",
+                  f"<form action=x><h1>T</h1>{p}<input name=a><button>Go</button></form>",
+                  f"<form><article><h1>T</h1>{p}</article></form>",
+                  f"<div class='menu'><article><h1>T</h1>{p}</article></div>",
+                  f"<div class=post><header><h1>T</h1></header>{p}</div>",
+                  f"<header><h1>Site</h1></header><div><h1>T</h1>{p}</div>",
+                  f"<div id=sidebar><p>x</p></div><h1>T</h1>{p}<div class='comments-area'><p>{'me too ' * 90}</p></div>",
+                  f"<div class=sidebar><article>{'a teaser ' * 40}</article></div><article><h1>T</h1>{p}</article>",
+                  f"<article><h1>T</h1>{p}<form><input>Name</form><div id='comments'>hi</div><p class=ad>buy</p></article>"):
+        assert read(page_) == want, page_
+    # class and id words of the article's own parts
+    assert read("<article><h2 id='related-work'>a</h2><section id='menu-prices'><p>b</p></section><p class='share-price'>"
+                "c</p><p class='social history'>d</p><div id='comment-policy'>e</div></article>") == "a\nb\nc\nd\ne"
+    # references are decoded within their own text node
+    assert read("<p>a &<b>lt;</b> b &amp; c &lt; d</p>") == "a &lt; b & c < d"
+    assert read("<div class='ad'><p>buy</p></div>") == read("<nav>a</nav><footer>b</footer>") == ""
+
+
+def test_main_text_of_hosts_with_an_odd_first_page(spark):
+    body = "<div class='slogan'>All of us</div><div class='post'><h1>T{0}</h1><p>story {0}</p></div><div class='legal'>(c)</div>"
+    odd = ("http://o.org/login", "<html><body><div class='login'><p>Please sign in</p></div></body></html>")
+    got = texts_of(spark, [odd] + [page("o.org", body.format(i)) for i in range(10)])
+    assert got == ["Please sign in"] + [f"T{i}\nstory {i}" for i in range(10)]
+    # two layouts of one host, each with its own template
+    got = texts_of(spark, [page("w.org", (body if i % 2 else "<div class='x'>Lab</div><section><h1>N{0}</h1></section>")
+                                .format(i)) for i in range(16)])
+    assert got == [f"T{i}\nstory {i}" if i % 2 else f"N{i}" for i in range(16)]
