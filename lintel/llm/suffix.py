@@ -41,7 +41,7 @@ from lintel.llm.common import freeing, shuffle_width, stored
 from lintel.llm.shingles import range_hashes
 
 LENGTH, GRAM = 100, 32
-SORT = 1 << 21
+SORT = 1 << 19       # bytes of segments sorted together
 TEXT = 1 << 20        # starts of a long text that are looked at together
 ROWS = 256
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -327,10 +327,13 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
                     firsts.append(np.full(len(parts[-1]), struct.unpack_from("<q", data)[0]))
         if not parts:
             return
-        rows = np.concatenate(parts)
-        uids = np.concatenate(firsts) + rows["u"]
+        rows, uids = np.concatenate(parts), np.concatenate(firsts)
+        parts.clear()
+        firsts.clear()
+        uids += rows["u"]
         p = _by_order(rows, uids)
         rows, uids = rows[p], uids[p]
+        del p
         same = _equal(rows, "h", "l", "s")
         for mark in (True, False):
             if mark:
