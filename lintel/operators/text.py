@@ -285,6 +285,15 @@ def length_scorer(texts: pd.Series) -> pd.DataFrame:
                          "zs_score": n / (n + 1000.0)})
 
 
+BRIEF = 22            # characters under which the second stand-in scorer takes a text as off topic
+
+
+def brief_scorer(texts: pd.Series) -> pd.DataFrame:
+    """Deterministic stand-in scorer for titles: ``short`` under ``BRIEF`` characters."""
+    n = texts.str.len().astype("float64")
+    return pd.DataFrame({"zs_label": ["long" if x >= BRIEF else "short" for x in n], "zs_score": n / (n + BRIEF)})
+
+
 SCORE_SCHEMA = "text_key string, zs_label string, zs_score double"
 
 

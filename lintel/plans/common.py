@@ -62,10 +62,10 @@ def r6(c):
 # map → conditional publisher filter → drop unmapped → names normalised →
 # aggregate → recipient code resolution.
 
-def b_repaired(t: Tables) -> DataFrame:
-    """P13 + P14 on fact B's publisher key."""
+def b_repaired(t: Tables, fact: DataFrame | None = None) -> DataFrame:
+    """P13 + P14 on the publisher key of fact B, or of the rows of it in ``fact``."""
     from lintel.functions.columns import repair_from_prefix, unicode_trim
-    fb = views.fact_b_table(t)
+    fb = views.fact_b_table(t) if fact is None else fact
     return fb.withColumn("reporting_org_ref",
                          unicode_trim(repair_from_prefix("reporting_org_ref", "iati_identifier", REPAIR_RULES)))
 
@@ -77,11 +77,11 @@ def mapping_clean(t: Tables) -> DataFrame:
             .withColumn("donor_name", hspace_to_space("donor_name")))
 
 
-def b_split(t: Tables) -> DataFrame:
+def b_split(t: Tables, fact: DataFrame | None = None) -> DataFrame:
     """J4 split, then P8 and the unmapped-row drop (after the split)."""
     from lintel.functions.columns import conditional_keep
     from lintel.operators.joins import split_values
-    s = split_values(b_repaired(t), mapping_clean(t), "reporting_org_ref", ["x_transaction_value_usd"])
+    s = split_values(b_repaired(t, fact), mapping_clean(t), "reporting_org_ref", ["x_transaction_value_usd"])
     return (s.filter(conditional_keep("reporting_org_ref", "funding_orgs", PUBLISHER_RULES))
             .filter(F.col("donor_code").isNotNull()))
 
@@ -95,10 +95,10 @@ def b_agg(t: Tables) -> DataFrame:
     return materialized(t, "b_agg", _b_agg)
 
 
-def _b_agg(t: Tables) -> DataFrame:
+def _b_agg(t: Tables, fact: DataFrame | None = None) -> DataFrame:
     from lintel.operators.joins import recode_via_lookups
     from lintel.operators.rollups import sum_by
-    s = b_split(t).withColumn("v", F.col("x_transaction_value_usd") / 1e6)
+    s = b_split(t, fact).withColumn("v", F.col("x_transaction_value_usd") / 1e6)
     agg = sum_by(s, ["donor_code", "donor_name", "x_transaction_year", "x_recipient_code", "x_sector_code"],
                  {"usd_disbursement_iati": "v"})
     spark = t.spark
@@ -114,10 +114,10 @@ def _b_agg(t: Tables) -> DataFrame:
                       "usd_disbursement_iati")
 
 
-def a_agg(t: Tables) -> DataFrame:
+def a_agg(t: Tables, fact: DataFrame | None = None) -> DataFrame:
     """Fact A summed per (donor, year, recipient, sector=purpose code)."""
     from lintel.operators.rollups import sum_by
-    fa = fact_a_clean(t).withColumn("sector_code", F.col("purpose_code"))
+    fa = (fact_a_clean(t) if fact is None else fact).withColumn("sector_code", F.col("purpose_code"))
     return sum_by(fa, ["donor_code", "donor_name", "year", "recipient_iso3_code", "sector_code"],
                   {"usd_disbursement_crs": "usd_disbursement"})
 

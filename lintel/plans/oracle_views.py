@@ -64,7 +64,9 @@ fact_b AS (
          pt.types[1 + o.o_custkey % nullif(len(pt.types), 0)] AS x_sector_code,
          CASE WHEN o.o_orderkey % 97 = 0 THEN CAST(900 + nc.n_regionkey AS VARCHAR)
               ELSE nc.iso2 END AS x_recipient_code,
-         o.o_totalprice AS x_transaction_value_usd
+         o.o_totalprice AS x_transaction_value_usd,
+         lower(c.c_mktsegment) || ' ' || pt.types[1 + o.o_custkey % nullif(len(pt.types), 0)] || ' '
+           || o.o_orderpriority AS x_description
   FROM orders o
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation_codes nc ON c.c_nationkey = nc.n_nationkey

@@ -47,8 +47,12 @@ def keyword_panel(t: Tables, materialize: bool = False) -> DataFrame:
     if materialize:
         from lintel.sources.warehouse import materialized
         return materialized(t, "keyword_panel", lambda tt: keyword_panel(tt, materialize=False))
-    m = merged_panel(t)
-    p0 = rollups.sum_by(m, ["year", "recipient_iso3_code"], {CRS: CRS, IATI: IATI})
+    return lagged_panel(merged_panel(t))
+
+
+def lagged_panel(merged: DataFrame) -> DataFrame:
+    """The dense, lagged recipient × year panel of a reconciled table."""
+    p0 = rollups.sum_by(merged, ["year", "recipient_iso3_code"], {CRS: CRS, IATI: IATI})
     d = panel.densify(p0, ["recipient_iso3_code"], "year", [CRS, IATI])
     d = panel.with_lags(d, ["recipient_iso3_code"], "year", [CRS, IATI])
     return panel.with_difference(d, IATI, f"{IATI}_t1", "delta_iati")
@@ -178,7 +182,11 @@ _NOW_SQL, _NOW_LAST = _predict_sql("kpanel", _M2_LAST, "kp")
 
 def nowcast(t: Tables) -> DataFrame:
     """Panel rows with fit/lwr/upr; A replaced by the fit in the nowcast year."""
-    p = keyword_panel(t, materialize=True)
+    return nowcast_of(keyword_panel(t, materialize=True))
+
+
+def nowcast_of(p: DataFrame) -> DataFrame:
+    """:func:`nowcast` of a stored panel."""
     model = keyword_model(p, NOWCAST_YEAR)
     pred = ols.predict(p, model, XS)
     return pred.withColumn(CRS, F.when(F.col("year") == NOWCAST_YEAR, F.col("fit")).otherwise(F.col(CRS)))

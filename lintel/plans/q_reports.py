@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lintel.functions import columns as C
 from lintel.operators import joins, rollups, text
 from lintel.operators.joins import attach_scalars, dedupe_lookup, lookup_left
+from lintel.plans import q_rollups  # noqa: F401  (the bundle names its queries)
 from lintel.plans.common import (DEFLATORS, NOWCAST_YEAR, SECTOR_DEFINITION, SQL_FACT_A_CLEAN, fact_a_clean, r4,
                                  tables)
 from lintel.plans.oracle_views import VIEWS
@@ -53,9 +54,13 @@ def deflator_factor(t: Tables) -> DataFrame:
 def modelled_rows(t: Tables) -> DataFrame:
     """Nowcast-year rows: fit and band deflated (P11, J11) and clamped at 0
     (P10, all three measures)."""
-    n = nowcast(t).filter(F.col("year") == NOWCAST_YEAR)
-    n = attach_scalars(n, deflator_factor(t))
-    return n.select("recipient_iso3_code", "year",
+    return deflated(t, nowcast(t).filter(F.col("year") == NOWCAST_YEAR), "recipient_iso3_code", "year")
+
+
+def deflated(t: Tables, fitted: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and the deflated, clamped value and band of fitted rows."""
+    n = attach_scalars(fitted, deflator_factor(t))
+    return n.select(*keys,
                     C.clamp_nonneg(C.scale("fit", "f")).alias("v"),
                     C.clamp_nonneg(C.scale("lwr", "f")).alias("lo"),
                     C.clamp_nonneg(C.scale("upr", "f")).alias("hi"))

@@ -108,6 +108,7 @@ def fact_b(t: Tables) -> DataFrame:
         purpose.alias("x_sector_code"),
         F.when(ok % 97 == 0, region_code).otherwise(F.col("iso2")).alias("x_recipient_code"),
         F.col("o_totalprice").alias("x_transaction_value_usd"),
+        F.concat(F.lower("c_mktsegment"), F.lit(" "), purpose, F.lit(" "), F.col("o_orderpriority")).alias("x_description"),
     )
 
 
