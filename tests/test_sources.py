@@ -83,3 +83,26 @@ def test_two_writers_publish_one_table(spark, tmpdir_path):
     assert not os.path.exists(f"{path}.tmp-1")
     with pytest.raises(RuntimeError):
         warehouse._publish(spark, os.path.join(tmpdir_path, "missing"), os.path.join(tmpdir_path, "other"))
+
+
+def test_partitioned_tables_are_built_in_bounded_tasks(spark, tmpdir_path, monkeypatch):
+    """Shuffle partitions follow the input, rows are not sorted by partition value, the session's settings come back."""
+    from pyspark.sql import DataFrameWriter
+
+    from lintel.sources import warehouse
+    from lintel.sources.tables import Tables
+
+    spark.range(1000).selectExpr("id AS c_custkey", "id % 7 AS y").write.parquet(f"{tmpdir_path}/customer.parquet")
+    size, files = "spark.sql.shuffle.partitions", "spark.sql.maxConcurrentOutputFileWriters"
+    was, seen, parquet = [spark.conf.get(k, None) for k in (size, files)], [], DataFrameWriter.parquet
+
+    def spied(self, *args, **kwargs):
+        seen.append([spark.conf.get(k) for k in (size, files)])
+        return parquet(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    monkeypatch.setattr(warehouse, "PARTITION_BYTES", 100, raising=False)
+    got = warehouse.materialized(Tables(spark, tmpdir_path), "bounded", lambda t: t.customer, partition_by=["y"])
+    assert int(seen[0][0]) > int(was[0]) and seen[0][1] == "16"
+    assert [spark.conf.get(k, None) for k in (size, files)] == was
+    assert got.groupBy("y").count().count() == 7 and got.count() == 1000
