@@ -23,6 +23,7 @@ from lintel.plans.q_reports import (_QS, LWR, MEASURE, SQL_DEFL, SQL_MODELLED, S
                                     UPR, _sql_kw, deflated, recipient_name_lookup)
 from lintel.plans.q_text import FACT_TEXT, FALSE_POSITIVE_LABEL
 from lintel.plans.registry import register
+from lintel.session import written
 from lintel.sources import views
 from lintel.sources.keywords import FACT_KEYWORDS
 from lintel.sources.tables import Tables
@@ -36,9 +37,11 @@ def kept_rows(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Rows that hold a keyword and are no false positives.
 
     Fields that are NULL do not match; the text that is scored is the row's
-    fields joined by one blank, without the NULL ones.
+    fields joined by one blank, without the NULL ones.  The rows with a
+    keyword are written once: scoring and joining back read only them.
     """
     hits = text.screen(rows, fields, FACT_KEYWORDS).withColumn("_text", F.concat_ws(" ", *fields))
+    hits = written(hits, "hits")
     scored = text.join_back(hits, "_text", text.score_distinct(hits, "_text", text.brief_scorer))
     return scored.where(~C.flag_from_label("zs_label", FALSE_POSITIVE_LABEL)).select(*rows.columns)
 

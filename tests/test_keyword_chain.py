@@ -31,3 +31,11 @@ def test_bands_of_the_comparison(spark):
         assert all(a <= b <= c for a, b, c in v)
     assert any(r["usd_disbursement_lwr_keyword"] < r["usd_disbursement_deflated_keyword"] < r["usd_disbursement_upr_keyword"]
                for r in rows)
+
+
+def test_rows_are_screened_once(spark):
+    """What follows the screening reads the written rows, not the texts again."""
+    rows = [(i, "red", "a household in the far north") for i in range(3)]
+    df = spark.createDataFrame(rows, "id int, title string, descr string")
+    plan = q_keyword.kept_rows(df, ["title", "descr"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "Generate" not in plan
