@@ -158,3 +158,37 @@ def test_keywords_with_punctuation(spark):
     assert sorted((r.id, r.word) for r in hits.collect()) == [
         (1, "low-cost"), (2, "low cost"), (3, "l'habitat rural")]
     assert [r.id for r in text.screen(df, ["t"], ["low-cost"]).collect()] == [1]
+
+
+def test_only_texts_with_a_keyword_are_cut(spark):
+    df = spark.createDataFrame([(1, "a LOW-cost slum"), (2, "low - cost"), (3, "lowland costs"), (4, None)], "id long, t string")
+    out = text.screen(df, ["t"], ["low-cost"])
+    assert [r.id for r in out.collect()] == [1]
+    assert "contains(lower(t" in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_terms_are_computed_once(spark):
+    """A text is split, and its terms sorted, once, without a comparing lambda; only the positive vocabulary is kept."""
+    docs = spark.createDataFrame([("aa bb aa bb", True), ("bb aa cc", False), ("", True)], "t string, p boolean")
+    from lintel.operators import text as ops
+    plans, was = [], ops.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return was(df, name)
+
+    ops.written = seen
+    try:
+        got = {r.term: r.rank for r in ops.tfidf_terms(docs, "t", "p", n=2, k=9).collect()}
+    finally:
+        ops.written = was
+    assert set(got) == {"aa bb", "bb aa"}
+    assert plans[-1].count("split(") == 1 and "array_sort" not in plans[-1] and plans[-1].count("sort_array") == 1
+
+
+def test_join_back_reads_rows_once_more_without_hot_texts(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i int, t string")
+    scores = text.score_distinct(df, "t", text.length_scorer)
+    out = text.join_back(df, "t", scores)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    assert sorted((r.i, r.zs_label) for r in out.collect()) == [(1, "short"), (2, "short"), (3, None)]
