@@ -39,11 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import components, freeing, stored
+from lintel.llm.common import MOVES, components, freeing, stored
 from lintel.llm.shingles import shingle_hashes
 
 SMALL = 64          # classes of a region that is compared in full
 BROADCAST_ROWS = 1 << 21     # ids (8 bytes each) that may go to every task
+PAIRS = 1 << 11     # pairs of whole sets that one task compares at least
 STARS = 4           # star rounds before and after the small regions
 BITS = ["b0", "b1", "b2", "b3"]     # parities of the shingles in 256 buckets
 ROWS = 256
@@ -122,8 +123,8 @@ def _sets(docs: DataFrame, sig: DataFrame, ids: DataFrame, words: int, id_col: s
     return met.select("uid", "text").mapInArrow(run, "uid long, n long, set binary")
 
 
-def _pairwise(pairs: DataFrame, values: DataFrame, keeps) -> DataFrame:
-    """The pairs (a, b) whose values (uid, n, v: bytes) pass ``keeps(n, v, n, v)``."""
+def _pairwise(pairs: DataFrame, values: DataFrame, keeps, tasks: int) -> DataFrame:
+    """The pairs (a, b) whose values (uid, n, v: bytes) pass ``keeps(n, v, n, v)``, by so many tasks at most."""
     @freeing
     def run(batches):
         for batch in batches:
@@ -133,7 +134,7 @@ def _pairwise(pairs: DataFrame, values: DataFrame, keeps) -> DataFrame:
     one = values.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
     two = values.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
     return (pairs.join(one, "a").join(two, "b").select("a", "b", "na", "va", "nb", "vb")
-            .mapInArrow(run, "a long, b long"))
+            .coalesce(tasks).mapInArrow(run, "a long, b long"))
 
 
 def _ceil(x: str, num: int, den: int) -> str:
@@ -153,11 +154,12 @@ class _Join:
         members = members.drop("label")
         if self.comp is None:
             return members.withColumn("label", F.col("uid"))
-        x = (members.join(self.comp.withColumnRenamed("node", "uid"), "uid", "left")
+        comp = self.comp.withColumnRenamed("node", "uid")
+        x = (members.join(F.broadcast(comp) if comp.count() <= MOVES else comp, "uid", "left")
              .withColumn("label", F.coalesce("component_id", "uid")).drop("component_id"))
-        live = (x.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                .where("lo <> hi").select("s"))
-        return x.join(live, "s")
+        live = stored(x.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                      .where("lo <> hi").select("s"), "live", members.count())
+        return _fetch(x, live, ["s"])
 
     def may(self, a: str, b: str):
         """Whether classes of different components (columns with these prefixes) may be within the radius."""
@@ -175,12 +177,15 @@ class _Join:
             both = na + nb - len(np.union1d(x, y))
             return den * both >= num * (na + nb - both)
 
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids")
-        return _pairwise(pairs, stored(self.sets_of(ids), "sets").select("uid", "n", F.col("set").alias("v")), near)
+        count = pairs.count()
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids", 2 * count)
+        return _pairwise(pairs, stored(self.sets_of(ids), "sets").select("uid", "n", F.col("set").alias("v")), near,
+                         -(-count // PAIRS))
 
-    def add(self, pairs: DataFrame) -> bool:
-        """Verify pairs (a, b), take the links in and say whether there were any."""
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    def add(self, pairs: DataFrame, rows: int | None = None) -> bool:
+        """Verify pairs (a, b), at most ``rows``, take the links in and say whether there were any."""
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs",
+                       rows)
         if pairs.isEmpty():
             return False
         found = stored(self.verified(pairs), "links")
@@ -189,19 +194,21 @@ class _Join:
         if self.comp is not None:   # of earlier links, one per member of a component
             found = found.unionByName(self.comp.where("node <> component_id").select(
                 F.col("node").alias("a"), F.col("component_id").alias("b")))
-        self.comp = stored(components(found), "components")
+        self.comp = components(found, rows=found.count())
         return True
 
     def star(self, x: DataFrame, turn: int) -> bool:
         """Hold each region's pivot document against its members."""
         lead = x.groupBy("s").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "n", "label", *BITS))
                                   .alias("p"))
-        lead = stored(lead.select("s", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("uid", "n", "label", *BITS)]), "pivots")
+        rows = x.count()
+        lead = stored(lead.select("s", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("uid", "n", "label", *BITS)]),
+                      "pivots", rows)
         few = lead.count() <= BROADCAST_ROWS // 8
         pairs = (x.select("s", *[F.col(c).alias(f"m_{c}") for c in ("uid", "n", "label", *BITS)])
                  .join(F.broadcast(lead) if few else lead, "s").where(self.may("p_", "m_"))
                  .select(F.col("p_uid").alias("a"), F.col("m_uid").alias("b")))
-        return self.add(pairs)
+        return self.add(pairs, rows)
 
     def full(self, x: DataFrame, large: DataFrame | None = None) -> None:
         """Compare the members of different components.
@@ -305,7 +312,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     one row of each component that has it; ``th`` is the text's hash.
     """
     sig = stored(signatures(docs, words, num, den, id_col, text_col), "signatures")
-    rep = stored(sig.where("n > 0").groupBy("key").agg(F.min("uid").alias("uid")), "classes")
+    rep = stored(sig.where("n > 0").groupBy("key").agg(F.min("uid").alias("uid")), "classes", sig.count())
     one = _fetch(sig, rep.select("uid"), ["uid"])
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -319,18 +326,18 @@ def jaccard_classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
             return out.select(names)
         whole = sets_of(short).select("uid", "n", F.col("set").alias("lead"))
         return out.where("not short").select(names).unionByName(
-            stored(_ordered(whole, late, num, den).select(names).distinct(), "windows"))
+            stored(_ordered(whole, late, num, den).select(names).distinct(), "windows", 32 * short.count()))
 
     late = stored(_frequent(_ordered(one, None, num, den)), "late")
     wins = windows(late)
     large = stored(_frequent(wins), "large")
     if not large.isEmpty():
-        moved = stored(_fetch(wins, large, ["s"]).select("uid").distinct(), "moved")
+        moved = stored(_fetch(wins, large, ["s"]).select("uid").distinct(), "moved", sig.count())
         often = _frequent(_exploded(sets_of(moved).select("uid", F.col("set").alias("lead"))))
         late = stored(late.unionByName(large).unionByName(often).distinct(), "late")
         wins = windows(late)
     more = wins.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    members = stored(wins.join(more, "s").join(one.select("uid", *BITS), "uid"), "members")
+    members = stored(wins.join(more, "s").join(one.select("uid", *BITS), "uid"), "members", wins.count())
 
     run = _Join(sets_of, num, den)
     small, large = members.where(F.col("c") <= SMALL), stored(members.where(F.col("c") > SMALL), "large")

@@ -128,6 +128,34 @@ def test_jaccard_large_mixed_regions(spark, monkeypatch):
     assert kept == {d for d, (_, c) in got.items() if d == c}
 
 
+def test_components_write_files_by_rows(spark, monkeypatch):
+    files = []
+
+    def counted(df, name, rows=None):
+        out = stored(df, name, rows) if rows is not None else stored(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    stored = common.stored
+    monkeypatch.setattr(common, "stored", counted)
+    edges = ([(i, i + 1) for i in range(60)] + [(5000, 1000 + i) for i in range(300)] + [(7, 7), (None, 3), (4, None)]
+             + [(300 - i, 299 - i) for i in range(40)] + [(1, 0), (1, 0)])
+    df = spark.createDataFrame(edges, "a long, b long")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["node"]: r["component_id"] for r in common.components(df, rows=len(edges)).collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    want = {i: 0 for i in range(61)} | {i: 1000 for i in (5000, *range(1000, 1300))} | {i: 260 for i in range(260, 301)}
+    assert got == want
+    assert max(files) == 1
+    assert common.components(df.where("a is null"), rows=1).count() == 0
+    assert {tuple(r) for r in common.components(df.where("a = 1")).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_suffix_array_order():
     rnd = random.Random(1)
     for _ in range(50):
