@@ -41,9 +41,9 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits:
                 np.array([d is None for d in doc_ids], "u1").tobytes(), np.array(lengths, "<u8").tobytes()]
     cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for b in range(bits - 1, -1, -1):
-        bit = (cur >> b) & 1 != 0
+        bit = (cur & cur.dtype.type(1 << b)) != 0
         sections.append(np.packbits(bit).tobytes())
-        cur = np.concatenate([cur[~bit], cur[bit]])
+        cur = cur.take(np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)]))
     out = [MAGIC, struct.pack("<BQQ", bits, len(ids), len(doc_ids))]
     for s in sections:
         s = pack(s)
@@ -129,8 +129,8 @@ class Shard:
         for lv in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.planes[lv], count=self.n).view(bool)
             up = np.empty_like(out)
-            up[~bit], up[bit] = out[:self.zeros[lv]], out[self.zeros[lv]:]
-            up |= bit.astype(out.dtype) << (self.bits - 1 - lv)
+            up[np.flatnonzero(~bit)] = out[:self.zeros[lv]]
+            up[np.flatnonzero(bit)] = out[self.zeros[lv]:] | out.dtype.type(1 << (self.bits - 1 - lv))
             out = up
         return out.astype("<u4")
 

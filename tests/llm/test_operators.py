@@ -6,7 +6,9 @@ import random
 import brute
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lintel.llm import bpe, common, html, jaccard, langid, lines, packing, quality, suffix, vectors, wavelet
 
@@ -245,6 +247,22 @@ def test_wavelet_shard():
         assert s.count(token) == len(at) and [s.locate(token, k) for k in range(len(at))] == at.tolist()
 
 
+def test_shards_of_any_width():
+    rnd = np.random.default_rng(1)
+    for bits in (1, 16, 17):
+        ids = rnd.integers(0, 1 << bits, 777)
+        assert (wavelet.Shard(wavelet.build(ids, [1], [777], bits)).tokens() == ids).all()
+
+
+def test_piece_keys_are_distinct_words(monkeypatch):
+    texts = [f"a{i} b{i % 7}\n\u00e9{i}" for i in range(50)]
+    enc = common.PieceIds(lambda keys: (np.arange(len(keys), dtype="<u4"), np.ones(len(keys), np.int64)))
+    seen = []
+    monkeypatch.setattr(enc, "_slots", lambda keys, f=enc._slots: seen.extend(keys) or f(keys))
+    assert enc.batch(pa.array([*texts, None]))[1].tolist() == [3] * 50 + [0]
+    assert all(type(k) is str for k in seen) and len(seen) == 50 + 7 + 50
+
+
 def test_token_shards(spark, docs):
     tokenizers = pytest.importorskip("tokenizers")
     tok = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
