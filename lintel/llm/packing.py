@@ -46,7 +46,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(tokenizer_path))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    @freeing
     def run(batches):
         encode, uid = library_ids(tokenizer_path, data.value), TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -67,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
                 uid += len(out)
         encode.trim()
 
-    return src.mapInArrow(run, PIECE)
+    return src.mapInArrow(freeing(run, encodes=True), PIECE)
 
 
 # ----------------------------------------------------------- one population

@@ -158,6 +158,27 @@ def test_components_write_files_by_rows(spark, monkeypatch):
     assert {tuple(r) for r in common.components(df.where("a = 1")).collect()} == {(0, 0), (1, 0), (2, 0)}
 
 
+def test_workers_drop_tokenizers(monkeypatch):
+    monkeypatch.setattr(common, "_ENCODERS", {"x": None})
+
+    def held(batches):
+        yield len(common._ENCODERS)
+
+    assert list(common.freeing(held, encodes=True)([])) == [1]
+    assert list(common.freeing(held)([])) == [0]
+
+
+def test_batches_of_texts_are_bounded(spark):
+    common.prepare(spark)
+    df = spark.range(9000, numPartitions=1).select(F.expr("repeat('x', 8000)").alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+
+    assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) <= 17 << 20
+
+
 def test_suffix_array_order():
     rnd = random.Random(1)
     for _ in range(50):
