@@ -150,16 +150,27 @@ class _Join:
         self.comp = None
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        """Members of regions that hold more than one component, with their label."""
+        """Members of regions that hold more than one component, with their label.
+
+        A region (of ``c`` members) is settled if all its members are in one
+        component, so only members that have links are looked at.
+        """
         members = members.drop("label")
         if self.comp is None:
             return members.withColumn("label", F.col("uid"))
         comp = self.comp.withColumnRenamed("node", "uid")
-        x = (members.join(F.broadcast(comp) if comp.count() <= MOVES else comp, "uid", "left")
-             .withColumn("label", F.coalesce("component_id", "uid")).drop("component_id"))
-        live = stored(x.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                      .where("lo <> hi").select("s"), "live", members.count())
-        return _fetch(x, live, ["s"])
+        comp = F.broadcast(comp) if comp.count() <= MOVES else comp
+        linked = members.join(comp, "uid")
+        settled = stored(linked.groupBy("s", "c").agg(F.count("*").alias("k"), F.min("component_id").alias("lo"),
+                                                      F.max("component_id").alias("hi"))
+                         .where("k = c and lo = hi").select("s"), "settled", members.count())
+        x = members.join(comp, "uid", "left").withColumn("label", F.coalesce("component_id", "uid"))
+        few = settled.count()
+        if few:
+            mixed = x.where("component_id is not null").join(F.broadcast(settled) if few <= BROADCAST_ROWS else settled,
+                                                             "s", "left_anti")
+            x = x.where("component_id is null").unionByName(mixed)
+        return x.drop("component_id")
 
     def may(self, a: str, b: str):
         """Whether classes of different components (columns with these prefixes) may be within the radius."""

@@ -103,6 +103,22 @@ def test_piece_ids_equal_library():
         assert all(list(c) == w.ids for c, w in zip(cuts, want))
 
 
+def test_regions_are_filtered_by_their_linked_members(spark):
+    run = jaccard._Join(None, 85, 100)
+    run.comp = common.stored(spark.createDataFrame([(1, 1), (2, 1)], "node long, component_id long"), "comp")
+    rows = [(7, 1, 2), (7, 2, 2), (8, 2, 2), (8, 3, 2), (9, 4, 2), (9, 5, 2)]
+
+    def labels(some):
+        got = run.labelled(common.stored(spark.createDataFrame(some, "s long, uid long, c long"), "members"))
+        return got, sorted((r["s"], r["uid"], r["label"]) for r in got.collect())
+
+    assert labels(rows)[1] == [(8, 2, 1), (8, 3, 3), (9, 4, 4), (9, 5, 5)]
+    got, out = labels(rows[2:])     # no region is settled: none of the members meets a list of regions
+    assert out == [(8, 2, 1), (8, 3, 3), (9, 4, 4), (9, 5, 5)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "LeftAnti" not in plan
+
+
 def test_jaccard(spark, docs):
     got = jaccard.jaccard_classes(docs, 4, 85, 100).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard(pairs())
