@@ -103,6 +103,27 @@ def test_piece_ids_equal_library():
         assert all(list(c) == w.ids for c, w in zip(cuts, want))
 
 
+def test_piece_ids_of_words_in_several_forms(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    rnd = random.Random(7)
+    parts = " aA.,'é́!Éßsİ"
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 30))).strip() for _ in range(3000)]
+    forms = ["Word word word, word. (Word)\nword\nWord!? WORD... wörd, Wörd Wörd\nwörd."]
+    for name, keys in (("word_bpe_49k.json", {"word", "(word", "wörd", "Wörd", ",", ".", "!?", ")", "..."}),
+                       ("byte_bpe_50k.json", None)):
+        tok = tokenizers.Tokenizer.from_file(P.path(name))
+        tok.encode_special_tokens = True
+        encode, asked = common.library_encoder(common.file_bytes(P.path(name))), []
+        seen = lambda keys: asked.extend(keys) or encode(keys)
+        seen.__dict__.update(vars(encode))
+        for some in (forms, texts):
+            ids, n = common.PieceIds(seen).batch(pa.array(some))
+            cuts = np.split(ids, np.cumsum(n)[:-1])
+            assert [c.tolist() for c in cuts] == [w.ids for w in tok.encode_batch(some, add_special_tokens=False)]
+            if some is forms and keys:      # each word is encoded once
+                assert sorted(asked) == sorted(keys)
+
+
 def test_regions_are_filtered_by_their_linked_members(spark):
     run = jaccard._Join(None, 85, 100)
     run.comp = common.stored(spark.createDataFrame([(1, 1), (2, 1)], "node long, component_id long"), "comp")
