@@ -37,6 +37,7 @@ ISLAND = 4096      # pieces in one deal
 ISLANDS = 2        # populations that evolve each deal before they meet
 SETTLED = 0.995    # a bin filled to this share is not dealt again
 POPULATION, GENERATIONS = 6, 24
+SLICE = 3 << 20    # bytes of text encoded at a time: a worker's arrays take some twenty times as much
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
 
@@ -49,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
     def run(batches):
         encode, uid = library_ids(tokenizer_path, data.value), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, size=SLICE):
                 ids, lens = encode.batch(rows.column(1))
                 stops = np.cumsum(lens)
                 raw = np.insert(ids, stops, end_id).astype("<u4").tobytes()     # the end id after each text

@@ -216,6 +216,21 @@ def test_batches_of_texts_are_bounded(spark):
     assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) <= 17 << 20
 
 
+def test_batches_and_slices_of_texts_are_small(spark):
+    common.prepare(spark)
+    df = spark.range(4000, numPartitions=1).select("id", F.expr("repeat('x', 8000)").alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+
+    assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) <= 9 << 20
+    batch = pa.record_batch([pa.array(range(2048)), pa.array(["y" * 4000] * 2048)], ["id", "t"])
+    each = list(common.slices(batch, 1, size=packing.SLICE))
+    assert sum(s.num_rows for s in each) == 2048
+    assert max(s.num_rows for s in each) * 4000 <= (3 << 20) + 4000
+
+
 def test_suffix_array_order():
     rnd = random.Random(1)
     for _ in range(50):
