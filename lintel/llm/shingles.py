@@ -53,14 +53,24 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def range_hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of each range of bytes."""
-    up, down = _powers(len(b) + 1)
+def range_sums(b: np.ndarray) -> np.ndarray:
+    """Running sums of bytes, from which :func:`sum_hashes` tells any range's hash."""
     total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_VALUE[b] * up[:-1], out=total[1:])
+    np.cumsum(_VALUE[b] * _powers(len(b) + 1)[0][:-1], out=total[1:])
+    return total
+
+
+def sum_hashes(total: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes."""
+    down = _powers(len(total))[1]
     return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
+def range_hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes."""
+    return sum_hashes(range_sums(b), start, stop)
+
+
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the text's ``n``-word shingles (all words as one if fewer)."""
     h = word_hashes((text or "").encode("utf-8", "surrogatepass"))

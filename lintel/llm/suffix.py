@@ -38,188 +38,191 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.common import freeing, shuffle_width, stored
-from lintel.llm.shingles import range_hashes
+from lintel.llm.shingles import range_sums, sum_hashes
 
 LENGTH, GRAM = 100, 32
 SORT = 1 << 19       # bytes of segments sorted together
 TEXT = 1 << 20        # starts of a long text that are looked at together
+BLOCK = 1 << 17       # bytes of short texts that are looked at together
 ROWS = 256
-_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all ``k``-byte grams (``k`` a power of two), by doubling."""
-    h = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    width = 1
-    while width < k:
-        h = (h[:-width] * _MUL + (h[width:] ^ (h[width:] >> np.uint64(31)))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-        width *= 2
-    return h
-
-
-def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Runs of string starts that share an anchor's place: (hash, segment hash, first start, number of starts).
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
+    """Runs of string starts that share an anchor's place: (text's number, hash, segment hash, first start, starts).
 
-    A segment is the bytes of a run's strings.  Long texts are taken in blocks;
-    a run cut by a block's end is two.
+    A segment is the bytes of a run's strings.  Short texts are taken together,
+    long ones in blocks; a run cut by a block's end is two.
     """
-    out = [_anchors(b[a:a + TEXT + length - 1], a, length, gram) for a in range(0, len(b) - length + 1, TEXT)]
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in ("u8", "u8", "i8", "i8")]
-
-
-def _anchors(b: np.ndarray, base: int, length: int, gram: int):
-    h = gram_hashes(b, gram)
-    w, n = length - gram + 1, len(b) - length + 1
-    low, pos, width = h, np.arange(len(h), dtype=np.int32), 1
-
-    def left_of(a, b, at, to):
-        first = a <= b                 # the leftmost of equal hashes
-        return np.where(first, a, b), np.where(first, at, to)
-
+    out, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        for a in range(0, len(text) - length + 1, TEXT):
+            held.append((i, a, text[a:a + TEXT + length - 1]))
+            size += len(held[-1][2])
+            if size >= BLOCK:
+                out.append(_anchors(held, length, gram))
+                held, size = [], 0
+    if held:
+        out.append(_anchors(held, length, gram))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in ("i8", "u8", "u8", "i8", "i8")]
+
+
+def _anchors(held: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    b = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
+    size = np.array([len(x) for _, _, x in held])
+    begin, row, base = np.cumsum(size) - size, np.array([x[0] for x in held]), np.array([x[1] for x in held])
+    total, w = range_sums(b), length - gram + 1
+    h = sum_hashes(total, np.arange(len(b) - gram + 1), np.arange(gram, len(b) + 1))
+    # the least hash of each window, the leftmost of those equal but for the bits that hold a place
+    place = np.uint64((1 << (2 * TEXT + BLOCK + length).bit_length()) - 1)
+    low, width = (h & ~place) | np.arange(len(h), dtype=np.uint64), 1
     while width * 2 <= w:
-        low, pos = left_of(low[:-width], low[width:], pos[:-width], pos[width:])
+        low = np.minimum(low[:-width], low[width:])
         width *= 2
-    low, pos = left_of(low[:n], low[w - width:w - width + n], pos[:n], pos[w - width:w - width + n])
-    at = np.flatnonzero(np.diff(pos, prepend=-1))
-    size = np.diff(at, append=n)
-    return low[at], range_hashes(b, at, at + size + length - 1), at + base, size
+    # of strings that lie in one text
+    count = size - length + 1
+    starts = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    pos = (np.minimum(low[starts], low[starts + (w - width)]) & place).astype(np.int64)
+    first = np.flatnonzero(np.diff(pos, prepend=-1))
+    at, n = starts[first], np.diff(first, append=len(starts))
+    of = np.searchsorted(begin, at, side="right") - 1
+    return row[of], h[pos[first]], sum_hashes(total, at, at + n + length - 1), at - begin[of] + base[of], n
+
 
+def words(t: np.ndarray, beyond: int) -> np.ndarray:
+    """The seven symbols from each place on as one number, for ``beyond`` places more than ``t`` has."""
+    one = np.zeros(len(t) + beyond + 7, np.uint64)
+    one[:len(t)] = t
+    two = one[:-1] << np.uint64(9) | one[1:]
+    four = two[:-2] << np.uint64(18) | two[2:]
+    return four[:-4] << np.uint64(27) | two[4:-2] << np.uint64(9) | one[6:-1]
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first ``depth`` symbols, in two stages.
+
+def suffix_array(t: np.ndarray, depth: int, wanted: np.ndarray | None = None, key: np.ndarray | None = None
+                 ) -> np.ndarray:
+    """Order of the ``wanted`` suffixes (all, if none are named) by their first ``depth`` symbols, in two stages.
 
     ``t`` holds small integers; 0 ends a segment and never counts as equal.
+    ``key`` holds its :func:`words`, where they are known.
     """
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
+    t = t.astype(np.int16)
     # type B: smaller than its successor (a run takes the type of what follows it)
-    nxt = np.append(t[1:], 0).astype(np.int32)
-    cmp = np.sign(nxt - t.astype(np.int32))
+    cmp = np.sign(np.append(t[1:], np.int16(0)) - t)
     idx = np.where(cmp != 0, np.arange(n), n)
     idx = np.minimum.accumulate(idx[::-1])[::-1]
-    small = np.append(cmp, -1)[idx] > 0
+    small = np.append(cmp, np.int16(-1))[idx] > 0
     small[t == 0] = True                       # ends are sorted directly, in any order
+    if wanted is None:
+        needed = np.ones(n, bool)
+    else:                                      # a suffix that is induced needs those up to the next type B
+        to = np.where(small, np.arange(n), n - 1)
+        to = np.minimum.accumulate(to[::-1])[::-1][wanted]
+        needed = np.cumsum(np.bincount(np.flatnonzero(wanted), minlength=n + 1)
+                           - np.bincount(to + 1, minlength=n + 1))[:n] > 0
     # stage one: sort type B suffixes directly, word by word, ties only
-    words = -(-depth // 7)
-    pad = np.concatenate([t.astype(np.uint64), np.zeros(7 * words + 7, np.uint64)])
-    key = np.zeros(n + 7 * words, np.uint64)
-    for k in range(7):
-        key |= pad[k:k + len(key)] << np.uint64(9 * (6 - k))
-    order = np.flatnonzero(small)
+    levels = -(-depth // 7)
+    if key is None:
+        key = words(t, 7 * levels)
+    order = np.flatnonzero(small & needed)
     order = order[np.argsort(key[order], kind="stable")]
     word = key[order]
-    tied, level = _ties(word), 1
-    while len(tied) and level < words:
-        first, at = tied[:, 0], tied[:, 1]
-        sub = order[at]
-        nxt_word = key[sub + 7 * level]
-        p = np.lexsort((nxt_word, first))
-        order[at] = sub[p]
-        w, f = nxt_word[p], first[p]
-        same = np.append(False, (w[1:] == w[:-1]) & (f[1:] == f[:-1]))
-        group = np.where(same, 0, np.arange(len(at)))
-        group = np.maximum.accumulate(group)
-        size = np.bincount(group, minlength=len(at))
-        keep = size[group] > 1
-        tied, level = np.stack([at[group[keep]], at[keep]], 1), level + 1
+    at = np.arange(len(order))
+    new, level = np.append(True, word[1:] != word[:-1])[:len(order)], 1
+    while True:
+        group = np.cumsum(new) - 1
+        keep = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        at, new, group = at[keep], new[keep], group[keep]
+        if not len(at) or level >= levels:
+            break
+        word, level = key[order[at] + 7 * level], level + 1
+        apart = np.append(False, word[1:] != word[:-1]) & ~new
+        if apart.any():                        # groups that still agree need no sort
+            mixed = np.zeros(group[-1] + 1, bool)
+            mixed[group[apart]] = True
+            m = np.flatnonzero(mixed[group])
+            p = m[np.lexsort((word[m], group[m]))]
+            order[at[m]], word[m] = order[at[p]], word[p]
+            new = new | np.append(True, word[1:] != word[:-1])
     # stage two: buckets by first symbol in rising order; a suffix larger than its
     # successor is put, in the successors' order, before its bucket's direct ones
     direct = np.split(order, np.cumsum(np.bincount(t[order], minlength=257))[:-1])
     induced: list[list[np.ndarray]] = [[] for _ in range(257)]
+    needed &= ~small
     out = []
-
-    def scan(done: np.ndarray) -> None:
+    for c in range(257):
+        parts = []
+        part = np.concatenate(induced[c]) if induced[c] else order[:0]
+        while len(part):                       # a bucket may add to itself (runs)
+            parts.append(part)
+            part = part[part > 0] - 1
+            part = part[needed[part] & (t[part] == c)]
+        parts.append(direct[c])
+        done = np.concatenate(parts)
+        out.append(done)
         prev = done[done > 0] - 1
-        prev = prev[~small[prev]]
+        prev = prev[needed[prev] & (t[prev] > c)]
         if len(prev):
-            c = t[prev]
-            by = np.argsort(c, kind="stable")
-            prev, c = prev[by], c[by]
-            cut = np.flatnonzero(np.diff(c)) + 1
-            for part in np.split(prev, cut):
-                induced[t[part[0]]].append(part)
-
-    for c in range(257):
-        k = 0
-        while k < len(induced[c]):             # a scan may add to its own bucket (runs)
-            part = induced[c][k]
-            k += 1
-            out.append(part)
-            scan(part)
-        if c < len(direct) and len(direct[c]):
-            out.append(direct[c])
-            scan(direct[c])
-    return np.concatenate(out)
-
-
-def _ties(word: np.ndarray) -> np.ndarray:
-    """(first place of its group, place) of sorted words that are not alone."""
-    if not len(word):
-        return np.zeros((0, 2), np.int64)
-    start = np.maximum.accumulate(np.where(np.append(True, word[1:] != word[:-1]), np.arange(len(word)), 0))
-    keep = np.bincount(start, minlength=len(word))[start] > 1
-    return np.stack([start[keep], np.flatnonzero(keep)], 1)
-
-
-def equal_next(t: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
-    """Whether each suffix shares ``depth`` symbols, none of them 0, with the one before it."""
-    pad = np.concatenate([t, np.zeros(depth, t.dtype)])
-    live = np.arange(1, len(sa))
-    for k in range(depth):
-        if not len(live):
-            break
-        a, b = pad[sa[live] + k], pad[sa[live - 1] + k]
-        live = live[(a == b) & (a != 0)]
+            prev = prev[np.argsort(t[prev], kind="stable")]
+            by = t[prev]
+            cut = np.flatnonzero(by[1:] != by[:-1]) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(prev)]):
+                induced[by[a]].append(prev[a:b])
+    sa = np.concatenate(out)
+    return sa if wanted is None else sa[wanted[sa]]
+
+
+def equal_next(key: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each suffix shares ``depth`` symbols with the one before it; ``key`` holds the :func:`words`."""
+    live, cut = np.arange(1, len(sa)), np.uint64(9 * max(0, 7 - depth))
+    for k in [*range(0, depth - 7, 7), max(0, depth - 7)]:
+        live = live[key[sa[live] + k] >> cut == key[sa[live - 1] + k] >> cut]
     out = np.zeros(len(sa), bool)
     out[live] = True
     return out
 
 
-def repeats(segments: list[bytes], order: list[tuple], length: int) -> list[tuple[int, int, int]]:
-    """(segment, from, to): runs of starts in each segment whose string starts earlier in another place.
+def repeats(data: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to): runs of starts in each segment whose string starts in an earlier place.
 
-    ``order`` gives each segment's place: a key that sorts as (document, start).
+    A segment is ``size`` bytes of ``data`` from ``begin``; those that share
+    strings are given in the order of their places.
     """
-    sizes = np.array([len(s) for s in segments])
-    base = np.cumsum(sizes + 1) - sizes - 1
-    t = np.zeros(int(sizes.sum()) + len(segments), np.int32)
-    for b, s in zip(base.tolist(), segments):
-        t[b:b + len(s)] = np.frombuffer(s, np.uint8).astype(np.int32) + 1
-    sa = suffix_array(t, length)
-    same = equal_next(t, sa, length)
-    edge = np.flatnonzero(same)
-    if not len(edge):
-        return []
+    base = np.cumsum(size + 1) - size - 1
+    ends = base + size
+    src = np.repeat(begin - base, size + 1) + np.arange(ends[-1] + 1)
+    t = data[np.minimum(src, len(data) - 1)].astype(np.int16) + np.int16(1)
+    t[ends] = 0
+    # places where a whole string starts
+    count = size - length + 1
+    starts = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    wanted = np.zeros(len(t), bool)
+    wanted[starts] = True
+    key = words(t, 7 * -(-length // 7))
+    sa = suffix_array(t, length, wanted, key)
+    same = equal_next(key, sa, length)
     group = np.cumsum(~same)
-    wanted = np.zeros(len(sa), bool)
-    wanted[edge] = wanted[edge - 1] = True
-    at, g = sa[wanted], group[wanted]
-    seg = np.searchsorted(base, at, side="right") - 1
-    off = at - base[seg]
-    rank = np.empty(len(order), np.int64)
-    rank[sorted(range(len(order)), key=order.__getitem__)] = np.arange(len(order))
-    p = np.lexsort((off, rank[seg], g))        # starts of segments never overlap, so this is the order of starts
-    g, seg, off = g[p], seg[p], off[p]
-    later = np.append(False, g[1:] == g[:-1])
-    seg, off = seg[later], off[later]
-    p = np.lexsort((off, seg))
-    seg, off = seg[p], off[p]
-    new = np.append(True, (seg[1:] != seg[:-1]) | (off[1:] != off[:-1] + 1)) if len(seg) else np.zeros(0, bool)
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(seg)) - 1 if len(a) else a
-    return list(zip(seg[a].tolist(), off[a].tolist(), (off[b] + 1).tolist()))
+    if not same.any():
+        return base[:0], base[:0], base[:0]
+    # starts of segments never overlap, so places in ``t`` are in the order of starts
+    head = np.flatnonzero(~same)
+    at = np.sort(sa[sa != np.minimum.reduceat(sa, head)[group - 1]])
+    new = np.append(True, at[1:] != at[:-1] + 1)
+    a, b = at[new], at[np.append(new[1:], True)] + 1
+    seg = np.searchsorted(base, a, side="right") - 1
+    return seg, a - base[seg], b - base[seg]
 
 
 # --------------------------------------------------------------- operators
 
-# anchor (48 bits), segment hash, document id, row after the chunk's first, start (lowest bit: anchor met twice)
-PLACE = np.dtype([("h", "<u4"), ("l", "<u2"), ("s", "<u8"), ("d", "<i8"), ("u", "<u4"), ("a", "<u4")])
+# anchor (48 bits), segment hash, document id, row after the chunk's first, start (lowest bit: anchor met twice), starts
+PLACE = np.dtype([("h", "<u4"), ("l", "<u2"), ("s", "<u8"), ("d", "<i8"), ("u", "<u4"), ("a", "<u4"), ("n", "<u4")])
 LEAST = -(1 << 63)   # the place of a null id
 CHUNK = 4096         # rows whose anchors or segments a task looks at together
-HEAD, HEAD_SIZE = "<QqqqI", 36   # of a segment: anchor, document id (or least), row, start, bytes
+# of a segment: anchor, document id (or least), row, start, bytes
+HEAD = np.dtype([("h", "<i8"), ("d", "<i8"), ("u", "<i8"), ("a", "<i4"), ("n", "<i4")])
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
@@ -275,7 +278,14 @@ def _chunks(batches, near: bool = False):
 
 def _by_order(rows: np.ndarray, uids: np.ndarray) -> np.ndarray:
     """Order by anchor, segment and place."""
-    return np.lexsort((rows["a"], uids, rows["d"], rows["s"], rows["l"], rows["h"]))
+    key = rows["h"].astype(np.uint64) << np.uint64(16) | rows["l"]
+    p = np.argsort(key, kind="stable")
+    key = key[p]
+    same = key[1:] == key[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)[:len(p)]) if len(p) else p
+    q = p[tied]
+    p[tied] = q[np.lexsort((rows["a"][q], uids[q], rows["d"][q], rows["s"][q], key[tied]))]
+    return p
 
 
 def _equal(rows: np.ndarray, *names: str) -> np.ndarray:
@@ -288,25 +298,24 @@ def _equal(rows: np.ndarray, *names: str) -> np.ndarray:
 
 
 def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataFrame:
-    """(uid, gone, starts): packed int32 starts of a text's segments that go at once, as equal ones come
-    earlier, and of those whose anchor different segments share."""
+    """(uid, gone, starts): packed runs [from, to) of a text's segments that go at once, as equal ones come
+    earlier, and packed ``START`` of those whose anchor different segments share."""
     @freeing
     def tell(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         for rows in _chunks(batches, near=True):     # a row is told as 32 bits from the chunk's first
-            found = [anchors(np.frombuffer(open_(r["data"]), np.uint8), length, gram) for r in rows]
-            first = min(r["uid"] for r in rows)
-            h = np.concatenate([f[0] for f in found])
-            out, each = np.zeros(len(h), PLACE), [len(f[0]) for f in found]
+            of, h, s, a, n = anchors([open_(r["data"]) for r in rows], length, gram)
+            uids = np.array([r["uid"] for r in rows])
+            first = uids.min()
+            out = np.zeros(len(h), PLACE)
             out["h"], out["l"] = h >> np.uint64(32), h >> np.uint64(16) & np.uint64(0xFFFF)
-            out["s"], out["a"] = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]) << 1
-            out["d"] = np.repeat([LEAST if r["doc_id"] is None else r["doc_id"] for r in rows], each)
-            out["u"] = np.repeat([r["uid"] - first for r in rows], each)
-            p = _by_order(out, out["u"])
-            out = out[p]
+            out["s"], out["a"], out["n"] = s, a << 1, n
+            out["d"] = np.array([LEAST if r["doc_id"] is None else r["doc_id"] for r in rows])[of]
+            out["u"] = (uids - first)[of]
+            out = out[_by_order(out, out["u"])]
             same = _equal(out, "h", "l", "s")
             if same.any():                       # later ones of equal segments: a negative key names the row
-                yield _packed(-1 - (out["u"][same].astype(np.int64) + first), (out["a"][same] >> 1).astype("<i4"), "to")
+                yield _packed(-1 - (out["u"][same].astype(np.int64) + first), _runs(out[same], length), "to")
             out = out[~same]
             met = _equal(out, "h", "l")
             out["a"] |= met | np.append(met[1:], False)[:len(out)]
@@ -320,8 +329,8 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
         for batch in batches:
             for to, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if to < 0:
-                    starts = np.frombuffer(data, "<i4")
-                    yield _told(np.full(len(starts), -1 - to), starts, True)
+                    runs = np.frombuffer(data, "<i4").reshape(-1, 2)
+                    yield _told(np.full(len(runs), -1 - to), runs, None)
                 else:
                     parts.append(np.frombuffer(data, PLACE, offset=8))
                     firsts.append(np.full(len(parts[-1]), struct.unpack_from("<q", data)[0]))
@@ -335,16 +344,14 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
         rows, uids = rows[p], uids[p]
         del p
         same = _equal(rows, "h", "l", "s")
-        for mark in (True, False):
-            if mark:
-                hit = same
-            else:                               # the first of each segment whose anchor has several
-                one, at = rows[~same], np.flatnonzero(~same)
-                met = _equal(one, "h", "l")
-                hit = np.zeros(len(rows), bool)
-                hit[at[met | np.append(met[1:], False)[:len(one)] | (one["a"] & 1 > 0)]] = True
-            if hit.any():
-                yield _told(uids[hit], (rows["a"][hit] >> 1).astype("<i4"), mark)
+        if same.any():
+            yield _told(uids[same], _runs(rows[same], length), None)
+        rows, uids = rows[~same], uids[~same]    # the first of each segment whose anchor has several
+        met = _equal(rows, "h", "l")
+        hit = met | np.append(met[1:], False)[:len(rows)] | (rows["a"] & 1 > 0)
+        if hit.any():
+            rows, uids = rows[hit], uids[hit]
+            yield _told(uids, _runs(rows, length), rows["h"].astype(np.int64) << 16 | rows["l"])
 
     @freeing
     def by_row(batches):
@@ -352,9 +359,11 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
             cols: list[list] = [[], [], []]
             for parts in batch.column(1).to_pylist():
                 rows = np.frombuffer(b"".join(parts), TOLD)
-                for uid in np.unique(rows["u"]).tolist():
-                    own = rows[rows["u"] == uid]
-                    for c, v in zip(cols, (uid, own["a"][own["g"] > 0].tobytes(), own["a"][own["g"] == 0].tobytes())):
+                rows = rows[np.argsort(rows["u"], kind="stable")]
+                for own in np.split(rows, np.flatnonzero(np.diff(rows["u"])) + 1):
+                    gone = own["h"] < 0
+                    for c, v in zip(cols, (int(own["u"][0]), own[["a", "b"]][gone].astype(RUN).tobytes(),
+                                           own[["h", "a", "b"]][~gone].astype(START).tobytes())):
                         c.append(v)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))],
                                   ["uid", "gone", "starts"])
@@ -367,12 +376,20 @@ def anchor_places(texts: DataFrame, width: int, length: int, gram: int) -> DataF
 
 
 GROUP = 32           # rows whose answers travel together
-TOLD = np.dtype([("u", "<i8"), ("a", "<i4"), ("g", "u1")])
+RUN = np.dtype([("a", "<i4"), ("b", "<i4")])         # bytes from, to
+START = np.dtype([("h", "<i8"), ("a", "<i4"), ("b", "<i4")])     # anchor, bytes from, to
+TOLD = np.dtype([("u", "<i8"), ("h", "<i8"), ("a", "<i4"), ("b", "<i4")])    # row, anchor (-1: goes at once), from, to
+
 
+def _runs(rows: np.ndarray, length: int) -> np.ndarray:
+    """[from, to) of the bytes of each segment."""
+    a = (rows["a"] >> 1).astype("<i4")
+    return np.stack([a, a + (rows["n"].astype("<i4") + (length - 1))], 1).astype("<i4")
 
-def _told(uids: np.ndarray, starts: np.ndarray, gone: bool) -> pa.RecordBatch:
+
+def _told(uids: np.ndarray, runs: np.ndarray, anchor: np.ndarray | None) -> pa.RecordBatch:
     out = np.zeros(len(uids), TOLD)
-    out["u"], out["a"], out["g"] = uids, starts, gone
+    out["u"], out["h"], out["a"], out["b"] = uids, -1 if anchor is None else anchor, runs[:, 0], runs[:, 1]
     return _packed(uids // GROUP, out, "rows")
 
 
@@ -386,61 +403,60 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
     @freeing
     def cut(batches):
-        """Segments by anchor, and the runs that go at once."""
+        """Segments by anchor: how many, their heads, their bytes."""
         open_ = zstandard.ZstdDecompressor().decompress
         for rows in _chunks(batches):
-            out: dict[int, list[bytes]] = {}
-            gone: list[np.ndarray] = []
-            for r in rows:
-                data = open_(r["data"])
-                h, _, a, n = anchors(np.frombuffer(data, np.uint8), length, gram)
-                doc = LEAST if r["doc_id"] is None else r["doc_id"]
-                wanted = np.isin(a, np.frombuffer(r["starts"], "<i4"))
-                for hh, aa, nn in zip(h[wanted].tolist(), a[wanted].tolist(), n[wanted].tolist()):
-                    seg = data[aa:aa + nn - 1 + length]
-                    out.setdefault((hh >> 32) % width, []).append(
-                        struct.pack(HEAD, hh >> 16, doc, r["uid"], aa, len(seg)) + seg)
-                late = np.isin(a, np.frombuffer(r["gone"], "<i4"))
-                if late.any():
-                    gone.append(np.stack([np.full(int(late.sum()), r["uid"]), a[late],
-                                          a[late] + n[late] - 1 + length], 1))
-            yield pa.record_batch([pa.array(list(out), pa.int64()),
-                                   pa.array([b"".join(x) for x in out.values()], pa.binary())], ["to", "data"])
-            if gone:
-                g = np.concatenate(gone)
-                yield _packed(-1 - g[:, 0], g[:, 1:].astype("<i4"), "to")
+            found = [np.frombuffer(r["starts"], START) for r in rows]
+            each, got = [len(f) for f in found], np.concatenate(found)
+            data = [open_(r["data"]) for r in rows]
+            begin = np.cumsum([0] + [len(x) for x in data[:-1]])
+            data = b"".join(data)
+            head = np.zeros(len(got), HEAD)
+            head["h"], head["a"], head["n"] = got["h"], got["a"], got["b"] - got["a"]
+            head["d"] = np.repeat([LEAST if r["doc_id"] is None else r["doc_id"] for r in rows], each)
+            head["u"] = np.repeat([r["uid"] for r in rows], each)
+            at, to = np.repeat(begin, each) + got["a"], (got["h"] >> 16) % width
+            p = np.argsort(to, kind="stable")
+            head, at, to = head[p], at[p], to[p]
+            edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+            seg = [data[x:x + n] for x, n in zip(at.tolist(), head["n"].tolist())]
+            out = [b"".join([struct.pack("<q", b - a), head[a:b].tobytes(), *seg[a:b]])
+                   for a, b in zip(edges, edges[1:])]
+            yield pa.record_batch([pa.array(to[edges[:-1]]), pa.array(out, pa.binary())], ["to", "data"])
 
     @freeing
     def induce(batches):
-        held = []
+        heads, parts = [], []
         for batch in batches:
-            for to, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if to < 0:
-                    yield pa.record_batch([pa.array([-1 - to], pa.int64()), pa.array([data], pa.binary())],
-                                          ["uid", "data"])
-                    continue
-                at = 0
-                while at < len(data):
-                    hh, doc, uid, a, size = struct.unpack_from(HEAD, data, at)
-                    at += HEAD_SIZE + size
-                    held.append((hh, (doc, uid, a), data[at - size:at]))
-        held.sort()                              # by anchor, then place
-        begin = 0
-        while begin < len(held):                 # whole anchors, about SORT bytes at a time
-            end, size = begin, 0
-            while end < len(held) and (size < SORT or held[end][0] == held[end - 1][0]):
-                size += len(held[end][2])
-                end += 1
-            part, begin = held[begin:end], end
-            runs = repeats([x[2] for x in part], [x[1] for x in part], length)
-            if runs:
-                g = np.array([(part[s][1][1], part[s][1][2] + x, part[s][1][2] + y - 1 + length)
-                              for s, x, y in runs], np.int64)
-                yield _packed(g[:, 0], g[:, 1:].astype("<i4"), "uid")
-
-    segments = (texts.join(told, "uid").select("uid", "doc_id", "data", "gone", "starts")
+            for data in batch.column(1).to_pylist():
+                n, = struct.unpack_from("<q", data)
+                heads.append(np.frombuffer(data, HEAD, n, 8))
+                parts.append(data[8 + heads[-1].nbytes:])
+        if not heads:
+            return
+        head, data = np.concatenate(heads), np.frombuffer(b"".join(parts), np.uint8)
+        heads.clear()
+        parts.clear()
+        begin = np.cumsum(head["n"], dtype=np.int64) - head["n"]
+        p = np.lexsort((head["a"], head["u"], head["d"], head["h"]))       # by anchor, then place
+        head, begin = head[p], begin[p]
+        size = head["n"].astype(np.int64)
+        sums = np.cumsum(size)
+        ends = np.append(np.flatnonzero(np.diff(head["h"])) + 1, len(head))
+        a = 0
+        while a < len(head):                     # whole anchors, about SORT bytes at a time
+            b = int(np.searchsorted(sums, (sums[a - 1] if a else 0) + SORT)) + 1
+            b = int(ends[min(np.searchsorted(ends, b), len(ends) - 1)])
+            seg, x, y = repeats(data, begin[a:b], size[a:b], length)
+            if len(seg):
+                own = head[a:b][seg]
+                yield _packed(own["u"], np.stack([own["a"] + x, own["a"] + y - 1 + length], 1).astype("<i4"), "uid")
+            a = b
+
+    segments = (texts.join(told.where(F.length("starts") > 0), "uid").select("uid", "doc_id", "data", "starts")
                 .mapInArrow(cut, "to long, data binary").repartition(width, "to"))
-    return segments.mapInArrow(induce, "uid long, data binary")
+    return segments.mapInArrow(induce, "uid long, data binary").unionByName(
+        told.where(F.length("gone") > 0).select("uid", F.col("gone").alias("data")))
 
 
 def _union(batches):

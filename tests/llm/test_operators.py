@@ -231,6 +231,53 @@ def test_batches_and_slices_of_texts_are_small(spark):
     assert max(s.num_rows for s in each) * 4000 <= (3 << 20) + 4000
 
 
+def test_suffix_array_of_wanted_suffixes():
+    rnd = random.Random(3)
+    for _ in range(50):
+        t = np.array([x for _ in range(rnd.randrange(1, 9))
+                      for x in [rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 12))] + [0]], np.int32)
+        wanted = np.array([rnd.random() < 0.3 for _ in t])
+        got = suffix.suffix_array(t, 200, wanted)
+        assert got.tolist() == [i for i in sorted(range(len(t)), key=lambda i: t[i:].tolist()) if wanted[i]]
+
+
+def test_repeats_of_segments():
+    rnd = random.Random(4)
+    for _ in range(100):
+        n = rnd.choice([3, 7, 8, 16])
+        segments = [bytes(rnd.choice(b"ab\x00\xff") for _ in range(n + rnd.randrange(9)))
+                    for _ in range(rnd.randrange(1, 8))]
+        size = np.array([len(s) for s in segments])
+        got = suffix.repeats(np.frombuffer(b"".join(segments), np.uint8), np.cumsum(size) - size, size, n)
+        seen, want = set(), set()
+        for i, s in enumerate(segments):
+            for j in range(len(s) - n + 1):
+                if s[j:j + n] in seen:
+                    want.add((i, j))
+                seen.add(s[j:j + n])
+        assert {(i, j) for i, a, b in zip(*(x.tolist() for x in got)) for j in range(a, b)} == want
+
+
+def test_anchors_of_texts_taken_together(monkeypatch):
+    """Equal strings have equal anchors, wherever texts are put together or cut."""
+    rnd = random.Random(5)
+    base = bytes(rnd.choice(b"abcd") for _ in range(900))
+    texts = [base[rnd.randrange(300):rnd.randrange(301, 900)] for _ in range(40)] + [b"", b"x" * 500]
+    found = []
+    for text, block in ((1 << 20, 1 << 17), (256, 64)):
+        monkeypatch.setattr(suffix, "TEXT", text)
+        monkeypatch.setattr(suffix, "BLOCK", block)
+        of, h, s, a, n = suffix.anchors(texts, 40, 16)
+        at = {(i, b + k): hh for i, hh, b, m in zip(of.tolist(), h.tolist(), a.tolist(), n.tolist()) for k in range(m)}
+        assert set(at) == {(i, k) for i, x in enumerate(texts) for k in range(len(x) - 39)}
+        by: dict[bytes, set] = {}
+        for (i, k), hh in at.items():
+            by.setdefault(texts[i][k:k + 40], set()).add(hh)
+        assert all(len(x) == 1 for x in by.values())
+        found.append(by)
+    assert found[0] == found[1]
+
+
 def test_suffix_array_order():
     rnd = random.Random(1)
     for _ in range(50):
