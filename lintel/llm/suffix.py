@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import freeing, shuffle_width, stored
+from lintel.llm.common import freeing, release, shuffle_width, stored
 from lintel.llm.shingles import range_sums, sum_hashes
 
 LENGTH, GRAM = 100, 32
@@ -400,6 +400,7 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """
     width = max(shuffle_width(texts.sparkSession), texts.rdd.getNumPartitions())
     told = stored(anchor_places(texts, width, length, gram), "told")
+    release(texts.sparkSession)          # the places' shuffle is the largest
 
     @freeing
     def cut(batches):
@@ -479,6 +480,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ``kept`` holds the remaining bytes, ``row`` the columns named in ``carry``.
     """
+    release(docs.sparkSession)           # of what came before
     texts = stored(numbered(docs, id_col, text_col, carry), "texts")
     kind = texts.schema["row"].dataType.simpleString()
     runs = stored(removed_runs(texts, length, gram).groupBy("uid").agg(F.collect_list("data").alias("runs"))
